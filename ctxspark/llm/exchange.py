@@ -21,13 +21,14 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U(40)) * U(buckets) >> U(24)).astype(np.int32)
 
 
-def pack(kind: int, buckets: int, keys: np.ndarray, owners: np.ndarray, vals: np.ndarray | None = None) -> list[tuple]:
-    """Rows of SCHEMA for the triples, at most one for each bucket."""
+def pack(kind: int, buckets: int, keys: np.ndarray, owners: np.ndarray, vals: np.ndarray | None = None, wide: bool = False) -> list[tuple]:
+    """Rows of SCHEMA for the triples, at most one for each bucket. ``wide`` keeps all 64 bits of a key instead of 32 and the bucket."""
     if not len(keys):
         return []
     b = bucket_of(keys, buckets)
     order = np.argsort(b, kind="stable")
-    b, keys, owners = b[order], (keys[order] & U(0xFFFFFFFF)).astype(np.uint32), owners[order]
+    b, keys, owners = b[order], keys[order], owners[order]
+    keys = keys if wide else (keys & U(0xFFFFFFFF)).astype(np.uint32)
     vals = None if vals is None else vals[order].astype(np.uint32)
     cuts = np.concatenate([[0], np.nonzero(np.diff(b))[0] + 1, [len(b)]])
     rows = []
@@ -40,11 +41,12 @@ def pack(kind: int, buckets: int, keys: np.ndarray, owners: np.ndarray, vals: np
 
 def unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, owners and values (zeros if not sent) of rows of one bucket."""
-    keys, owners, vals = [np.zeros(0, np.uint32)], [np.zeros(0, U)], [np.zeros(0, np.uint32)]
+    wide = any(len(r["keys"]) == 8 * r["n"] for r in rows)
+    keys, owners, vals = [np.zeros(0, U if wide else np.uint32)], [np.zeros(0, U)], [np.zeros(0, np.uint32)]
     for r in rows:
         ids = np.frombuffer(r["owners"], U)
         at = np.frombuffer(r["owner_ids"], np.uint16 if len(ids) <= 1 << 16 else np.uint32)
-        keys.append(np.frombuffer(r["keys"], np.uint32))
+        keys.append(np.frombuffer(r["keys"], U if wide else np.uint32))
         owners.append(ids[at])
         vals.append(np.frombuffer(r["vals"], np.uint32) if r["vals"] else np.zeros(r["n"], np.uint32))
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(vals)
@@ -76,8 +78,8 @@ class SharedKeys:
     one marker goes out for all, so a key that a third of all records have costs one entry a flush.
     """
 
-    def __init__(self, buckets: int, limit: int = 1_500_000):
-        self.buckets, self.limit, self.held, self.parts = buckets, limit, 0, []
+    def __init__(self, buckets: int, limit: int = 1_500_000, wide: bool = False):
+        self.buckets, self.limit, self.wide, self.held, self.parts = buckets, limit, wide, 0, []
 
     def add(self, keys: np.ndarray, owners: np.ndarray, vals: np.ndarray | None = None) -> list[tuple]:
         self.parts.append((keys, owners, np.zeros(len(keys), np.uint32) if vals is None else vals.astype(np.uint32)))
@@ -92,8 +94,8 @@ class SharedKeys:
         order, first, both, number = _shared(keys, owners)
         keys, owners, vals = keys[order], owners[order], vals[order]
         local = both[number]
-        rows = pack(TRIPLE, self.buckets, keys[~local], owners[~local], vals[~local])
-        rows += pack(MARKER, self.buckets, keys[first[both]], np.zeros(int(both.sum()), U))
+        rows = pack(TRIPLE, self.buckets, keys[~local], owners[~local], vals[~local], self.wide)
+        rows += pack(MARKER, self.buckets, keys[first[both]], np.zeros(int(both.sum()), U), wide=self.wide)
         # credits need no meeting; they travel in the bucket of a scrambled owner
         rows += pack(CREDIT, self.buckets, owners[local] * U(0x9E3779B97F4A7C15), owners[local], vals[local])
         return rows

@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ctxspark.llm.bpe import encode_texts
 from ctxspark.llm.near import similar_records
 from ctxspark.llm.records import record_texts
+from ctxspark.llm.spans import shared_amounts, shared_spans
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -15,5 +21,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_records(record_texts(spark, d), k=3, t_num=3, t_den=5, least_words=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
+def p5_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The token ids of every document by byte_bpe_50k; rows delivered twice count once."""
+    return encode_texts(_documents(spark, d), ["doc_id"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The maximal runs of places shared with another document in stretches of 100 characters or more."""
+    return shared_spans(_documents(spark, d))
+
+
+def p7_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every document occurs elsewhere."""
+    return shared_amounts(_documents(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_ids": p5_ids, "p7_found": p7_found, "p7_amounts": p7_amounts}
 ORACLES: dict[str, str] = {}
