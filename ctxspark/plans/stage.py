@@ -43,7 +43,7 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def exchange_parts(*dfs: DataFrame, each: int = 8 << 20) -> int:
-    """Partitions for an exchange fed by ``dfs``: the session's number, more if an input is large."""
+    """Buckets for an exchange fed by ``dfs``: twice the session's partitions, more if an input is large."""
     spark = dfs[0].sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(1 << 20, math.ceil(sum(map(planned_bytes, dfs)) / each)))
