@@ -21,33 +21,41 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U(40)) * U(buckets) >> U(24)).astype(np.int32)
 
 
-def pack(kind: int, buckets: int, keys: np.ndarray, owners: np.ndarray, vals: np.ndarray | None = None, wide: bool = False) -> list[tuple]:
-    """Rows of SCHEMA for the triples, at most one for each bucket. ``wide`` keeps all 64 bits of a key instead of 32 and the bucket."""
+def pack(kind: int, buckets: int, keys: np.ndarray, owners: np.ndarray, vals: np.ndarray | None = None, wide: bool = False, keyless: bool = False) -> list[tuple]:
+    """Rows of SCHEMA for the triples, at most one for each bucket.
+
+    Owners are sent once for each run of triples, so triples should come grouped by owner. ``wide`` keeps all 64 bits of a
+    key instead of 32 and the bucket; ``keyless`` uses keys only to choose the bucket.
+    """
     if not len(keys):
         return []
     b = bucket_of(keys, buckets)
     order = np.argsort(b, kind="stable")
-    b, keys, owners = b[order], keys[order], owners[order]
-    keys = keys if wide else (keys & U(0xFFFFFFFF)).astype(np.uint32)
+    b, owners = b[order], owners[order]
+    keys = np.zeros(0, np.uint8) if keyless else keys[order] if wide else (keys[order] & U(0xFFFFFFFF)).astype(np.uint32)
     vals = None if vals is None else vals[order].astype(np.uint32)
     cuts = np.concatenate([[0], np.nonzero(np.diff(b))[0] + 1, [len(b)]])
+    runs = np.nonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (owners[1:] != owners[:-1])]))[0]
+    length = np.diff(np.concatenate([runs, [len(b)]]))
+    length = length.astype(np.uint16 if length.max() < 1 << 16 else np.uint32)
+    ids, at = owners[runs], np.searchsorted(runs, cuts)
     rows = []
-    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        ids, at = np.unique(owners[s:e], return_inverse=True)
-        at = at.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32)
-        rows.append((int(b[s]), kind, e - s, keys[s:e].tobytes(), at.tobytes(), ids.tobytes(), b"" if vals is None else vals[s:e].tobytes()))
+    for i, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        r = slice(int(at[i]), int(at[i + 1]))
+        rows.append((int(b[s]), kind, e - s, keys[s:e].tobytes(), length[r].tobytes(), ids[r].tobytes(), b"" if vals is None else vals[s:e].tobytes()))
     return rows
 
 
 def unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, owners and values (zeros if not sent) of rows of one bucket."""
+    """Keys (zeros if not sent), owners and values (zeros if not sent) of rows of one bucket."""
     wide = any(len(r["keys"]) == 8 * r["n"] for r in rows)
-    keys, owners, vals = [np.zeros(0, U if wide else np.uint32)], [np.zeros(0, U)], [np.zeros(0, np.uint32)]
+    kind = U if wide else np.uint32
+    keys, owners, vals = [np.zeros(0, kind)], [np.zeros(0, U)], [np.zeros(0, np.uint32)]
     for r in rows:
         ids = np.frombuffer(r["owners"], U)
-        at = np.frombuffer(r["owner_ids"], np.uint16 if len(ids) <= 1 << 16 else np.uint32)
-        keys.append(np.frombuffer(r["keys"], U if wide else np.uint32))
-        owners.append(ids[at])
+        length = np.frombuffer(r["owner_ids"], np.uint16 if len(r["owner_ids"]) == 2 * len(ids) else np.uint32)
+        keys.append(np.frombuffer(r["keys"], kind) if r["keys"] else np.zeros(r["n"], kind))
+        owners.append(np.repeat(ids, length))
         vals.append(np.frombuffer(r["vals"], np.uint32) if r["vals"] else np.zeros(r["n"], np.uint32))
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(vals)
 
@@ -75,11 +83,12 @@ class SharedKeys:
     """The map side of the search for keys that occur with at least two owners.
 
     Keys that two owners have within one flush are settled here: their owners are credited at once and
-    one marker goes out for all, so a key that a third of all records have costs one entry a flush.
+    one marker goes out for all, so a key that a third of all records have costs one entry a flush. With ``counted`` no
+    values are kept and owners only learn how many of their keys are shared.
     """
 
-    def __init__(self, buckets: int, limit: int = 1_500_000, wide: bool = False):
-        self.buckets, self.limit, self.wide, self.held, self.parts = buckets, limit, wide, 0, []
+    def __init__(self, buckets: int, limit: int = 1_500_000, wide: bool = False, counted: bool = False):
+        self.buckets, self.limit, self.wide, self.counted, self.held, self.parts = buckets, limit, wide, counted, 0, []
 
     def add(self, keys: np.ndarray, owners: np.ndarray, vals: np.ndarray | None = None) -> list[tuple]:
         self.parts.append((keys, owners, np.zeros(len(keys), np.uint32) if vals is None else vals.astype(np.uint32)))
@@ -92,26 +101,27 @@ class SharedKeys:
         keys, owners, vals = (np.concatenate(x) for x in zip(*self.parts))
         self.held, self.parts = 0, []
         order, first, both, number = _shared(keys, owners)
-        keys, owners, vals = keys[order], owners[order], vals[order]
-        local = both[number]
-        rows = pack(TRIPLE, self.buckets, keys[~local], owners[~local], vals[~local], self.wide)
-        rows += pack(MARKER, self.buckets, keys[first[both]], np.zeros(int(both.sum()), U), wide=self.wide)
+        rows = pack(MARKER, self.buckets, keys[order[first[both]]], np.zeros(int(both.sum()), U), wide=self.wide)
+        local = np.zeros(len(keys), bool)
+        local[order] = both[number]
+        rows += pack(TRIPLE, self.buckets, keys[~local], owners[~local], None if self.counted else vals[~local], self.wide)
         # credits need no meeting; they travel in the bucket of a scrambled owner
-        rows += pack(CREDIT, self.buckets, owners[local] * U(0x9E3779B97F4A7C15), owners[local], vals[local])
-        return rows
+        owners, vals = owners[local], vals[local]
+        if self.counted and len(owners):
+            owners, vals = np.unique(owners, return_counts=True)
+        return rows + pack(CREDIT, self.buckets, owners * U(0x9E3779B97F4A7C15), owners, vals, keyless=True)
 
 
-def settle(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """The reduce side: owner and value of every triple whose key two owners have."""
+def settle(rows: list[dict], counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The reduce side: owner and value, or number, of every triple whose key two owners have."""
     triples, markers, credits = ([r for r in rows if r["kind"] == k] for k in (TRIPLE, MARKER, CREDIT))
     keys, owners, vals = unpack(triples)
     mk, _, _ = unpack(markers)
     n = len(keys)
     sent = np.concatenate([np.zeros(n, bool), np.ones(len(mk), bool)])
-    allk = np.concatenate([keys, mk])
-    owners_all = np.concatenate([owners, np.zeros(len(mk), U)])
-    order, _, both, number = _shared(allk, owners_all, sent)
-    hit = order[both[number]] if len(allk) else np.zeros(0, np.int64)
-    hit = hit[hit < n]
+    every = np.concatenate([keys, mk])
+    order, _, both, number = _shared(every, np.concatenate([owners, np.zeros(len(mk), U)]), sent)
+    hit = order[both[number]] if len(every) else np.zeros(0, np.int64)
+    hit = np.sort(hit[hit < n])
     _, co, cv = unpack(credits)
-    return np.concatenate([owners[hit], co]), np.concatenate([vals[hit], cv])
+    return np.concatenate([owners[hit], co]), np.concatenate([np.ones(len(hit), np.uint32) if counted else vals[hit], cv])

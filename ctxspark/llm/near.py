@@ -26,7 +26,9 @@ from ctxspark.llm.vec import Flat, U, Words, chunks, mix
 from ctxspark.plans.stage import exchange_parts, written
 
 CHUNK = 1 << 20
-SKETCH_BITS = 16
+SKETCH_BITS = 20
+SKETCH_SLICES = 64
+PARITY_BITS = 512
 
 
 def run_sets(texts: list[str], salts: np.ndarray, k: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +62,7 @@ def _scan(buckets: int, k: int, least_words: int):
     """Texts to blobs: the runs of each set, and the record directory as PLAIN rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, turn = X.SharedKeys(buckets), 0
+        shared, turn = X.SharedKeys(buckets, counted=True), 0
         for b in batches:
             src, ids, texts = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
             for s, e in chunks([len(t) for t in texts], CHUNK):
@@ -95,8 +97,9 @@ _COUNTS = pa.schema([("src", pa.string()), ("rec_id", pa.int64()), ("sid", pa.in
 def _count(table: pa.Table) -> pa.Table:
     """One bucket: how many runs of each set also occur in another set, and the directory rows."""
     rows = table.to_pylist()
-    owners, _ = X.settle(rows)
-    sid, shared = np.unique(owners, return_counts=True)
+    owners, number = X.settle(rows, counted=True)
+    sid, at = np.unique(owners, return_inverse=True)
+    shared = np.bincount(at, weights=number, minlength=len(sid))
     none = pa.nulls(len(sid))
     out = [pa.table({"src": none.cast(pa.string()), "rec_id": none.cast(pa.int64()), "sid": sid.view(np.int64), "n": none.cast(pa.int32()), "shared": shared.astype(np.int32)})]
     plain = [r for r in rows if r["kind"] == X.PLAIN]
@@ -104,7 +107,7 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def _sets(k: int, least_words: int):
-    """Texts to (src, sid, n, runs)."""
+    """Texts to (src, sid, n, runs, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,7 +116,7 @@ def _sets(k: int, least_words: int):
                 rows, sid, size, h = run_sets(texts[s:e], _salts(src[s:e], e - s), k, least_words)
                 if len(rows):
                     offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array([src[s + r] for r in rows]), pa.array(sid.view(np.int64)), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["src", "sid", "n", "runs"])
+                    yield pa.RecordBatch.from_arrays([pa.array([src[s + r] for r in rows]), pa.array(sid.view(np.int64)), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.array(list(parities(size, h)))], names=["src", "sid", "n", "runs", "bits"])
 
     return run
 
@@ -123,11 +126,35 @@ def _sketch_slot(h: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of hashed runs; 64 rows of fixed size for a task."""
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    """Counts of hashed runs of one task, in slices of fixed size."""
+    total = np.zeros(1 << SKETCH_BITS, np.int32)
     for b in batches:
-        total += np.bincount(_sketch_slot(b.column(0).flatten().to_numpy().view(U)), minlength=len(total))
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)[total > 0]), pa.array(total[total > 0])], names=["slot", "c"])
+        total += np.bincount(_sketch_slot(b.column(0).flatten().to_numpy().view(U)), minlength=len(total)).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SKETCH_SLICES)])], names=["slice", "counts"])
+
+
+def _sum_sketch(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c, np.int32) for c in table["counts"].to_pylist())
+    return pa.table({"slice": table["slice"][:1].cast(pa.int32()), "counts": pa.array([total.tobytes()])})
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """In how many sets the runs of each slot are: one array of 2**SKETCH_BITS numbers, 4 MB whatever the size of the data."""
+    out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.int32)
+    for r in sets.select("runs").mapInArrow(_sketch, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_sketch, "slice int, counts binary").collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], np.int32)
+    return out.ravel()
+
+
+def parities(size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each set, the parity of the number of elements in each of PARITY_BITS slots, as rows of int64.
+
+    Two sets' parities differ in at most as many bits as the sets differ in elements.
+    """
+    row = np.repeat(np.arange(len(size)), size)
+    slot = (mix(h + U(3)) >> U(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(row * PARITY_BITS + slot, minlength=len(size) * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(size), -1)
 
 
 def bands(least: int, ratio: float, top: int = 1 << 31) -> np.ndarray:
@@ -289,23 +316,27 @@ def similar_sets(texts: DataFrame, k: int = 5, t_num: int = 4, t_den: int = 5, l
         .select("first.src", "first.rec_id")
     )
     chosen = texts.hint("shuffle_hash").join(alive.hint("shuffle_hash"), ["src", "rec_id"], "left_semi").select("src", "text")
-    sets = written(chosen.mapInArrow(_sets(k, least_words), "src string, sid bigint, n int, runs array<bigint>").dropDuplicates(["sid"]), "near-sets")
-
-    slots = sets.select("runs").mapInArrow(_sketch, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # at most 2**SKETCH_BITS rows
-    frequency = np.zeros(1 << SKETCH_BITS, np.int64)
-    frequency[slots["slot"].to_numpy()] = slots["c"].to_numpy()
-    spark = texts.sparkSession
-    # by size, so that a task's records share bands and long ones are spread
-    signed = sets.select("sid", "n", "runs").mapInArrow(_sign(parts, bands(4, ratio), spark.sparkContext.broadcast(frequency), t_num, t_den), X.SCHEMA)
+    sets = written(chosen.mapInArrow(_sets(k, least_words), "src string, sid bigint, n int, runs array<bigint>, bits array<bigint>").dropDuplicates(["sid"]), "near-sets")
+
+    frequency = texts.sparkSession.sparkContext.broadcast(frequencies(sets))
+    signed = sets.select("sid", "n", "runs").mapInArrow(_sign(parts, bands(4, ratio), frequency, t_num, t_den), X.SCHEMA)
     candidates = signed.groupBy("bucket").applyInArrow(_pairs, "a bigint, b bigint").distinct()
-    side = lambda c: sets.select(F.col("sid").alias(c), F.col("src").alias(f"src_{c}"), F.col("n").alias(f"n_{c}"), F.col("runs").alias(f"runs_{c}"))
-    pairs = (
-        candidates.join(side("a"), "a").join(side("b"), "b").where("src_a = src_b")
+    # most candidates differ too much already in their parities, so few need both sets in one place
+    small = lambda c: sets.select(F.col("sid").alias(c), F.col("src").alias(f"src_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    close = (
+        candidates.join(small("a"), "a").join(small("b"), "b").where("src_a = src_b")
         .where(F.least("n_a", "n_b") * t_den >= F.greatest("n_a", "n_b") * t_num)
+        .where(differ * (t_den + t_num) <= (F.col("n_a") + F.col("n_b")) * (t_den - t_num))
+        .select(F.col("src_a").alias("src"), "a", "b", "n_a", "n_b")
+    )
+    runs = lambda c: sets.select(F.col("sid").alias(c), F.col("runs").alias(f"runs_{c}"))
+    pairs = (
+        close.join(runs("a"), "a").join(runs("b"), "b")
         .withColumn("n_shared", F.size(F.array_intersect("runs_a", "runs_b")))
         .withColumn("n_union", F.col("n_a") + F.col("n_b") - F.col("n_shared"))
         .where(F.col("n_shared") * t_den >= F.col("n_union") * t_num)
-        .select(F.col("src_a").alias("src"), "a", "b", "n_shared", "n_union")
+        .select("src", "a", "b", "n_shared", "n_union")
     )
     return pairs, members
 

@@ -128,7 +128,9 @@ def _deep(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         tid, pos = X.settle(table.to_pylist())
-        rows = X.pack(STARTS, buckets, mix(tid), tid, pos)
+        order = np.argsort(tid, kind="stable")
+        tid, pos = tid[order], pos[order]
+        rows = X.pack(STARTS, buckets, mix(tid), tid, pos, keyless=True)
         return pa.Table.from_batches([X.batch(rows)] if rows else [], X._ARROW)
 
     return run
