@@ -351,3 +351,44 @@ def similar_records(texts: DataFrame, **how) -> DataFrame:
     again = a.join(repeated, ["src", "a"], "left_semi")
     within = again.join(again.withColumnRenamed("id_1", "id_2"), ["src", "a"]).where("id_1 < id_2").select("src", "id_1", "id_2")
     return across.unionByName(within).select("src", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b")).distinct()
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root): the connected components of undirected ``edges`` (a, b), named by their least node.
+
+    Alternating large-star and small-star steps; each is one aggregation and one join on written tables, so nothing is gathered
+    by component, and a long chain takes a number of rounds logarithmic in its length. Loops at a node are ignored.
+    """
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    for _ in range(rounds):
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        step = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
+        step = written(step.distinct(), "cc")
+        same = step.count() == edges.count() and step.join(edges, ["a", "b"], "left_anti").isEmpty()
+        edges = step
+        if same:
+            break
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def similar_groups(texts: DataFrame, **how) -> DataFrame:
+    """(src, rec_id, group_id, n_links, n_copies): the group of each record of at least ``least_words`` words and one run.
+
+    Groups are the connected components of similarity; ``group_id`` is the least rec_id of the group, ``n_links`` the number of different
+    run sets similar to the record's, ``n_copies`` that of other records with the same set. See ``similar_sets`` for the rest.
+    """
+    pairs, members = similar_sets(texts, **how)
+    pairs = written(pairs.select("src", "a", "b"), "near-pairs")
+    links = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("n_links"))
+    roots = components(pairs.select("a", "b"))
+    copies = members.groupBy("sid").agg(F.count("*").alias("c"), F.min("rec_id").alias("first"))
+    sets = copies.join(links, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "c", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "sid").alias("root"))
+    sets = written(sets, "near-roots")
+    names = sets.groupBy("root").agg(F.min("first").alias("group_id"))
+    return members.join(sets.join(names, "root"), "sid").select("src", "rec_id", "group_id", "n_links", (F.col("c") - 1).alias("n_copies"))

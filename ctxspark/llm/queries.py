@@ -1,40 +1,96 @@
-"""The queries of the problems on training data."""
+"""The queries of the problems on training data. Each runs over its whole tables; rows delivered twice count once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from ctxspark.llm.bpe import encode_texts
-from ctxspark.llm.near import similar_records
-from ctxspark.llm.records import record_texts
+from pyspark.sql import functions as F
+
+from ctxspark.llm.bpe import count_tokens, encode_texts
+from ctxspark.llm.chunk import base_items, raw_items, split_items
+from ctxspark.llm.fill import fill_containers
+from ctxspark.llm.leaks import leaked_items
+from ctxspark.llm.near import similar_groups, similar_records
+from ctxspark.llm.pairs import defective_pairs
+from ctxspark.llm.records import BASE, RAW, record_texts
 from ctxspark.llm.spans import shared_amounts, shared_spans
 
+LIMIT, OVERLAP = 3000, 200
+NEAR = {"k": 3, "t_num": 3, "t_den": 5, "least_words": 20}
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    items = raw_items(_table(spark, d, RAW), LIMIT).unionByName(base_items(_table(spark, d, BASE), LIMIT))
+    return split_items(items, LIMIT, OVERLAP)
 
-def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The texts over the limit and the coarsest level of boundaries that suffices to cut them."""
+    return _pieces(spark, d).where("piece_no = 0").select("src", "rec_id", "item_no", "cut_at").distinct()
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all texts over the limit."""
+    return _pieces(spark, d).dropDuplicates(["src", "rec_id", "item_no", "piece_no"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of records of a table with a Jaccard similarity of 0.6 or more on runs of three words."""
-    return similar_records(record_texts(spark, d), k=3, t_num=3, t_den=5, least_words=20)
+    return similar_records(record_texts(spark, d), **NEAR)
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of near-duplicates of each record."""
+    return similar_groups(record_texts(spark, d), **NEAR)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The chat rows whose target is defective, and how."""
+    return defective_pairs(_table(spark, d, RAW))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    items = _table(spark, d, "benchmark_rows").select("item_id", "prompt", F.col("extra_info.ground_truth.answers").alias("answers"))
+    return leaked_items(record_texts(spark, d), items)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The records that hold 13 consecutive words of an item's passage."""
+    return _leaks(spark, d).select("src", "rec_id", "item_id")
+
+
+def p4_items(spark: SparkSession, d: str) -> DataFrame:
+    """For each leaked item, in how many records its passage is, and in how many with its question or an answer."""
+    count = lambda c: F.sum(F.col(c).cast("bigint"))
+    return _leaks(spark, d).groupBy("item_id", "src").agg(F.count("*").alias("n_records"), count("has_question").alias("n_question"), count("has_answer").alias("n_answer"), F.sum("n_runs").alias("n_runs"))
 
 
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
-    """The token ids of every document by byte_bpe_50k; rows delivered twice count once."""
-    return encode_texts(_documents(spark, d), ["doc_id"])
+    """The token ids of every document by byte_bpe_50k."""
+    return encode_texts(_table(spark, d, "documents"), ["doc_id"])
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in containers of 2,048 tokens of byte_bpe_50k."""
+    return fill_containers(count_tokens(_table(spark, d, "documents"), ["doc_id"]), 2048)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The maximal runs of places shared with another document in stretches of 100 characters or more."""
-    return shared_spans(_documents(spark, d))
+    return shared_spans(_table(spark, d, "documents"))
 
 
 def p7_amounts(spark: SparkSession, d: str) -> DataFrame:
     """How much of every document occurs elsewhere."""
-    return shared_amounts(_documents(spark, d))
+    return shared_amounts(_table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_ids": p5_ids, "p7_found": p7_found, "p7_amounts": p7_amounts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_items, p5_ids, p6_containers, p7_found, p7_amounts)
+}
 ORACLES: dict[str, str] = {}
