@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxspark.plans import q_scan, q_text  # noqa: F401  (modules register their queries)
+from ctxspark.plans import q_pack, q_scan, q_text  # noqa: F401  (modules register their queries)
 from ctxspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
