@@ -11,7 +11,8 @@ from ctxspark.operators import examples as E
 from ctxspark.operators import packing as P
 from ctxspark.operators import rows as R
 from ctxspark.operators import windows as W
-from ctxspark.plans.q_text import lat, nemb, ntok
+from ctxspark.plans.q_scan import PLAN, plan
+from ctxspark.plans.q_text import PREPROCESS, lat, nemb, ntok, raw
 from ctxspark.plans.registry import Tables, query
 
 NEXT_FIT = f"""i AS MATERIALIZED (SELECT source AS shard, md5('42-' || doc_id) AS ord, doc_id AS id, {ntok('text')} AS n FROM documents WHERE text IS NOT NULL),
@@ -250,3 +251,12 @@ def join_positional(t: Tables) -> DataFrame:
     """Strings and positions of an example side by side by place; what has no partner is left out."""
     z = once(t).select("example_id", F.posexplode(F.arrays_zip("memory_strings", "memory_positions")).alias("ord", "z"), F.least(F.size("memory_strings"), F.size("memory_positions")).alias("n"))
     return z.where("ord < n").select("example_id", F.col("ord").cast("bigint").alias("ord"), F.col("z.memory_positions").alias("pos"), F.length("z.memory_strings").cast("bigint").alias("n_chars"))
+
+
+@query(f"WITH {PREPROCESS}, {PLAN}, b AS (SELECT row_id, format, n_masked + n_trainable AS seq_len, file_ord, row_ord // 8 AS batch FROM pre JOIN plan USING (row_id)) SELECT row_id, format, file_ord, batch, seq_len, max(seq_len) OVER (PARTITION BY file_ord, batch) - seq_len AS pad_len FROM b")
+def collate_mixed(t: Tables) -> DataFrame:
+    """Chat and continual rows side by side in batches of eight in read order, padded on the right to the longest."""
+    from pyspark.sql import Window
+
+    b = R.preprocess(raw(t)).join(plan(t), "row_id").withColumn("batch", F.floor(F.col("row_ord") / 8).cast("bigint"))
+    return b.select("row_id", "format", "file_ord", "batch", "seq_len", (F.max("seq_len").over(Window.partitionBy("file_ord", "batch")) - F.col("seq_len")).alias("pad_len"))
