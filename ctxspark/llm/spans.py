@@ -50,7 +50,7 @@ def anchors(flat: Flat, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     # the windows that hold a place are the w that begin at or before it
     high = _slide(np.concatenate([np.zeros(w - 1, U), low, np.zeros(w - 1, U)]), w, np.maximum)
     at = np.nonzero(high == h)[0]
-    return at, h[at]
+    return at, mix(h[at] + U(1))  # the least hashes are all small; scrambled again they spread over the partitions
 
 
 def text_ids(flat: Flat) -> np.ndarray:
