@@ -53,9 +53,9 @@ def regroup(sequences: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def groups(vec: Column, ratio: int) -> Column:
-    """Slices of ``ratio`` elements; the last may be shorter."""
+    """Slices of ``ratio`` elements; the last may be shorter. An empty vector has none."""
     starts = F.sequence(F.lit(1), F.size(vec), F.lit(ratio))
-    return F.when(F.size(vec) > 0, F.transform(starts, lambda s: F.slice(vec, s, F.lit(ratio)))).otherwise(F.array(vec).cast("array<array<double>>"))
+    return F.when(F.size(vec) > 0, F.transform(starts, lambda s: F.slice(vec, s, F.lit(ratio)))).otherwise(F.array().cast("array<array<double>>"))
 
 
 def pool_mean(vectors: DataFrame, ratio: int) -> DataFrame:
