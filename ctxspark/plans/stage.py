@@ -42,8 +42,13 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Estimates from here on are no sizes: the optimizer's default for unknown inputs, or products of joined ones.
+UNKNOWN = 1 << 50
+
+
 def exchange_parts(*dfs: DataFrame, each: int = 8 << 20) -> int:
     """Buckets for an exchange fed by ``dfs``: twice the session's partitions, more if an input is large."""
     spark = dfs[0].sparkSession
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 20, math.ceil(sum(map(planned_bytes, dfs)) / each)))
+    size = sum(n for n in map(planned_bytes, dfs) if n < UNKNOWN)
+    return max(least, math.ceil(size / each))
