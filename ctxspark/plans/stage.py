@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_PATHS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,10 +34,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> int:
+    """Deletes the stages this process has written and says how many; results that still read them must be saved before."""
+    n = 0
+    while _PATHS:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        n += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    return n
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of ``df``'s size: for a scan, the bytes of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
