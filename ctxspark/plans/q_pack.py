@@ -105,24 +105,25 @@ VERIFY = f"v AS (SELECT *, coalesce(len(memory_strings), 0)::BIGINT AS n_strings
 VALID = f"{ONCE}, {VERIFY}, ok AS (SELECT *, list_transform(coalesce(memory_strings, []), lambda s: {lat(nemb(chr(99) + 'oalesce(s, ' + chr(39) * 2 + ')'))}) AS k, coalesce(memory_positions, []) AS pos FROM v WHERE n_strings = n_positions AND n_bad = 0 AND base_input_ids IS NOT NULL)"
 
 
-def once(t: Tables) -> DataFrame:
-    return R.once(t.base_examples, "example_id", *E.COLUMNS)
+def examples(t: Tables) -> DataFrame:
+    """Examples as packed; results of each are made distinct, so an example packed twice counts once without a shuffle of its arrays."""
+    return t.base_examples.select("example_id", *E.COLUMNS)
 
 
 @query(f"WITH {ONCE}, {VERIFY} SELECT example_id, n_strings, n_positions, n_bad, n_strings = n_positions AND n_bad = 0 AS is_valid FROM v")
 def verify_positions(t: Tables) -> DataFrame:
-    return E.verify(once(t))
+    return E.verify(examples(t)).distinct()
 
 
 @query(f"WITH {VALID} SELECT shard, count(*) AS n_valid FROM ok GROUP BY shard")
 def invalid_region_filter(t: Tables) -> DataFrame:
-    return E.valid(once(t)).groupBy("shard").agg(F.count("*").alias("n_valid"))
+    return E.valid(examples(t)).select("example_id", "shard").distinct().groupBy("shard").agg(F.count("*").alias("n_valid"))
 
 
 @query(f"WITH {VALID} SELECT pack_id, count(*) AS n_examples FROM ok GROUP BY pack_id")
 def empty_pack_filter(t: Tables) -> DataFrame:
     """Packs with at least one example left."""
-    return E.valid(once(t)).groupBy("pack_id").agg(F.count("*").alias("n_examples"))
+    return E.valid(examples(t)).select("example_id", "pack_id").distinct().groupBy("pack_id").agg(F.count("*").alias("n_examples"))
 
 
 EXPAND = f"""{VALID}, x AS (SELECT example_id, pack_id, pos, k,
@@ -133,14 +134,14 @@ flatten(list_transform(base_input_ids, lambda a, i: CASE WHEN list_contains(pos,
 @query(f"WITH {EXPAND} SELECT example_id, md5(array_to_string(ids, ',')) AS ids_md5, md5(array_to_string(list_transform(labels, lambda z: coalesce(z::VARCHAR, '')), ',')) AS labels_md5, len(ids)::BIGINT AS seq_len, len(pos)::BIGINT AS n_regions FROM x")
 def expand_base_example(t: Tables) -> DataFrame:
     join = lambda c: F.md5(F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit(""))), ","))
-    return E.expand(once(t)).select("example_id", join("input_ids").alias("ids_md5"), join("labels").alias("labels_md5"), "seq_len", F.size("spans").cast("bigint").alias("n_regions"))
+    return E.expand(examples(t)).select("example_id", join("input_ids").alias("ids_md5"), join("labels").alias("labels_md5"), "seq_len", F.size("spans").cast("bigint").alias("n_regions")).distinct()
 
 
 @query(f"""WITH {EXPAND}, s AS (SELECT example_id, unnest(pos) AS p, unnest(k) AS kk, pos, k FROM x) SELECT example_id, p + 1 + coalesce(list_sum(list_transform(list_filter(list_zip(pos, k), lambda z: z[1] < p), lambda z: z[2] - 1)), 0)::BIGINT AS span_start,
 p + 1 + coalesce(list_sum(list_transform(list_filter(list_zip(pos, k), lambda z: z[1] < p), lambda z: z[2] - 1)), 0)::BIGINT + kk AS span_end FROM s""")
 def example_spans(t: Tables) -> DataFrame:
-    s = E.expand(once(t)).select("example_id", F.explode("spans").alias("s"))
-    return s.select("example_id", F.col("s.start").cast("bigint").alias("span_start"), F.col("s.end").cast("bigint").alias("span_end"))
+    s = E.expand(examples(t)).select("example_id", F.explode("spans").alias("s"))
+    return s.select("example_id", F.col("s.start").cast("bigint").alias("span_start"), F.col("s.end").cast("bigint").alias("span_end")).distinct()
 
 
 RUNS = f"{ONCE}, m AS (SELECT example_id, unnest(list_filter(range(1, len(base_input_ids) + 1), lambda i: base_input_ids[i] = 50258)) AS i FROM e), g AS (SELECT example_id, i, i - row_number() OVER (PARTITION BY example_id ORDER BY i) AS grp FROM m)"
@@ -148,19 +149,20 @@ RUNS = f"{ONCE}, m AS (SELECT example_id, unnest(list_filter(range(1, len(base_i
 
 @query(f"WITH {RUNS} SELECT example_id, min(i) - 1 AS run_start, max(i) AS run_end FROM g GROUP BY example_id, grp")
 def placeholder_runs(t: Tables) -> DataFrame:
-    return E.placeholder_runs(once(t))
+    return E.placeholder_runs(examples(t)).distinct()
 
 
 @query(f"WITH {RUNS} SELECT example_id, count(DISTINCT grp) AS n_runs, count(*) AS n_placeholders FROM g GROUP BY example_id")
 def find_positions_unwrapped(t: Tables) -> DataFrame:
-    return E.placeholder_runs(once(t)).groupBy("example_id").agg(F.count("*").alias("n_runs"), F.sum(F.col("run_end") - F.col("run_start")).alias("n_placeholders"))
+    return E.placeholder_runs(examples(t)).distinct().groupBy("example_id").agg(F.count("*").alias("n_runs"), F.sum(F.col("run_end") - F.col("run_start")).alias("n_placeholders"))
 
 
 @query(f"WITH {EXPAND} SELECT pack_id, count(*) AS n_examples, sum(len(ids))::BIGINT AS length, sum(len(list_filter(labels, lambda z: z <> -100)))::BIGINT AS n_trainable FROM x GROUP BY pack_id")
 def pack_fill_labels(t: Tables) -> DataFrame:
     """Packs of expanded examples; an example without labels counts as ignored."""
-    e = E.expand(once(t))
-    return e.groupBy("pack_id").agg(F.count("*").alias("n_examples"), F.sum("seq_len").alias("length"), F.sum(F.size(F.filter("labels", lambda x: x != C.IGNORE))).cast("bigint").alias("n_trainable"))
+    trained = F.size(F.filter("labels", lambda x: x != C.IGNORE)).cast("bigint")
+    e = E.expand(examples(t)).select("example_id", "pack_id", "seq_len", trained.alias("trained")).distinct()
+    return e.groupBy("pack_id").agg(F.count("*").alias("n_examples"), F.sum("seq_len").alias("length"), F.sum("trained").alias("n_trainable"))
 
 
 SEQ = f"s AS (SELECT doc_id AS id, {nemb('text')} AS n FROM documents WHERE text IS NOT NULL)"
@@ -249,8 +251,8 @@ def splice_latents(t: Tables) -> DataFrame:
 @query("SELECT example_id, i - 1 AS ord, memory_positions[i] AS pos, length(memory_strings[i])::BIGINT AS n_chars FROM (SELECT *, unnest(range(1, least(coalesce(len(memory_strings), 0), coalesce(len(memory_positions), 0)) + 1)) AS i FROM (SELECT example_id, any_value(memory_strings) AS memory_strings, any_value(memory_positions) AS memory_positions FROM base_examples GROUP BY example_id))")
 def join_positional(t: Tables) -> DataFrame:
     """Strings and positions of an example side by side by place; what has no partner is left out."""
-    z = once(t).select("example_id", F.posexplode(F.arrays_zip("memory_strings", "memory_positions")).alias("ord", "z"), F.least(F.size("memory_strings"), F.size("memory_positions")).alias("n"))
-    return z.where("ord < n").select("example_id", F.col("ord").cast("bigint").alias("ord"), F.col("z.memory_positions").alias("pos"), F.length("z.memory_strings").cast("bigint").alias("n_chars"))
+    z = examples(t).select("example_id", F.posexplode(F.arrays_zip("memory_strings", "memory_positions")).alias("ord", "z"), F.least(F.size("memory_strings"), F.size("memory_positions")).alias("n"))
+    return z.where("ord < n").select("example_id", F.col("ord").cast("bigint").alias("ord"), F.col("z.memory_positions").alias("pos"), F.length("z.memory_strings").cast("bigint").alias("n_chars")).distinct()
 
 
 @query(f"WITH {PREPROCESS}, {PLAN}, b AS (SELECT row_id, format, n_masked + n_trainable AS seq_len, file_ord, row_ord // 8 AS batch FROM pre JOIN plan USING (row_id)) SELECT row_id, format, file_ord, batch, seq_len, max(seq_len) OVER (PARTITION BY file_ord, batch) - seq_len AS pad_len FROM b")
@@ -258,5 +260,5 @@ def collate_mixed(t: Tables) -> DataFrame:
     """Chat and continual rows side by side in batches of eight in read order, padded on the right to the longest."""
     from pyspark.sql import Window
 
-    b = R.preprocess(raw(t)).join(plan(t), "row_id").withColumn("batch", F.floor(F.col("row_ord") / 8).cast("bigint"))
+    b = R.preprocess(raw(t)).distinct().join(plan(t), "row_id").withColumn("batch", F.floor(F.col("row_ord") / 8).cast("bigint"))
     return b.select("row_id", "format", "file_ord", "batch", "seq_len", (F.max("seq_len").over(Window.partitionBy("file_ord", "batch")) - F.col("seq_len")).alias("pad_len"))

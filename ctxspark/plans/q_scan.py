@@ -40,8 +40,8 @@ def scan_parquet(t: Tables) -> DataFrame:
 
 @query("SELECT pack_id, count(*) AS n_examples, sum(len(base_input_ids))::BIGINT AS n_ids FROM (SELECT example_id, any_value(pack_id) AS pack_id, any_value(base_input_ids) AS base_input_ids FROM base_examples GROUP BY example_id) GROUP BY pack_id")
 def scan_packed(t: Tables) -> DataFrame:
-    e = R.once(t.base_examples, "example_id", "pack_id", "base_input_ids")
-    return e.groupBy("pack_id").agg(F.count("*").alias("n_examples"), F.sum(F.when(F.col("base_input_ids").isNotNull(), F.size("base_input_ids"))).alias("n_ids"))
+    n = F.when(F.col("base_input_ids").isNotNull(), F.size("base_input_ids")).alias("n")
+    return t.base_examples.select("example_id", "pack_id", n).distinct().groupBy("pack_id").agg(F.count("*").alias("n_examples"), F.sum("n").alias("n_ids"))
 
 
 @query("SELECT 'raw_rows' AS tbl, count(*) AS n FROM raw_rows UNION ALL SELECT 'base_examples', count(*) FROM base_examples UNION ALL SELECT 'documents', count(*) FROM documents")

@@ -55,7 +55,8 @@ def part_sum(text: str) -> str:
 
 
 def raw(t: Tables) -> DataFrame:
-    return R.once(t.raw_rows, "row_id", "prompt", "target")
+    """Raw rows as delivered. What is computed of each row is made distinct afterwards, so deliveries cost no shuffle of texts."""
+    return t.raw_rows.select("row_id", "prompt", "target")
 
 
 @query(f"SELECT doc_id, {ntok('text')} AS n_tok, {nemb('text')} AS n_embed FROM documents WHERE text IS NOT NULL")
@@ -103,12 +104,12 @@ def token_strings(t: Tables) -> DataFrame:
 @query(f"WITH {RAW} SELECT row_id, md5({RENDER}) AS prompt_md5, md5({TARGET}) AS target_md5, {ntok(RENDER)} AS prompt_tok, {ntok(TARGET)} AS target_tok FROM raw WHERE target IS NULL OR target <> 'NA_string_only'")
 def chat_prompt_target(t: Tables) -> DataFrame:
     p = R.chat_prompt_target(raw(t))
-    return p.select("row_id", F.md5("prompt_text").alias("prompt_md5"), F.md5("target_text").alias("target_md5"), T.n_tokens("prompt_text").alias("prompt_tok"), T.n_tokens("target_text").alias("target_tok"))
+    return p.select("row_id", F.md5("prompt_text").alias("prompt_md5"), F.md5("target_text").alias("target_md5"), T.n_tokens("prompt_text").alias("prompt_tok"), T.n_tokens("target_text").alias("target_tok")).distinct()
 
 
 @query(f"WITH {RAW} SELECT row_id, md5({RENDER}) AS rendered_md5, len(prompt)::BIGINT AS n_turns FROM raw")
 def render_chat(t: Tables) -> DataFrame:
-    return raw(t).select("row_id", F.md5(T.render_chat("prompt")).alias("rendered_md5"), F.when(F.col("prompt").isNotNull(), F.size("prompt").cast("bigint")).alias("n_turns"))
+    return raw(t).select("row_id", F.md5(T.render_chat("prompt")).alias("rendered_md5"), F.when(F.col("prompt").isNotNull(), F.size("prompt").cast("bigint")).alias("n_turns")).distinct()
 
 
 EXPANDED = f"(1 - 1 + {part_sum(RENDER)} + {total(ks(RENDER))} + 2 * len({bodies(RENDER)}))::BIGINT"
@@ -116,7 +117,7 @@ EXPANDED = f"(1 - 1 + {part_sum(RENDER)} + {total(ks(RENDER))} + 2 * len({bodies
 
 @query(f"WITH {RAW}, s AS (SELECT row_id, {EXPANDED} AS n_masked, {ntok(TARGET)} AS n_trainable FROM raw WHERE target IS NULL OR target <> 'NA_string_only') SELECT *, n_masked + n_trainable AS seq_len FROM s")
 def sft_sequence(t: Tables) -> DataFrame:
-    return R.sft_sequences(raw(t))
+    return R.sft_sequences(raw(t)).distinct()
 
 
 CONTINUAL = f"SELECT row_id, {part_sum(CONT)} AS n_trainable, ({total(ks(CONT))} + 2 * len({bodies(CONT)}))::BIGINT AS n_masked FROM raw WHERE target = 'NA_string_only'"
@@ -124,12 +125,12 @@ CONTINUAL = f"SELECT row_id, {part_sum(CONT)} AS n_trainable, ({total(ks(CONT))}
 
 @query(f"WITH {RAW}, s AS ({CONTINUAL}) SELECT *, n_masked + n_trainable AS seq_len FROM s")
 def continual_sequence(t: Tables) -> DataFrame:
-    return R.continual_sequences(raw(t))
+    return R.continual_sequences(raw(t)).distinct()
 
 
 @query(f"WITH {RAW}, s AS (SELECT row_id, {ntok(RENDER)} AS n_masked, {ntok(TARGET)} AS n_trainable FROM raw WHERE target IS NULL OR target <> 'NA_string_only') SELECT *, n_masked + n_trainable AS seq_len FROM s")
 def teacher_sequence(t: Tables) -> DataFrame:
-    return R.teacher_sequences(raw(t))
+    return R.teacher_sequences(raw(t)).distinct()
 
 
 PREPROCESS = f"""{RAW}, pre AS (SELECT row_id, 'chat' AS format, n_masked, n_trainable FROM (SELECT row_id, {EXPANDED} AS n_masked, {ntok(TARGET)} AS n_trainable FROM raw WHERE target IS NULL OR target <> 'NA_string_only')
@@ -138,12 +139,12 @@ UNION ALL SELECT row_id, 'continual_pretraining', n_masked, n_trainable FROM ({C
 
 @query(f"WITH {PREPROCESS} SELECT row_id, format, n_masked, n_trainable, n_masked + n_trainable AS seq_len FROM pre")
 def preprocess_example(t: Tables) -> DataFrame:
-    return R.preprocess(raw(t))
+    return R.preprocess(raw(t)).distinct()
 
 
 @query(f"""WITH {PREPROCESS} SELECT format, count(*) AS n, sum(n_masked + n_trainable)::BIGINT AS total_len FROM pre GROUP BY format""")
 def union_formats(t: Tables) -> DataFrame:
-    return R.preprocess(raw(t)).groupBy("format").agg(F.count("*").alias("n"), F.sum("seq_len").alias("total_len"))
+    return R.preprocess(raw(t)).distinct().groupBy("format").agg(F.count("*").alias("n"), F.sum("seq_len").alias("total_len"))
 
 
 BODY_SUM = total(f"list_transform({bodies(CONT)}, lambda b: {ntok('b')})")
@@ -153,14 +154,14 @@ BODY_SUM = total(f"list_transform({bodies(CONT)}, lambda b: {ntok('b')})")
 CASE WHEN target = 'NA_string_only' THEN {part_sum(CONT)} ELSE {ntok(TARGET)} END AS trainable,
 CASE WHEN target = 'NA_string_only' THEN {BODY_SUM} ELSE {ntok(RENDER)} END AS non_trainable FROM raw) SELECT *, trainable + non_trainable AS total FROM s""")
 def stats_pre(t: Tables) -> DataFrame:
-    return R.stats_pre(raw(t))
+    return R.stats_pre(raw(t)).distinct()
 
 
 @query("SELECT example_id, len(list_filter(any_value(base_labels), lambda x: x <> -100))::BIGINT AS trainable, len(list_filter(any_value(base_labels), lambda x: x = -100))::BIGINT AS non_trainable FROM base_examples GROUP BY example_id")
 def stats_post(t: Tables) -> DataFrame:
-    e = R.once(t.base_examples, "example_id", "base_labels")
+    e = t.base_examples
     n = lambda c: F.when(F.col("base_labels").isNotNull(), F.size(F.filter("base_labels", c)).cast("bigint"))
-    return e.select("example_id", n(lambda x: x != C.IGNORE).alias("trainable"), n(lambda x: x == C.IGNORE).alias("non_trainable"))
+    return e.select("example_id", n(lambda x: x != C.IGNORE).alias("trainable"), n(lambda x: x == C.IGNORE).alias("non_trainable")).distinct()
 
 
 @query(f"""WITH s AS (SELECT source, {part_sum('text')} AS r, {total(ks('text'))} AS k, {total('list_transform(' + bodies('text') + ', lambda b: ' + nemb('b') + ')')} AS e, 2 * len({bodies('text')}) AS m FROM documents WHERE text IS NOT NULL),
@@ -172,12 +173,12 @@ def compression_stats(t: Tables) -> DataFrame:
 
 @query(f"WITH {RAW} SELECT CASE WHEN target = 'NA_string_only' THEN 'continual_pretraining' ELSE 'chat' END AS format, count(*) AS n FROM raw GROUP BY 1")
 def format_detect(t: Tables) -> DataFrame:
-    return R.once(t.raw_rows, "row_id", "target").groupBy(T.row_format("target").alias("format")).agg(F.count("*").alias("n"))
+    return t.raw_rows.select("row_id", T.row_format("target").alias("format")).distinct().groupBy("format").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {RAW} SELECT row_id, md5({CONT}) AS text_md5 FROM raw WHERE target = 'NA_string_only'")
 def continual_text(t: Tables) -> DataFrame:
-    return raw(t).where(F.col("target") == C.CONTINUAL_TARGET).select("row_id", F.md5(T.continual_text("prompt")).alias("text_md5"))
+    return raw(t).where(F.col("target") == C.CONTINUAL_TARGET).select("row_id", F.md5(T.continual_text("prompt")).alias("text_md5")).distinct()
 
 
 @query(f"""WITH {RAW} SELECT row_id, prompt IS NULL AS no_prompt, target IS NULL AS no_target, coalesce(len(list_filter(prompt, lambda m: m.role IS NULL OR m.content IS NULL)), 0)::BIGINT AS n_null_parts
@@ -186,7 +187,7 @@ def typecheck(t: Tables) -> DataFrame:
     bad = F.coalesce(F.size(F.filter("prompt", lambda m: m["role"].isNull() | m["content"].isNull())), F.lit(0)).cast("bigint")
     bad = F.when(F.col("prompt").isNull(), F.lit(0).cast("bigint")).otherwise(bad)
     rows = raw(t).select("row_id", F.col("prompt").isNull().alias("no_prompt"), F.col("target").isNull().alias("no_target"), bad.alias("n_null_parts"))
-    return rows.where("no_prompt or no_target or n_null_parts > 0")
+    return rows.where("no_prompt or no_target or n_null_parts > 0").distinct()
 
 
 @query(f"WITH sp AS ({SPANS}), n AS (SELECT doc_id, (sum(end_pos - start_pos) + 2 * count(*))::BIGINT AS n_in FROM sp GROUP BY doc_id), x AS (SELECT doc_id, {part_sum('text')} AS n_out FROM documents WHERE text IS NOT NULL) SELECT x.doc_id, coalesce(n_in, 0) AS n_in, n_out FROM x LEFT JOIN n USING (doc_id)")
