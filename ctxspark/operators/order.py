@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxspark import constants as C
+from ctxspark.plans.prefix import running
 
 
 def file_shuffle(files: DataFrame, seed: int = C.SEED) -> DataFrame:
@@ -32,11 +33,11 @@ def shard_round_robin(ordered: DataFrame, ranks: int) -> DataFrame:
 def row_order(rows: DataFrame, seed: int = C.SEED, epoch: int = 0, shuffle: bool = True) -> DataFrame:
     """``rows`` of (row_id, file_path, row_idx) with ``row_ord``, the place in the file: hashed, or as stored.
 
-    The window is over one file, the unit of storage. Rows without a file have no place and are left out.
+    A file may hold any share of the rows: its rows are numbered in ranges. Rows without a file have no place and are left out.
     """
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(epoch)), "file_path", F.col("row_idx").cast("string")))
-    w = Window.partitionBy("file_path").orderBy(*([key] if shuffle else []), "row_idx", "row_id")
-    return rows.where("file_path is not null").withColumn("row_ord", (F.row_number().over(w) - 1).cast("bigint"))
+    keyed = rows.where("file_path is not null").withColumn("__key", key if shuffle else F.lit(""))
+    return running(keyed, ["file_path"], ["__key", "row_idx", "row_id"], {"row_ord": F.lit(1)}).drop("__key").withColumn("row_ord", F.col("row_ord").cast("bigint") - 1)
 
 
 def scan_plan(rows: DataFrame, files: DataFrame, ranks: int = C.RANKS, seed: int = C.SEED, epoch: int = 0) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxspark.functions import parsing as P
+from ctxspark.plans.prefix import running
 
 NEEDLES_AT_ONCE = 100_000
 
@@ -35,9 +36,9 @@ def metric_aggregate(metrics: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_score(scores: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """``running``: the mean of the scores so far in each group."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return scores.withColumn("running", F.avg("score").over(w))
+    """``running``: the mean of the scores so far in each group; a group may hold any share of the rows."""
+    r = running(scores, [by], order, {"__sum": F.col("score"), "__n": F.lit(1)})
+    return r.withColumn("running", F.col("__sum") / F.col("__n")).drop("__sum", "__n")
 
 
 def contained_needles(texts: DataFrame, needles: DataFrame, at_once: int = NEEDLES_AT_ONCE) -> DataFrame:

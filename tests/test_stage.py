@@ -13,3 +13,21 @@ def test_exchange_parts(spark):
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert stage.exchange_parts(spark.createDataFrame([(1,)], "x int")) == least
     assert stage.exchange_parts(spark.range(10)) == least
+
+
+def test_running_sums_of_a_hot_group(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ctxspark.plans.prefix import running
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot"] * 9 + ["b", None]), i, rng.choice([None, 1, 2, 5])) for i in range(2000)]
+    rng.shuffle(rows)
+    got = {r.i: (r.n, r.s) for r in running(spark.createDataFrame(rows, "k string, i bigint, v bigint"), ["k"], ["i"], {"n": F.lit(1), "s": F.col("v")}).collect()}
+    want, state = {}, {}
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        n, s = state.get(k, (0, 0))
+        state[k] = want[i] = (n + 1, s + (v or 0))
+    assert got == want
