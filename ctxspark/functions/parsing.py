@@ -75,7 +75,7 @@ def even_stride_pick(selected: Column, n: Column, least: int) -> Column:
     rest = F.array_except(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>")), selected)
     need = F.least(F.lit(least), n) - F.size(selected)
     every = F.size(rest)
-    picks = F.transform(F.sequence(F.lit(0), need - 1), lambda k: F.element_at(rest, (F.floor(k * every / need) + 1).cast("int")))
+    picks = F.transform(F.sequence(F.lit(0), need - 1), lambda k: F.get(rest, F.floor(k * every / F.nullif(need, F.lit(0))).cast("int")))
     full = F.when(need <= 0, selected).when(need >= every, F.concat(selected, rest)).otherwise(F.concat(selected, picks))
     return F.array_sort(full)
 
@@ -109,3 +109,14 @@ def score_match_all(answers: Column | str, response: Column | str) -> Column:
     text = F.coalesce(col(response), F.lit(""))
     hits = F.size(F.filter(real, lambda a: contains_any_case(text, a)))
     return F.when(F.size(real) > 0, 100.0 * hits / F.size(real)).otherwise(F.lit(0.0))
+
+
+def natural_key(name: Column | str) -> tuple[Column, Column, Column]:
+    """Sort keys of names with numbers in them: the text without digits, the numbers, the name."""
+    numbers = F.transform(F.regexp_extract_all(col(name), F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("bigint"))
+    return F.regexp_replace(col(name), r"\d+", ""), numbers, col(name)
+
+
+def align_up(n: Column, to: int) -> Column:
+    """The least multiple of ``to`` that is not below ``n``."""
+    return F.ceil(n / to).cast("bigint") * to

@@ -47,11 +47,11 @@ def expand(examples: DataFrame, ratio: int = C.RATIO) -> DataFrame:
     k = F.transform(F.coalesce("memory_strings", F.array().cast("array<string>")), lambda s: T.latent_count(T.n_embed_tokens(F.coalesce(s, F.lit(""))), ratio))
     e = e.withColumn("pos", F.coalesce("memory_positions", none)).withColumn("k", k)
     where = lambda i: F.array_position("pos", (i - 1).cast("int"))
-    ids = F.flatten(F.transform("base_input_ids", lambda x, i: F.when(where(i) > 0, F.array_repeat(x, F.element_at("k", where(i).cast("int")).cast("int"))).otherwise(F.array(x))))
+    ids = F.flatten(F.transform("base_input_ids", lambda x, i: F.when(where(i) > 0, F.array_repeat(x, F.get("k", where(i).cast("int") - 1).cast("int"))).otherwise(F.array(x))))
     own = F.coalesce("base_labels", F.transform("base_input_ids", lambda x: F.lit(C.IGNORE).cast("bigint")))
     region = lambda i: F.exists("pos", lambda p: (i >= p) & (i <= p + 2))
     ignore = F.lit(C.IGNORE).cast("bigint")
-    labels = F.flatten(F.transform(own, lambda x, i: F.when(where(i) > 0, F.array_repeat(ignore, F.element_at("k", where(i).cast("int")).cast("int"))).when(region(i), F.array(ignore)).otherwise(F.array(x))))
+    labels = F.flatten(F.transform(own, lambda x, i: F.when(where(i) > 0, F.array_repeat(ignore, F.get("k", where(i).cast("int") - 1).cast("int"))).when(region(i), F.array(ignore)).otherwise(F.array(x))))
     # regions may be listed in any order: a region begins after the extra placeholders of those before it
     extra = lambda p: F.aggregate(F.filter(F.arrays_zip("pos", "k"), lambda z: z["pos"] < p), F.lit(0).cast("bigint"), lambda a, z: a + z["k"] - 1)
     spans = F.transform(F.arrays_zip("pos", "k"), lambda z: F.struct((z["pos"] + 1 + extra(z["pos"])).alias("start"), (z["pos"] + 1 + extra(z["pos"]) + z["k"]).alias("end")))

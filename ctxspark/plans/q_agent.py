@@ -247,6 +247,26 @@ def set_distinct(t: Tables) -> DataFrame:
     return j.select("item_id", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), F.coalesce("n_except", F.lit(0)).alias("n_except"))
 
 
+SETS = f"{DONE}, w AS (SELECT item_id, list_distinct(flatten(list(coalesce(answers, [])))) AS a FROM c WHERE item_id IS NOT NULL GROUP BY item_id), j AS (SELECT item_id, list_filter(a, lambda x: x IS NOT NULL) AS a, list_filter(list_distinct(coalesce(extra_info.ground_truth.answers, [])), lambda x: x IS NOT NULL) AS b FROM w JOIN benchmark_rows USING (item_id))"
+
+
+def answer_sets(t: Tables) -> DataFrame:
+    """(item_id, a, b): the answers of an item's runs and its true ones, without nulls and repeats."""
+    real = lambda c: F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    runs = completions(t).where("item_id is not null").select("item_id", F.explode_outer("answers").alias("x")).distinct().groupBy("item_id").agg(F.collect_set("x").alias("a"))
+    return runs.join(t.benchmark_rows.select("item_id", real(F.col("extra_info.ground_truth.answers")).alias("b")), "item_id")
+
+
+@query(f"WITH {SETS} SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(a, b))), '|') AS answers FROM j")
+def set_union(t: Tables) -> DataFrame:
+    return answer_sets(t).select("item_id", F.array_join(F.array_sort(F.array_union("a", "b")), "|").alias("answers"))
+
+
+@query(f"WITH {SETS} SELECT item_id, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), '|') AS extra FROM j")
+def set_except(t: Tables) -> DataFrame:
+    return answer_sets(t).select("item_id", F.array_join(F.array_sort(F.array_except("a", "b")), "|").alias("extra"))
+
+
 @query("SELECT category, count(*) AS n FROM benchmark_rows WHERE category IN ('memwrap/ruler/vt_8192', 'memwrap/ruler/vt_4096', 'memwrap/ruler/vt_16384') GROUP BY category")
 def subtask_filter(t: Tables) -> DataFrame:
     """Items of known subtasks; names that don't occur are skipped."""

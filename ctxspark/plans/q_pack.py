@@ -99,6 +99,11 @@ def oversize_filter(t: Tables) -> DataFrame:
     return items(t).groupBy("shard").agg(F.count_if(over).alias("n_skipped"), F.count_if(~over).alias("n_kept"))
 
 
+def next_fit_sql(source: str) -> str:
+    """The CTEs of next-fit over other items (shard, ord, id, n)."""
+    return NEXT_FIT[NEXT_FIT.index("o AS MATERIALIZED") :].replace(" FROM i ", f" FROM {source} ")
+
+
 ONCE = "e AS (SELECT example_id, any_value(pack_id) AS pack_id, any_value(shard) AS shard, any_value(base_input_ids) AS base_input_ids, any_value(base_labels) AS base_labels, any_value(memory_strings) AS memory_strings, any_value(memory_positions) AS memory_positions FROM base_examples GROUP BY example_id)"
 IS_REGION = "coalesce(base_input_ids[p + 1] = 50257 AND base_input_ids[p + 2] = 50258 AND base_input_ids[p + 3] = 50259 AND p >= 0, false)"
 VERIFY = f"v AS (SELECT *, coalesce(len(memory_strings), 0)::BIGINT AS n_strings, coalesce(len(memory_positions), 0)::BIGINT AS n_positions, coalesce(len(list_filter(memory_positions, lambda p: NOT {IS_REGION})), 0)::BIGINT AS n_bad FROM e)"
@@ -262,3 +267,11 @@ def collate_mixed(t: Tables) -> DataFrame:
 
     b = R.preprocess(raw(t)).distinct().join(plan(t), "row_id").withColumn("batch", F.floor(F.col("row_ord") / 8).cast("bigint"))
     return b.select("row_id", "format", "file_ord", "batch", "seq_len", (F.max("seq_len").over(Window.partitionBy("file_ord", "batch")) - F.col("seq_len")).alias("pad_len"))
+
+
+@query(f"WITH RECURSIVE {EXPAND}, b AS MATERIALIZED (SELECT e.shard::VARCHAR AS shard, md5('42-' || example_id) AS ord, example_id AS id, len(ids)::BIGINT AS n FROM x JOIN e USING (example_id)), {next_fit_sql('b')} SELECT shard, id, n, pack_id, pack_offset FROM p")
+def pack_examples(t: Tables) -> DataFrame:
+    """Expanded examples packed anew within their shards, of which one is much larger than the rest."""
+    e = E.expand(examples(t)).select("example_id", "shard", "seq_len").distinct()
+    key = F.md5(F.concat_ws("-", F.lit(str(C.SEED)), F.col("example_id").cast("string")))
+    return P.pack_next_fit(e.select(F.col("shard").cast("string").alias("shard"), key.alias("ord"), F.col("example_id").alias("id"), F.col("seq_len").alias("n")))

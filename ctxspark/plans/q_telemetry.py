@@ -113,3 +113,21 @@ def sort_files(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     return t.shard_files.select("file_path", F.row_number().over(Window.orderBy("file_path")).cast("bigint").alias("place"))
+
+
+@query("SELECT category AS task, n, row_number() OVER (ORDER BY n DESC, category) AS place FROM (SELECT category, count(*) AS n FROM benchmark_rows GROUP BY category) ORDER BY place LIMIT 5")
+def sort_tasks(t: Tables) -> DataFrame:
+    """The five tasks with the most items; one row a task is ranked."""
+    from pyspark.sql import Window
+
+    n = t.benchmark_rows.groupBy(F.col("category").alias("task")).agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "task")).cast("bigint")).where("place <= 5")
+
+
+@query("SELECT file_path, regexp_extract(file_path, '_(\\d+)\\.', 1)::BIGINT AS number, row_number() OVER (ORDER BY regexp_replace(file_path, '\\d+', '', 'g'), list_transform(regexp_extract_all(file_path, '\\d+'), lambda x: x::BIGINT), file_path) AS place FROM shard_files")
+def natural_sort(t: Tables) -> DataFrame:
+    """Files in natural order: by their text, then by their numbers as numbers."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy(*P.natural_key("file_path"))
+    return t.shard_files.select("file_path", F.regexp_extract("file_path", r"_(\d+)\.", 1).cast("bigint").alias("number"), F.row_number().over(w).cast("bigint").alias("place"))
