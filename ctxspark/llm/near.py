@@ -170,6 +170,11 @@ def differences(a: np.ndarray, b: np.ndarray, t_num: int, t_den: int) -> np.ndar
     return (a + b) * (t_den - t_num) // (t_den + t_num)
 
 
+def segments_of(top: np.ndarray, t_num: int, t_den: int) -> np.ndarray:
+    """How many segments a band has: about two elements in each, and levels enough for the largest set that can meet the band."""
+    return np.maximum(top // 2, (top * (t_den - t_num) // t_num + 2) // 2 + 1)
+
+
 def segment_sums(rec: np.ndarray, h: np.ndarray, n_rec: int, m: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The segment of each element as a place in the concatenated segments of all records, the segments' sums, their record and number."""
     off = np.concatenate([[0], np.cumsum(m)])
@@ -219,7 +224,7 @@ def signatures(sid: np.ndarray, size: np.ndarray, h: np.ndarray, tops: np.ndarra
         new = np.full(len(sid), -1)
         new[sub] = np.arange(len(sub))
         r, hh = new[rec[take]], h[take]
-        m = np.maximum(1, tops[band] // 2)
+        m = segments_of(tops[band], t_num, t_den)
         return r, hh, freq[take], m, *segment_sums(r, hh, len(sub), m, mix(band.astype(U) + U(7)))
 
     everyone = np.arange(len(sid))

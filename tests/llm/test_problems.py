@@ -102,7 +102,7 @@ def near_rows(seed):
     return rows + [("a", 2000, None), ("a", 2001, ""), ("a", None, same), ("b", 2002, "one two"), ("b", 2003, "same " * 500), ("b", 2004, "same " * 400)] + rows[:5]
 
 
-@pytest.mark.parametrize("k,t_num,t_den,least", [(3, 3, 5, 20), (5, 4, 5, 0), (1, 1, 2, 5)])
+@pytest.mark.parametrize("k,t_num,t_den,least", [(3, 3, 5, 20), (5, 4, 5, 0), (1, 1, 2, 5), (2, 1, 4, 0)])
 def test_similar_records(spark, k, t_num, t_den, least):
     rows = near_rows(k)
     df = clashing(spark.createDataFrame(rows, TEXTS))
@@ -320,3 +320,12 @@ def test_shared_spans(spark, least):
     amounts = {r.doc_id: (r.n_chars, r.n_shared) for r in spans.shared_amounts(df, least).collect()}
     assert amounts == {i: (len(t), sum(e - s for d, s, e in want if d == i)) for i, t in docs.items()} | {206: (0, 0)}
     assert spans.shared_spans(df.limit(0), least).count() == 0
+
+
+@pytest.mark.parametrize("t_num,t_den", [(1, 4), (1, 2), (3, 5), (4, 5), (9, 10)])
+def test_segments_suffice(t_num, t_den):
+    tops = near.bands(4, 1.25, 5000)
+    for top in tops.tolist():
+        largest = np.array([top * t_den // t_num])
+        need = near.differences(largest, np.minimum(largest, top), t_num, t_den) + 1
+        assert need[0] <= 2 * near.segments_of(np.array([top]), t_num, t_den)[0]
