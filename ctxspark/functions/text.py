@@ -59,6 +59,13 @@ def expand_placeholders(text: Column | str, ratio: int = C.RATIO) -> Column:
     return F.concat(F.element_at(parts, 1), F.array_join(F.zip_with(inner, rest, lambda a, b: F.concat(a, b)), ""))
 
 
+def n_expanded(text: Column | str, ratio: int = C.RATIO) -> Column:
+    """The number of tokens of the expanded text, without making it."""
+    zero = F.lit(0).cast("bigint")
+    kept = F.aggregate(F.transform(outside_parts(text), n_tokens), zero, lambda a, x: a + x)
+    return kept + F.aggregate(region_latents(text, ratio), zero, lambda a, x: a + x + 2)
+
+
 def prefix_sums(values: Column) -> Column:
     """Exclusive prefix sums and, last, the total: one element more than ``values``."""
     zero = F.array(F.lit(0).cast("bigint"))

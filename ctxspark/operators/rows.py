@@ -9,6 +9,15 @@ from ctxspark import constants as C
 from ctxspark.functions import text as T
 
 
+def is_chat() -> Column:
+    """A predicate that reaches the scan; a null target is a chat row's."""
+    return F.col("target").isNull() | (F.col("target") != C.CONTINUAL_TARGET)
+
+
+def is_continual() -> Column:
+    return F.col("target") == C.CONTINUAL_TARGET
+
+
 def once(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """Rows delivered again count once; ``columns`` must not differ between deliveries."""
     return rows.select(key, *columns).dropDuplicates([key])
@@ -25,7 +34,7 @@ def target_text() -> Column:
 
 def chat_prompt_target(rows: DataFrame) -> DataFrame:
     """(row_id, prompt_text, target_text) of chat rows."""
-    return rows.where(T.row_format("target") == "chat").select("row_id", T.render_chat("prompt").alias("prompt_text"), target_text().alias("target_text"))
+    return rows.where(is_chat()).select("row_id", T.render_chat("prompt").alias("prompt_text"), target_text().alias("target_text"))
 
 
 def labels_of(n_prompt: Column, n_target: Column) -> Column:
@@ -36,7 +45,7 @@ def labels_of(n_prompt: Column, n_target: Column) -> Column:
 def sft_sequences(rows: DataFrame, ratio: int = C.RATIO) -> DataFrame:
     """(row_id, seq_len, n_trainable, n_masked): expanded prompt and target; the prompt is masked."""
     pair = chat_prompt_target(rows)
-    n_prompt, n_target = T.n_tokens(T.expand_placeholders("prompt_text", ratio)), T.n_tokens("target_text")
+    n_prompt, n_target = T.n_expanded("prompt_text", ratio), T.n_tokens("target_text")
     return pair.select("row_id", n_prompt.alias("p"), n_target.alias("t")).select("row_id", (F.col("p") + F.col("t")).alias("seq_len"), F.col("t").alias("n_trainable"), F.col("p").alias("n_masked"))
 
 
@@ -48,10 +57,9 @@ def teacher_sequences(rows: DataFrame) -> DataFrame:
 def continual_sequences(rows: DataFrame, ratio: int = C.RATIO) -> DataFrame:
     """(row_id, seq_len, n_trainable, n_masked): labels are the ids but for regions with both their markers."""
     text = T.continual_text("prompt")
-    k = T.region_latents(text, ratio)
-    masked = F.aggregate(k, F.lit(0).cast("bigint"), lambda a, x: a + x + 2)
+    masked = F.aggregate(T.region_latents(text, ratio), F.lit(0).cast("bigint"), lambda a, x: a + x + 2)
     kept = F.aggregate(F.transform(T.outside_parts(text), T.n_tokens), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return rows.where(T.row_format("target") == "continual_pretraining").select("row_id", (masked + kept).alias("seq_len"), kept.alias("n_trainable"), masked.alias("n_masked"))
+    return rows.where(is_continual()).select("row_id", (masked + kept).alias("seq_len"), kept.alias("n_trainable"), masked.alias("n_masked"))
 
 
 def preprocess(rows: DataFrame, ratio: int = C.RATIO) -> DataFrame:
