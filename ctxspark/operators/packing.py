@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxspark import constants as C
-from ctxspark.plans.stage import exchange_parts, written
+from ctxspark.plans.stage import range_parts, written
 
 
 def transition(sizes: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
@@ -59,7 +59,9 @@ def pack_next_fit(items: DataFrame, limit: int = C.PACK) -> DataFrame:
     """
     kept = items.where((F.col("n") <= limit) & F.col("n").isNotNull()).select(F.coalesce("shard", F.lit("")).alias("shard"), F.col("shard").isNull().alias("no_shard"), F.col("ord").cast("string").alias("ord"), F.col("id").cast("bigint").alias("id"), F.col("n").cast("bigint").alias("n"))
     keys = ["no_shard", "shard", "ord", "id"]
-    ranged = kept.repartitionByRange(exchange_parts(items), *keys).withColumn("block", F.spark_partition_id())
+    # ranges are sampled first: the sizes, dear to compute, are written once
+    kept = written(kept, "pack-items")
+    ranged = kept.repartitionByRange(range_parts(kept), *keys).withColumn("block", F.spark_partition_id())
     blocks = written(ranged, "pack-blocks")
     order = [(k, "ascending") for k in keys]
 

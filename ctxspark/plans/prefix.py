@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxspark.plans.stage import exchange_parts, written
+from ctxspark.plans.stage import range_parts, written
 
 
 def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -15,7 +15,7 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Colu
     its own, and what comes before a range is added from one row for each range and group. Null keys are a group; ``order`` should be
     unique within a group, else rows that tie come in some order. F.lit(1) gives row numbers from 1.
     """
-    ranged = df.select("*", *(c.alias(f"__{n}") for n, c in sums.items())).repartitionByRange(exchange_parts(df), *by, *order).withColumn("__block", F.spark_partition_id())
+    ranged = df.select("*", *(c.alias(f"__{n}") for n, c in sums.items())).repartitionByRange(range_parts(df), *by, *order).withColumn("__block", F.spark_partition_id())
     rows = written(ranged, "prefix")
     key = [*by, "__block"]
     inner = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

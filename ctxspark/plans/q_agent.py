@@ -10,7 +10,7 @@ from ctxspark.functions import parsing as P
 from ctxspark.operators import agent as A
 from ctxspark.operators import passages as G
 from ctxspark.operators import scoring as S
-from ctxspark.plans.q_text import ntok
+from ctxspark.plans.q_text import docs, ntok
 from ctxspark.plans.registry import Tables, query
 
 WS = "[" + C.SPACE + "]"
@@ -25,7 +25,7 @@ SENTS = f"string_split(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(57344),
 
 
 def texts(t: Tables) -> DataFrame:
-    return t.documents.where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    return docs(t).select(F.col("doc_id").alias("id"), "text")
 
 
 @query(f"SELECT doc_id AS id, len(s)::BIGINT AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM (SELECT doc_id, {SENTS} AS s FROM documents WHERE text IS NOT NULL)")

@@ -12,8 +12,9 @@ from ctxspark.operators import packing as P
 from ctxspark.operators import rows as R
 from ctxspark.operators import windows as W
 from ctxspark.plans.q_scan import PLAN, plan
-from ctxspark.plans.q_text import PREPROCESS, lat, nemb, ntok, raw
+from ctxspark.plans.q_text import PREPROCESS, docs, lat, nemb, ntok, raw
 from ctxspark.plans.registry import Tables, query
+from ctxspark.plans.stage import spread
 
 NEXT_FIT = f"""i AS MATERIALIZED (SELECT source AS shard, md5('42-' || doc_id) AS ord, doc_id AS id, {ntok('text')} AS n FROM documents WHERE text IS NOT NULL),
 o AS MATERIALIZED (SELECT shard, id, n, row_number() OVER (PARTITION BY shard ORDER BY ord, id) AS rn FROM i WHERE n <= 4096),
@@ -24,8 +25,7 @@ PACKED = f"WITH RECURSIVE {NEXT_FIT}"
 
 
 def items(t: Tables) -> DataFrame:
-    d = t.documents.where("text is not null")
-    return d.select(F.col("source").alias("shard"), F.md5(F.concat_ws("-", F.lit(str(C.SEED)), F.col("doc_id").cast("string"))).alias("ord"), F.col("doc_id").alias("id"), T.n_tokens("text").alias("n"))
+    return docs(t).select(F.col("source").alias("shard"), F.md5(F.concat_ws("-", F.lit(str(C.SEED)), F.col("doc_id").cast("string"))).alias("ord"), F.col("doc_id").alias("id"), T.n_tokens("text").alias("n"))
 
 
 def packed(t: Tables) -> DataFrame:
@@ -112,7 +112,7 @@ VALID = f"{ONCE}, {VERIFY}, ok AS (SELECT *, list_transform(coalesce(memory_stri
 
 def examples(t: Tables) -> DataFrame:
     """Examples as packed; results of each are made distinct, so an example packed twice counts once without a shuffle of its arrays."""
-    return t.base_examples.select("example_id", *E.COLUMNS)
+    return spread(t.base_examples.select("example_id", *E.COLUMNS))
 
 
 @query(f"WITH {ONCE}, {VERIFY} SELECT example_id, n_strings, n_positions, n_bad, n_strings = n_positions AND n_bad = 0 AS is_valid FROM v")
@@ -175,7 +175,7 @@ TILE = f"{SEQ}, w0 AS (SELECT id, n, unnest(range(0, n, 1024)) AS start_pos FROM
 
 
 def sequences(t: Tables) -> DataFrame:
-    return t.documents.where("text is not null").select(F.col("doc_id").alias("id"), T.n_embed_tokens("text").alias("n"))
+    return docs(t).select(F.col("doc_id").alias("id"), T.n_embed_tokens("text").alias("n"))
 
 
 @query(f"WITH {TILE} SELECT * FROM w")

@@ -9,6 +9,7 @@ from ctxspark import constants as C
 from ctxspark.functions import text as T
 from ctxspark.operators import rows as R
 from ctxspark.plans.registry import Tables, query
+from ctxspark.plans.stage import spread
 
 # Pieces of the DuckDB counterparts.
 TOK = "'" + C.TOKEN_PATTERN + "'"
@@ -56,25 +57,30 @@ def part_sum(text: str) -> str:
 
 def raw(t: Tables) -> DataFrame:
     """Raw rows as delivered. What is computed of each row is made distinct afterwards, so deliveries cost no shuffle of texts."""
-    return t.raw_rows.select("row_id", "prompt", "target")
+    return spread(t.raw_rows.select("row_id", "prompt", "target"))
+
+
+def docs(t: Tables) -> DataFrame:
+    """Documents with a text."""
+    return spread(t.documents.where("text is not null").select("doc_id", "text", "source"))
 
 
 @query(f"SELECT doc_id, {ntok('text')} AS n_tok, {nemb('text')} AS n_embed FROM documents WHERE text IS NOT NULL")
 def tokenize(t: Tables) -> DataFrame:
-    return t.documents.where("text is not null").select("doc_id", T.n_tokens("text").alias("n_tok"), T.n_embed_tokens("text").alias("n_embed"))
+    return docs(t).select("doc_id", T.n_tokens("text").alias("n_tok"), T.n_embed_tokens("text").alias("n_embed"))
 
 
 @query(f"""SELECT doc_id, i - 1 AS region_idx, md5(b[i]) AS body_md5, length(b[i])::BIGINT AS n_chars
 FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS i FROM (SELECT doc_id, {bodies('text')} AS b FROM documents WHERE text IS NOT NULL))""")
 def extract_regions(t: Tables) -> DataFrame:
-    e = t.documents.where("text is not null").select("doc_id", F.posexplode(T.regions("text")).alias("region_idx", "b"))
+    e = docs(t).select("doc_id", F.posexplode(T.regions("text")).alias("region_idx", "b"))
     return e.select("doc_id", F.col("region_idx").cast("bigint").alias("region_idx"), F.md5("b").alias("body_md5"), F.length("b").cast("bigint").alias("n_chars"))
 
 
 @query(f"""SELECT doc_id, i - 1 AS region_idx, n[i] AS n_tok, {lat('n[i]')} AS n_latent, ((n[i] + 15) // 16)::BIGINT AS n_latent_zero
 FROM (SELECT doc_id, n, unnest(range(1, len(n) + 1)) AS i FROM (SELECT doc_id, list_transform({bodies('text')}, lambda b: {nemb('b')}) AS n FROM documents WHERE text IS NOT NULL))""")
 def latent_count(t: Tables) -> DataFrame:
-    e = t.documents.where("text is not null").select("doc_id", F.posexplode(F.transform(T.regions("text"), T.n_embed_tokens)).alias("region_idx", "n_tok"))
+    e = docs(t).select("doc_id", F.posexplode(F.transform(T.regions("text"), T.n_embed_tokens)).alias("region_idx", "n_tok"))
     return e.select("doc_id", F.col("region_idx").cast("bigint").alias("region_idx"), "n_tok", T.latent_count(F.col("n_tok")).alias("n_latent"), T.latent_count(F.col("n_tok"), min_one=False).alias("n_latent_zero"))
 
 
@@ -82,7 +88,7 @@ def latent_count(t: Tables) -> DataFrame:
 SELECT doc_id, concat(p[1], array_to_string(list_transform(range(1, len(k) + 1), lambda i: concat('<|memory_start|>', repeat('<|memory|>', k[i]), '<|memory_end|>', p[i + 1])), '')) AS x
 FROM (SELECT doc_id, {parts('text')} AS p, {ks('text')} AS k FROM documents WHERE text IS NOT NULL))""")
 def expand_placeholders(t: Tables) -> DataFrame:
-    return t.documents.where("text is not null").select("doc_id", T.expand_placeholders("text").alias("x")).select("doc_id", F.md5("x").alias("expanded_md5"), T.n_tokens("x").alias("seq_len"))
+    return docs(t).select("doc_id", T.expand_placeholders("text").alias("x")).select("doc_id", F.md5("x").alias("expanded_md5"), T.n_tokens("x").alias("seq_len"))
 
 
 SPANS = f"""SELECT doc_id, i - 1 AS region_idx, (list_sum(o[1:i]) + coalesce(list_sum(k[1:i-1]), 0) + 2 * (i - 1) + 1)::BIGINT AS start_pos,
@@ -92,13 +98,13 @@ SELECT doc_id, list_transform({parts('text')}, lambda p: {ntok('p')}) AS o, {ks(
 
 @query(SPANS)
 def find_positions_wrapped(t: Tables) -> DataFrame:
-    e = t.documents.where("text is not null").select("doc_id", F.posexplode(T.region_spans("text")).alias("region_idx", "s"))
+    e = docs(t).select("doc_id", F.posexplode(T.region_spans("text")).alias("region_idx", "s"))
     return e.select("doc_id", F.col("region_idx").cast("bigint").alias("region_idx"), F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
 
 
 @query(f"""SELECT doc_id, md5(array_to_string(regexp_extract_all(text, {TOK}), ' ')) AS tokens_md5 FROM documents WHERE text IS NOT NULL""")
 def token_strings(t: Tables) -> DataFrame:
-    return t.documents.where("text is not null").select("doc_id", F.md5(F.array_join(T.tokens("text"), " ")).alias("tokens_md5"))
+    return docs(t).select("doc_id", F.md5(F.array_join(T.tokens("text"), " ")).alias("tokens_md5"))
 
 
 @query(f"WITH {RAW} SELECT row_id, md5({RENDER}) AS prompt_md5, md5({TARGET}) AS target_md5, {ntok(RENDER)} AS prompt_tok, {ntok(TARGET)} AS target_tok FROM raw WHERE target IS NULL OR target <> 'NA_string_only'")
@@ -168,7 +174,7 @@ def stats_post(t: Tables) -> DataFrame:
 g AS (SELECT source, count(*) AS n_docs, sum(r + k + m)::BIGINT AS compressed, sum(r + e + m)::BIGINT AS equivalent FROM s GROUP BY source)
 SELECT *, CASE WHEN equivalent = 0 THEN 0.0::DOUBLE ELSE round((1 - compressed::DOUBLE / equivalent) * 100, 1)::DOUBLE END AS savings_pct FROM g""")
 def compression_stats(t: Tables) -> DataFrame:
-    return R.compression_stats(t.documents, "source")
+    return R.compression_stats(docs(t), "source")
 
 
 @query(f"WITH {RAW} SELECT CASE WHEN target = 'NA_string_only' THEN 'continual_pretraining' ELSE 'chat' END AS format, count(*) AS n FROM raw GROUP BY 1")
@@ -193,7 +199,7 @@ def typecheck(t: Tables) -> DataFrame:
 @query(f"WITH sp AS ({SPANS}), n AS (SELECT doc_id, (sum(end_pos - start_pos) + 2 * count(*))::BIGINT AS n_in FROM sp GROUP BY doc_id), x AS (SELECT doc_id, {part_sum('text')} AS n_out FROM documents WHERE text IS NOT NULL) SELECT x.doc_id, coalesce(n_in, 0) AS n_in, n_out FROM x LEFT JOIN n USING (doc_id)")
 def join_range_label(t: Tables) -> DataFrame:
     """Tokens of the expanded text that lie in a region with its markers, and those outside."""
-    d = t.documents.where("text is not null").select("doc_id", T.tokens(T.expand_placeholders("text")).alias("toks"), T.region_spans("text").alias("spans"))
+    d = docs(t).select("doc_id", T.tokens(T.expand_placeholders("text")).alias("toks"), T.region_spans("text").alias("spans"))
     inside = F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: F.exists("spans", lambda s: (i >= s["start"] - 1) & (i <= s["end"])))
     n_in = F.when(F.size("toks") == 0, F.lit(0)).otherwise(F.size(inside)).cast("bigint")
     return d.select("doc_id", n_in.alias("n_in"), (F.size("toks") - n_in).cast("bigint").alias("n_out"))
@@ -201,5 +207,5 @@ def join_range_label(t: Tables) -> DataFrame:
 
 @query(f"SELECT doc_id, len(b)::BIGINT AS n_regions, {total('list_transform(b, lambda x: ' + nemb('x') + ')')} AS total_tokens FROM (SELECT doc_id, {bodies('text')} AS b FROM documents WHERE text IS NOT NULL) WHERE len(b) > 0")
 def flatten_regions_batch(t: Tables) -> DataFrame:
-    flat = t.documents.where("text is not null").select("doc_id", F.posexplode(T.regions("text")).alias("at", "body"))
+    flat = docs(t).select("doc_id", F.posexplode(T.regions("text")).alias("at", "body"))
     return flat.groupBy("doc_id").agg(F.count("*").alias("n_regions"), F.sum(T.n_embed_tokens("body")).alias("total_tokens"))

@@ -53,6 +53,15 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out evenly if it has fewer partitions than there are cores, as one of few or unsplittable files has.
+
+    For work that costs far more than moving the rows. Large tables have enough partitions and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(2 * cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 #: Estimates from here on are no sizes: the optimizer's default for unknown inputs, or products of joined ones.
 UNKNOWN = 1 << 50
 
@@ -63,3 +72,9 @@ def exchange_parts(*dfs: DataFrame, each: int = 8 << 20) -> int:
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = sum(n for n in map(planned_bytes, dfs) if n < UNKNOWN)
     return max(least, math.ceil(size / each))
+
+
+def range_parts(df: DataFrame, each: int = 4 << 20) -> int:
+    """Ranges for rows that are few bytes each: by size alone, the session's partitions if that is unknown."""
+    size = planned_bytes(df)
+    return max(4, math.ceil(size / each)) if size < UNKNOWN else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
