@@ -57,11 +57,11 @@ def pack_next_fit(items: DataFrame, limit: int = C.PACK) -> DataFrame:
     are left out. Next-fit is sequential, yet a shard is not one task: items are cut into ranges of (shard, ord); each range tells
     what it does to any open pack, these short descriptions are composed in order, and then every range is packed on its own.
     """
-    kept = items.where((F.col("n") <= limit) & F.col("n").isNotNull()).select(F.coalesce("shard", F.lit("")).alias("shard"), F.col("shard").isNull().alias("no_shard"), F.col("ord").cast("string").alias("ord"), F.col("id").cast("bigint").alias("id"), F.col("n").cast("bigint").alias("n"))
+    # sizes are dear to compute and used several times, by the filter, the sampling of ranges and the packing: written once, before the filter
+    sized = written(items.select("shard", F.col("ord").cast("string").alias("ord"), F.col("id").cast("bigint").alias("id"), F.col("n").cast("bigint").alias("n")), "pack-items")
+    kept = sized.where((F.col("n") <= limit) & F.col("n").isNotNull()).select(F.coalesce("shard", F.lit("")).alias("shard"), F.col("shard").isNull().alias("no_shard"), "ord", "id", "n")
     keys = ["no_shard", "shard", "ord", "id"]
-    # ranges are sampled first: the sizes, dear to compute, are written once
-    kept = written(kept, "pack-items")
-    ranged = kept.repartitionByRange(range_parts(kept), *keys).withColumn("block", F.spark_partition_id())
+    ranged = kept.repartitionByRange(range_parts(sized), *keys).withColumn("block", F.spark_partition_id())
     blocks = written(ranged, "pack-blocks")
     order = [(k, "ascending") for k in keys]
 
