@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxspark.llm.vec import U, chunks
+from ctxspark.plans.stage import spread
 
 FOLDER = "/opt/tokenizers"
 #: The pattern that goes with the byte-level vocabularies: fixed value.
@@ -227,7 +228,7 @@ def encode_texts(df: DataFrame, keep: list[str], text: str = "text", name: str =
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([b.column(i).slice(s, t - s) for i in range(len(keep))] + [lists], names=[*keep, "ids"])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, ", ".join([*fields, "ids array<int>"]))
+    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, ", ".join([*fields, "ids array<int>"]))
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
@@ -242,4 +243,4 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", name: str =
                 _, bounds = e.encode(texts[s:t])
                 yield pa.RecordBatch.from_arrays([b.column(i).slice(s, t - s) for i in range(len(keep))] + [pa.array(np.diff(bounds))], names=[*keep, "n_tokens"])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, ", ".join([*fields, "n_tokens bigint"]))
+    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, ", ".join([*fields, "n_tokens bigint"]))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxspark.llm.vec import U, Words, chunks, mix
+from ctxspark.plans.stage import spread
 
 K1, B = 1.2, 0.75
 CHUNK = 1 << 20
@@ -196,7 +197,7 @@ def leaked_items(texts: DataFrame, items: DataFrame, run: int = 13, at_once: int
     """
     spark = texts.sparkSession
     items = items.where("item_id is not null").select("item_id", "prompt", "answers").dropDuplicates(["item_id"])
-    texts = texts.where("rec_id is not null and text is not null").select("src", "rec_id", "text")
+    texts = spread(texts.where("rec_id is not null and text is not null").select("src", "rec_id", "text"))
     blocks = max(1, -(-items.count() // at_once))
     schema = "src string, rec_id bigint, item_id bigint, n_runs bigint, has_question boolean, has_answer boolean"
     found = None

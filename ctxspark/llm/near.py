@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ctxspark.llm import exchange as X
 from ctxspark.llm.vec import Flat, U, Words, chunks, mix
-from ctxspark.plans.stage import exchange_parts, written
+from ctxspark.plans.stage import exchange_parts, spread, written
 
 CHUNK = 1 << 20
 SKETCH_BITS = 20
@@ -312,7 +312,7 @@ def similar_sets(texts: DataFrame, k: int = 5, t_num: int = 4, t_den: int = 5, l
     """
     texts = texts.where("rec_id is not null and text is not null").select("src", "rec_id", "text")
     parts = exchange_parts(texts)
-    blobs = texts.mapInArrow(_scan(parts, k, least_words), X.SCHEMA)
+    blobs = spread(texts).mapInArrow(_scan(parts, k, least_words), X.SCHEMA)
     counted = written(blobs.groupBy("bucket").applyInArrow(_count, "src string, rec_id bigint, sid bigint, n int, shared int"), "near-counts")
     members = counted.where("rec_id is not null").select("src", "rec_id", "sid", "n").distinct()
     alive = (

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ctxspark.llm import exchange as X
 from ctxspark.llm.vec import Flat, U, chunks, mix
-from ctxspark.plans.stage import exchange_parts, written
+from ctxspark.plans.stage import exchange_parts, spread, written
 
 CHUNK = 1 << 20
 STARTS = 20
@@ -163,7 +163,7 @@ def shared_spans(documents: DataFrame, least: int = 100, anchor: int | None = No
     k = anchor or max(1, least // 2)
     docs = documents.where(f"doc_id is not null and length(text) >= {int(least)}").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     parts = exchange_parts(docs)
-    blobs = docs.mapInArrow(_scan(parts, k, least), X.SCHEMA)
+    blobs = spread(docs).mapInArrow(_scan(parts, k, least), X.SCHEMA)
     prefixes = written(blobs.groupBy("bucket").applyInArrow(_branching, "tid bigint, doc_id bigint, n int, pos int"), "span-prefixes")
     directory = prefixes.where("doc_id is not null").select("tid", "doc_id", "n").distinct()
     copied = directory.groupBy("tid").agg(F.count("*").alias("copies"))
