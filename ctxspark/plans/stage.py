@@ -1,8 +1,8 @@
 """Stages written to the folder that all executors share.
 
 A job of several passes cuts its lineage by writing an intermediate table; the table survives the
-loss of any executor. The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset
-(tests, a laptop) a local one is made.
+loss of any executor. The folder is the cluster's ``spark.checkpoint.dir`` or the context's checkpoint folder; only on a
+local master, where all tasks share one disk, a folder is made if both are unset.
 """
 
 from __future__ import annotations
@@ -22,8 +22,13 @@ _PATHS: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for stages, without a trailing slash."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not at and set_by_code.isDefined():
+        at = set_by_code.get()
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("stages need a folder that all executors share: set spark.checkpoint.dir")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="ctxspark-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -48,33 +53,49 @@ def cleanup(spark: SparkSession) -> int:
     return n
 
 
+#: The optimizer gives inputs it knows nothing about (in-memory rows) about the largest long.
+UNKNOWN = 1 << 62
+#: Scans of at most this many bytes may be dealt out anew.
+SPREAD_BYTES = 8 << 30
+
+
 def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of ``df``'s size: for a scan, the bytes of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that feed ``df``: the optimizer's estimate, or the sum of its inputs' bytes if that is less, as after joins.
+
+    At least UNKNOWN if an input's size isn't known.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(int(str(plan.stats().sizeInBytes())), inputs)
+
+
+def n_partitions(df: DataFrame) -> int:
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
 def spread(scan: DataFrame) -> DataFrame:
     """A scan dealt out evenly if it has fewer partitions than there are cores, as one of few or unsplittable files has.
 
-    For work that costs far more than moving the rows. Large tables have enough partitions and stay as they are.
+    For work that costs far more than moving the rows. Scans over SPREAD_BYTES, and those with enough partitions, stay as they are.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(2 * cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+    small = planned_bytes(scan)
+    return scan.repartition(2 * cores) if (small <= SPREAD_BYTES or small >= UNKNOWN) and n_partitions(scan) < cores else scan
 
 
-#: Estimates from here on are no sizes: the optimizer's default for unknown inputs, or products of joined ones.
-UNKNOWN = 1 << 50
+def _parts(size: int, dfs: tuple[DataFrame, ...], each: int) -> int:
+    """Parts of ``each`` bytes; an unknown size counts as one part for each partition there is."""
+    return sum(map(n_partitions, dfs)) if size >= UNKNOWN else math.ceil(size / each)
 
 
 def exchange_parts(*dfs: DataFrame, each: int = 8 << 20) -> int:
     """Buckets for an exchange fed by ``dfs``: twice the session's partitions, more if an input is large."""
-    spark = dfs[0].sparkSession
-    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = sum(n for n in map(planned_bytes, dfs) if n < UNKNOWN)
-    return max(least, math.ceil(size / each))
+    least = 2 * int(dfs[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, _parts(sum(map(planned_bytes, dfs)), dfs, each))
 
 
 def range_parts(df: DataFrame, each: int = 4 << 20) -> int:
-    """Ranges for rows that are few bytes each: by size alone, the session's partitions if that is unknown."""
+    """Ranges for rows that are few bytes each: by size, the session's partitions if that is unknown."""
     size = planned_bytes(df)
     return max(4, math.ceil(size / each)) if size < UNKNOWN else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
