@@ -3,15 +3,25 @@
 A task packs (key, owner, value) triples into one blob for each bucket of keys; Spark shuffles the
 blobs by bucket and a reducer works on flat arrays. Owners are 64-bit ids and are sent once per blob.
 A key costs 6 to 14 bytes of shuffle and no per-row work in the JVM.
+
+Up to ``LEVEL`` buckets are reached in one exchange. More of them would leave few keys in each blob, so the first exchange
+then goes to ``LEVEL`` coarse buckets, where the blobs are packed anew for the fine ones: a task holds few of these.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
-SCHEMA = "bucket int, kind int, n int, keys binary, owner_ids binary, owners binary, vals binary"
+SCHEMA = "bucket int, kind int, n int, keys binary, owner_ids binary, owners binary, vals binary, tags binary"
+LEVEL = 4096
+#: Tasks of an exchange at most; buckets bound what a task holds at a time, and a task may have several.
+TASKS = 20_000
+_SCRAMBLE = U(0x9E3779B97F4A7C15)
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in _NAMES[3:])])
 
@@ -21,11 +31,11 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U(40)) * U(buckets) >> U(24)).astype(np.int32)
 
 
-def pack(kind: int, buckets: int, keys: np.ndarray, owners: np.ndarray, vals: np.ndarray | None = None, wide: bool = False, keyless: bool = False) -> list[tuple]:
+def pack(kind: int, buckets: int, keys: np.ndarray, owners: np.ndarray, vals: np.ndarray | None = None, wide: bool = False, keyless: bool = False, tags: np.ndarray | None = None) -> list[tuple]:
     """Rows of SCHEMA for the triples, at most one for each bucket.
 
-    Owners are sent once for each run of triples, so triples should come grouped by owner. ``wide`` keeps all 64 bits of a
-    key instead of 32 and the bucket; ``keyless`` uses keys only to choose the bucket.
+    Owners are sent once for each run of triples, so triples should come grouped by owner; ``tags``, 64 bits that are the same for all triples of an
+    owner, go with them. ``wide`` keeps all 64 bits of a key instead of 32 and the bucket; ``keyless`` uses keys only to choose the bucket.
     """
     if not len(keys):
         return []
@@ -39,31 +49,76 @@ def pack(kind: int, buckets: int, keys: np.ndarray, owners: np.ndarray, vals: np
     length = np.diff(np.concatenate([runs, [len(b)]]))
     length = length.astype(np.uint16 if length.max() < 1 << 16 else np.uint32)
     ids, at = owners[runs], np.searchsorted(runs, cuts)
+    tags = None if tags is None else tags[order][runs]
     rows = []
     for i, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
         r = slice(int(at[i]), int(at[i + 1]))
-        rows.append((int(b[s]), kind, e - s, keys[s:e].tobytes(), length[r].tobytes(), ids[r].tobytes(), b"" if vals is None else vals[s:e].tobytes()))
+        rows.append((int(b[s]), kind, e - s, keys[s:e].tobytes(), length[r].tobytes(), ids[r].tobytes(), b"" if vals is None else vals[s:e].tobytes(), b"" if tags is None else tags[r].tobytes()))
     return rows
 
 
-def unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (zeros if not sent), owners and values (zeros if not sent) of rows of one bucket."""
+def unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, owners, values and tags of rows of one bucket; zeros where keys, values or tags were not sent."""
     wide = any(len(r["keys"]) == 8 * r["n"] for r in rows)
     kind = U if wide else np.uint32
-    keys, owners, vals = [np.zeros(0, kind)], [np.zeros(0, U)], [np.zeros(0, np.uint32)]
+    keys, owners, vals, tags = [np.zeros(0, kind)], [np.zeros(0, U)], [np.zeros(0, np.uint32)], [np.zeros(0, U)]
     for r in rows:
         ids = np.frombuffer(r["owners"], U)
         length = np.frombuffer(r["owner_ids"], np.uint16 if len(r["owner_ids"]) == 2 * len(ids) else np.uint32)
         keys.append(np.frombuffer(r["keys"], kind) if r["keys"] else np.zeros(r["n"], kind))
         owners.append(np.repeat(ids, length))
         vals.append(np.frombuffer(r["vals"], np.uint32) if r["vals"] else np.zeros(r["n"], np.uint32))
-    return np.concatenate(keys), np.concatenate(owners), np.concatenate(vals)
+        tags.append(np.repeat(np.frombuffer(r["tags"], U), length) if r["tags"] else np.zeros(r["n"], U))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(vals), np.concatenate(tags)
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
+def first_level(parts: int) -> tuple[int, bool]:
+    """How many buckets to pack for, and whether with wide keys, so that ``meet`` brings the blobs to ``parts`` buckets."""
+    return (parts, False) if parts <= LEVEL else (LEVEL, True)
+
+
+def meet(blobs: DataFrame, parts: int) -> DataFrame:
+    """The blobs with all of a bucket in one task, to be grouped by bucket without another exchange."""
+    if parts > LEVEL:
+        blobs = blobs.repartition(LEVEL, "bucket").mapInArrow(_finer(LEVEL, parts), SCHEMA)
+    return blobs.repartition(min(parts, TASKS), "bucket")
+
+
+def _finer(coarse: int, parts: int, limit: int = 3_000_000):
+    """Blobs of coarse buckets with wide keys packed anew for ``parts`` buckets."""
+
+    def again(rows: list[dict]) -> list[tuple]:
+        out = []
+        for kind in sorted({r["kind"] for r in rows}):
+            mine = [r for r in rows if r["kind"] == kind]
+            if kind == PLAIN:
+                out += [(r["bucket"] * parts // coarse, *(r[c] for c in _NAMES[1:])) for r in mine]
+                continue
+            keys, owners, vals, tags = unpack(mine)
+            keyless = not any(r["keys"] for r in mine)
+            has = lambda c: any(r[c] for r in mine)
+            out += pack(kind, parts, owners * _SCRAMBLE if keyless else keys, owners, vals if has("vals") else None, True, keyless, tags if has("tags") else None)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for r in b.to_pylist():
+                held.append(r)
+                n += r["n"]
+                if n >= limit:
+                    yield batch(again(held))
+                    held, n = [], 0
+        if held:
+            yield batch(again(held))
+
+    return run
+
+
 # Kinds of blobs of the search for shared keys.
 TRIPLE, MARKER, CREDIT, PLAIN = 0, 1, 2, 3
 
@@ -109,19 +164,19 @@ class SharedKeys:
         owners, vals = owners[local], vals[local]
         if self.counted and len(owners):
             owners, vals = np.unique(owners, return_counts=True)
-        return rows + pack(CREDIT, self.buckets, owners * U(0x9E3779B97F4A7C15), owners, vals, keyless=True)
+        return rows + pack(CREDIT, self.buckets, owners * _SCRAMBLE, owners, vals, keyless=True)
 
 
 def settle(rows: list[dict], counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The reduce side: owner and value, or number, of every triple whose key two owners have."""
     triples, markers, credits = ([r for r in rows if r["kind"] == k] for k in (TRIPLE, MARKER, CREDIT))
-    keys, owners, vals = unpack(triples)
-    mk, _, _ = unpack(markers)
+    keys, owners, vals, _ = unpack(triples)
+    mk = unpack(markers)[0]
     n = len(keys)
     sent = np.concatenate([np.zeros(n, bool), np.ones(len(mk), bool)])
     every = np.concatenate([keys, mk])
     order, _, both, number = _shared(every, np.concatenate([owners, np.zeros(len(mk), U)]), sent)
     hit = order[both[number]] if len(every) else np.zeros(0, np.int64)
     hit = np.sort(hit[hit < n])
-    _, co, cv = unpack(credits)
+    _, co, cv, _ = unpack(credits)
     return np.concatenate([owners[hit], co]), np.concatenate([np.ones(len(hit), np.uint32) if counted else vals[hit], cv])

@@ -72,7 +72,7 @@ def _scan(buckets: int, k: int, least_words: int):
                 out = shared.add(h, np.repeat(sid, size))
                 for name in sorted(set(src[s:e])):
                     own = np.array([src[s + r] == name for r in rows])
-                    out.append((turn % buckets, X.PLAIN, int(own.sum()), ids[s:e][rows[own]].astype(np.int64).tobytes(), name.encode(), sid[own].tobytes(), size[own].astype(np.int32).tobytes()))
+                    out.append((turn % buckets, X.PLAIN, int(own.sum()), ids[s:e][rows[own]].astype(np.int64).tobytes(), name.encode(), sid[own].tobytes(), size[own].astype(np.int32).tobytes(), b""))
                 turn += 1
                 yield X.batch(out)
         out = shared.flush()

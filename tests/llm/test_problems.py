@@ -306,22 +306,74 @@ def brute_spans(docs, least):
     return out
 
 
-@pytest.mark.parametrize("least", [100, 13])
-def test_shared_spans(spark, least):
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t[:n]
+
+
+@pytest.mark.parametrize("least,group", [(100, 50_000), (13, 50_000), (100, 3), (13, 2)])
+def test_shared_spans(spark, least, group):
     rng = random.Random(least)
     word = lambda n: "".join(rng.choice("abcdefgh é🙂\n") for _ in range(n))
     parts = [word(rng.randrange(1, 3 * least)) for _ in range(12)] + ["z" * 4 * least, "ab" * 2 * least]
     docs = {i: "".join(rng.choice([rng.choice(parts), word(rng.randrange(2 * least))]) for _ in range(rng.randrange(7))) for i in range(90)}
+    docs |= {300: thue_morse(1024), 301: thue_morse(1024).translate(str.maketrans("ab", "ba"))}  # equal modulo 2**64 in any base
     docs |= {200: docs[5], 201: docs[5], 202: "q" * 9 * least, 203: "q" * 5 * least, 204: "short", 205: ""}
     rows = [*docs.items(), (206, None), (None, docs[5]), *list(docs.items())[:4]]
     df = clashing(spark.createDataFrame(rows, "doc_id bigint, text string"))
     want = brute_spans(docs, least)
-    assert {tuple(r) for r in spans.shared_spans(df, least).collect()} == want and len(want) > 30
+    assert {tuple(r) for r in spans.shared_spans(df, least, group=group).collect()} == want and len(want) > 30
     amounts = {r.doc_id: (r.n_chars, r.n_shared) for r in spans.shared_amounts(df, least).collect()}
     assert amounts == {i: (len(t), sum(e - s for d, s, e in want if d == i)) for i, t in docs.items()} | {206: (0, 0)}
     assert spans.shared_spans(df.limit(0), least).count() == 0
 
 
+def test_spans_are_compared_by_characters(spark, monkeypatch):
+    """With anchors whose hashes all collide, what comes out is the same."""
+    rng = random.Random(4)
+    shared = "".join(rng.choice("abc") for _ in range(60))
+    docs = {i: "".join(rng.choice("abc") for _ in range(90)) + (shared if i % 3 else "") + "".join(rng.choice("abc") for _ in range(40)) for i in range(12)}
+    wins, tid, lead = [], [], []
+    for i, t in docs.items():
+        for p in range(0, len(t) - 10, 3):
+            wins.append(t[max(0, p - 10) : p + 20])
+            lead.append(min(10, p))
+            tid.append(i)
+    at, l = spans.repeats(np.array(lead), wins, np.array(tid), 10, 20)
+    want = set()
+    for a in range(len(wins)):
+        for x in range(11):
+            s = wins[a][lead[a] - x : lead[a] - x + 20] if lead[a] >= x else ""
+            if len(s) == 20 and any(tid[b] != tid[a] and lead[b] >= x and wins[b][lead[b] - x : lead[b] - x + 20] == s for b in range(len(wins))):
+                want.add((a, x))
+    assert set(zip(at.tolist(), l.tolist())) == want and len(want) > 20
+
+
+@pytest.mark.parametrize("two_levels", [False, True])
+def test_exchange_levels(monkeypatch, spark, two_levels):
+    """Blobs reach the same buckets' contents in one exchange and in two."""
+    from ctxspark.llm import exchange as X
+
+    if two_levels:
+        monkeypatch.setattr(X, "LEVEL", 3)
+    rng = np.random.default_rng(3)
+    keys, owners = rng.integers(0, 1 << 63, 500).astype(np.uint64) << np.uint64(1), np.sort(rng.integers(1, 40, 500)).astype(np.uint64)
+    coarse, wide = X.first_level(50)
+    rows = X.pack(X.TRIPLE, coarse, keys, owners, np.arange(500), wide, tags=owners * np.uint64(7)) + X.pack(X.CREDIT, coarse, owners, owners, np.arange(500), keyless=True)
+    df = spark.createDataFrame([tuple(bytearray(x) if isinstance(x, bytes) else x for x in r) for r in rows], X.SCHEMA)
+    got, credits = set(), 0
+    for r in X.meet(df, 50).collect():
+        k, o, v, t = X.unpack([r.asDict()])
+        if r.kind == X.TRIPLE:
+            assert (t == o * np.uint64(7)).all() and (X.bucket_of(keys[v], 50) == r.bucket).all()
+            got |= set(zip(o.tolist(), v.tolist()))
+        else:
+            credits += len(o)
+    assert got == set(zip(owners.tolist(), range(500))) and credits == 500
+
+
 @pytest.mark.parametrize("t_num,t_den", [(1, 4), (1, 2), (3, 5), (4, 5), (9, 10)])
 def test_segments_suffice(t_num, t_den):
     tops = near.bands(4, 1.25, 5000)
