@@ -5,7 +5,8 @@ h = (1 - t) / (1 + t) * (|a| + |b|) elements. The universe of hashed word runs i
 m by size band. If levels a_i from {0 (skip), 1 (equal), 2 (equal up to one element)} sum to h + 1, at least one
 segment must differ by less than its level. The smaller record of a pair indexes its segments and their
 one-deletion neighbourhoods once, in its own band; the larger one probes each band it can meet at levels
-chosen by cost. What meets is verified exactly on the sets.
+chosen by cost. What meets is verified exactly on the sets. Empty segments say the same of all sets and are neither indexed nor
+probed; the few records that have too few other ones meet the rest by their rarest runs instead.
 
 Before that, runs that occur in one set only are found by an exchange of packed keys: a record needs the share t of
 its runs to occur elsewhere too, so the others leave without an index entry. Nothing here is approximate, but for
@@ -58,11 +59,11 @@ def _salts(src: list[str], n: int) -> np.ndarray:
     return np.fromiter((by[s] for s in src), U, n)
 
 
-def _scan(buckets: int, k: int, least_words: int):
+def _scan(buckets: int, wide: bool, k: int, least_words: int):
     """Texts to blobs: the runs of each set, and the record directory as PLAIN rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, turn = X.SharedKeys(buckets, counted=True), 0
+        shared, turn = X.SharedKeys(buckets, wide=wide, counted=True), 0
         for b in batches:
             src, ids, texts = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
             for s, e in chunks([len(t) for t in texts], CHUNK):
@@ -187,33 +188,33 @@ def segment_sums(rec: np.ndarray, h: np.ndarray, n_rec: int, m: np.ndarray, seed
     return place, sums, of, mix(number.astype(U) * U(0x9E3779B97F4A7C15) + seed[of])
 
 
-def choose_levels(rec: np.ndarray, count: np.ndarray, low: np.ndarray, second: np.ndarray, need: np.ndarray, n_rec: int) -> np.ndarray:
-    """Cheapest levels of segments that sum to ``need`` for each record.
+def choose_levels(rec: np.ndarray, count: np.ndarray, low: np.ndarray, second: np.ndarray, need: np.ndarray, n_rec: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cheapest levels of segments that sum to ``need`` for each record, and which records can't reach it.
 
-    ``low`` and ``second`` are the two smallest frequencies of a segment's elements. Equality is expected to
-    meet as many sets as have the rarest element; one deletion, those with the rarest of the rest. Empty segments, and
-    single elements at level 2, cost the most and are used only if nothing else suffices.
+    ``low`` and ``second`` are the two smallest frequencies of a segment's elements. Equality is expected to meet as many sets as have the
+    rarest element; one deletion, those with the rarest of the rest. Empty segments have no level and single elements no second one: what
+    they stand for is the same for all sets, so its key would be hot. Records that can't do without have level 0 everywhere.
     """
-    huge = 1e15
-    one = np.where(count == 0, huge, low.astype(float))
-    two = np.where(count <= 1, huge * 2, one + (count - 1) * low.astype(float) + second)
-    two = np.maximum(one, two)
-    cost, seg = np.concatenate([one, two]), np.concatenate([np.arange(len(rec))] * 2)
+    one = low.astype(float)
+    two = np.maximum(one, one + (count - 1) * one + second)
+    some, more = np.nonzero(count > 0)[0], np.nonzero(count > 1)[0]
+    cost, seg = np.concatenate([one[some], two[more]]), np.concatenate([some, more])
     order = np.lexsort((np.arange(len(cost)), cost, rec[seg]))
     owner = rec[seg[order]]
     starts = np.searchsorted(owner, np.arange(n_rec))
-    taken = order[np.arange(len(order)) - starts[owner] < need[owner]]
+    needy = np.bincount(owner, minlength=n_rec) < need
+    taken = order[(np.arange(len(order)) - starts[owner] < need[owner]) & ~needy[owner]]
     level = np.zeros(len(rec), np.int8)
     np.add.at(level, seg[taken], 1)
-    return level
+    return level, needy
 
 
-# Kinds of signature blobs.
-INDEX_EQUAL, INDEX_DELETED, PROBE_EQUAL, PROBE_DELETED = 10, 11, 12, 13
+# Kinds of signature blobs; NEEDY ones name a record and the band in which it needs another way.
+INDEX_EQUAL, INDEX_DELETED, PROBE_EQUAL, PROBE_DELETED, NEEDY = 10, 11, 12, 13, 14
 
 
 def signatures(sid: np.ndarray, size: np.ndarray, h: np.ndarray, tops: np.ndarray, frequency: np.ndarray, t_num: int, t_den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, signature, set id) of the sets for the index and for the probes."""
+    """(kind, signature, number of the set) of the sets for the index and for the probes; of NEEDY, (kind, band, number)."""
     rec = np.repeat(np.arange(len(sid)), size)
     home = np.searchsorted(tops, size)
     freq = frequency[_sketch_slot(h)]
@@ -229,8 +230,10 @@ def signatures(sid: np.ndarray, size: np.ndarray, h: np.ndarray, tops: np.ndarra
 
     everyone = np.arange(len(sid))
     r, hh, _, m, place, sums, of, number = cut(everyone, home)
-    yield INDEX_EQUAL, mix(sums + number), sid[of]
-    yield INDEX_DELETED, mix(sums[place] - mix(hh) + number[place]), sid[r]
+    count = np.bincount(place, minlength=len(sums))
+    some, more = count > 0, (count > 1)[place]
+    yield INDEX_EQUAL, mix(sums + number)[some], of[some]
+    yield INDEX_DELETED, mix(sums[place] - mix(hh) + number[place])[more], r[more]
 
     smallest = -(-size * t_num // t_den)
     lowest = np.searchsorted(tops, smallest)
@@ -246,36 +249,50 @@ def signatures(sid: np.ndarray, size: np.ndarray, h: np.ndarray, tops: np.ndarra
         low[has] = f[order[at[has]]]
         second[more] = f[order[at[more] + 1]]
         need = differences(size[sub], np.minimum(size[sub], tops[band]), t_num, t_den) + 1
-        level = choose_levels(of, count, low, second, need, len(sub))
+        level, needy = choose_levels(of, count, low, second, need, len(sub))
         one, two = level >= 1, level >= 2
         sig = mix(sums + number)
-        yield PROBE_EQUAL, sig[one], sid[sub[of[one]]]
-        yield PROBE_DELETED, sig[two], sid[sub[of[two]]]
+        yield PROBE_EQUAL, sig[one], sub[of[one]]
+        yield PROBE_DELETED, sig[two], sub[of[two]]
         gone = two[place]
-        yield PROBE_EQUAL, mix(sums[place[gone]] - mix(hh[gone]) + number[place[gone]]), sid[sub[r[gone]]]
+        yield PROBE_EQUAL, mix(sums[place[gone]] - mix(hh[gone]) + number[place[gone]]), sub[r[gone]]
+        yield NEEDY, band[needy], sub[needy]
 
 
-def _sign(buckets: int, tops: np.ndarray, frequency, t_num: int, t_den: int):
+def _sign(buckets: int, wide: bool, tops: np.ndarray, frequency, t_num: int, t_den: int):
+    """(sid, n, runs, label) to signature blobs, with the label as their tag."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = b.column(1).to_numpy().astype(np.int64)
-            sids, lists = b.column(0).to_numpy().view(U), b.column(2)
+            sids, lists, labels = b.column(0).to_numpy().view(U), b.column(2), b.column(3).to_numpy().view(U)
             for s, e in chunks(sizes, 200_000):
                 out, part = [], lists.slice(s, e - s)
-                for kind, sig, owner in signatures(sids[s:e], sizes[s:e], part.flatten().to_numpy().view(U), tops, frequency.value, t_num, t_den):
-                    out += X.pack(kind, buckets, sig, owner)
+                sid, label = sids[s:e], labels[s:e]
+                for kind, sig, of in signatures(sid, sizes[s:e], part.flatten().to_numpy().view(U), tops, frequency.value, t_num, t_den):
+                    if kind == NEEDY:
+                        out += X.pack(kind, buckets, mix(sid[of]), sid[of], sig, keyless=True)
+                    else:
+                        out += X.pack(kind, buckets, sig, sid[of], None, wide, tags=label[of])
                 if out:
                     yield X.batch(out)
 
     return run
 
 
-def _meet(index: np.ndarray, owner: np.ndarray, probe: np.ndarray, prober: np.ndarray, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index owner and prober for equal keys, in blocks of about ``block`` pairs."""
-    order = np.argsort(index, kind="stable")
-    index, owner = index[order], owner[order]
-    lo, hi = np.searchsorted(index, probe, "left"), np.searchsorted(index, probe, "right")
-    n = hi - lo
+def _meet(index: np.ndarray, owner: np.ndarray, mark: np.ndarray, probe: np.ndarray, prober: np.ndarray, probe_mark: np.ndarray, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index owner and prober for equal keys and different labels, in blocks of about ``block`` pairs."""
+    _, key = np.unique(np.concatenate([index, probe]), return_inverse=True)
+    names, label = np.unique(np.concatenate([mark, probe_mark]), return_inverse=True)
+    both = key.astype(np.int64) * len(names) + label
+    code, probe_code, first = both[: len(index)], both[len(index) :], key[len(index) :].astype(np.int64) * len(names)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    # owners of the key before and behind those with the prober's label
+    find = lambda x, side: np.searchsorted(code, x, side)
+    lo = np.concatenate([find(first, "left"), find(probe_code, "right")])
+    hi = np.concatenate([find(probe_code, "left"), find(first + len(names), "left")])
+    n, prober = hi - lo, np.concatenate([prober, prober])
     hit = n > 0
     lo, n, prober = lo[hit], n[hit], prober[hit]
     ends = np.cumsum(n)
@@ -288,62 +305,137 @@ def _meet(index: np.ndarray, owner: np.ndarray, probe: np.ndarray, prober: np.nd
         s = e
 
 
-def _pairs(table: pa.Table) -> pa.Table:
-    """Candidates of one bucket, distinct within it."""
-    rows = table.to_pylist()
-    by = {k: X.unpack([r for r in rows if r["kind"] == k]) for k in (INDEX_EQUAL, INDEX_DELETED, PROBE_EQUAL, PROBE_DELETED)}
-    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-    for i, p in ((INDEX_EQUAL, PROBE_EQUAL), (INDEX_DELETED, PROBE_DELETED)):
-        for a, b in _meet(*by[i][:2], *by[p][:2]):
-            a, b = a[a != b], b[a != b]
-            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1).view(np.int64), axis=0))
-    out = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"a": out[:, 0], "b": out[:, 1]})
+def _star(index: np.ndarray, owner: np.ndarray, probe: np.ndarray, prober: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key, its least index owner with every prober and its least prober with every index owner."""
+    common = np.intersect1d(index, probe)
+
+    def least(keys, who):
+        take = np.isin(keys, common)
+        keys, who = keys[take], who[take]
+        order = np.lexsort((who, keys))
+        keys, who = keys[order], who[order]
+        first = np.searchsorted(keys, common)
+        return keys, who, who[first] if len(common) else who
+
+    (ik, io, i0), (pk, po, p0) = least(index, owner), least(probe, prober)
+    return np.concatenate([i0[np.searchsorted(common, pk)], io]), np.concatenate([po, p0[np.searchsorted(common, ik)]])
+
+
+_FOUND = "a bigint, b bigint, band int"
+
 
+def _pairs(star: bool):
+    """Candidates of one bucket, distinct within it, and its needy records as (a, null, band)."""
 
-def similar_sets(texts: DataFrame, k: int = 5, t_num: int = 4, t_den: int = 5, least_words: int = 0, ratio: float = 1.25) -> tuple[DataFrame, DataFrame]:
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        by = {k: X.unpack([r for r in rows if r["kind"] == k]) for k in (INDEX_EQUAL, INDEX_DELETED, PROBE_EQUAL, PROBE_DELETED, NEEDY)}
+        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        for i, p in ((INDEX_EQUAL, PROBE_EQUAL), (INDEX_DELETED, PROBE_DELETED)):
+            (ik, io, _, im), (pk, po, _, pm) = by[i], by[p]
+            for a, b in [_star(ik, io, pk, po)] if star else _meet(ik, io, im, pk, po, pm):
+                a, b = a[a != b], b[a != b]
+                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1).view(np.int64), axis=0))
+        out = np.unique(np.concatenate(found), axis=0)
+        _, who, band, _ = by[NEEDY]
+        needy = pa.table({"a": who.view(np.int64), "b": pa.nulls(len(who)).cast(pa.int64()), "band": band.astype(np.int32)})
+        return pa.concat_tables([pa.table({"a": out[:, 0], "b": out[:, 1], "band": pa.nulls(len(out)).cast(pa.int32())}), needy])
+
+    return run
+
+
+def _prefix(tops: np.ndarray, wanted: list[int] | None, frequency, t_num: int, t_den: int):
+    """(band, run, sid, label) of the rarest runs of sets, of which similar sets share one: of the sets whose own band is wanted, or of (sid, n, runs, label, band)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sid, size, label, lists = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(3).to_numpy(), b.column(2)
+            band = np.searchsorted(tops, size) if wanted is not None else b.column(4).to_numpy().astype(np.int64)
+            h = lists.flatten().to_numpy()
+            rec = np.repeat(np.arange(len(sid)), size)
+            order = np.lexsort((h, frequency.value[_sketch_slot(h.view(U))], rec))
+            place = np.arange(len(rec)) - np.repeat(np.cumsum(size) - size, size)
+            keep = place < (size - (-(-size * t_num // t_den)) + 1)[rec]
+            if wanted is not None:
+                keep &= np.isin(band, wanted)[rec]
+            r = rec[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(band[r].astype(np.int32)), pa.array(h[order][keep]), pa.array(sid[r]), pa.array(label[r])], names=["band", "run", "sid", "label"])
+
+    return run
+
+
+class Search:
+    """The run sets of some texts, written, and the search for candidates among them."""
+
+    def __init__(self, texts: DataFrame, k: int = 5, t_num: int = 4, t_den: int = 5, least_words: int = 0, ratio: float = 1.25):
+        """See ``similar_sets``."""
+        self.t_num, self.t_den, self.tops = t_num, t_den, bands(4, ratio)
+        texts = texts.where("rec_id is not null and text is not null").select("src", "rec_id", "text")
+        self.parts = parts = exchange_parts(texts)
+        self.coarse, self.wide = X.first_level(parts)
+        blobs = X.meet(spread(texts).mapInArrow(_scan(self.coarse, self.wide, k, least_words), X.SCHEMA), parts)
+        counted = written(blobs.groupBy("bucket").applyInArrow(_count, "src string, rec_id bigint, sid bigint, n int, shared int"), "near-counts")
+        self.members = counted.where("rec_id is not null").select("src", "rec_id", "sid", "n").distinct()
+        alive = (
+            counted.groupBy("sid").agg(F.sum(F.col("shared").cast("bigint")).alias("shared"), F.min("n").alias("n"), F.min(F.when(F.col("rec_id").isNotNull(), F.struct("src", "rec_id"))).alias("first"))
+            .where(F.col("shared") * t_den >= F.col("n") * t_num)
+            .select("first.src", "first.rec_id")
+        )
+        chosen = texts.hint("shuffle_hash").join(alive.hint("shuffle_hash"), ["src", "rec_id"], "left_semi").select("src", "text")
+        self.sets = written(chosen.mapInArrow(_sets(k, least_words), "src string, sid bigint, n int, runs array<bigint>, bits array<bigint>").dropDuplicates(["sid"]), "near-sets")
+        self.frequency = texts.sparkSession.sparkContext.broadcast(frequencies(self.sets))
+
+    def candidates(self, labels: DataFrame | None = None, star: bool = False) -> DataFrame:
+        """(a, b): pairs of sets that may be similar, none of one label if ``labels`` (sid, label) are given.
+
+        With ``star``, only some of them: enough that sets with a signature in common hang together.
+        """
+        sets = self.sets.select("sid", "n", "runs")
+        sets = sets.withColumn("label", F.col("sid")) if labels is None else sets.join(labels, "sid")
+        blobs = sets.mapInArrow(_sign(self.coarse, self.wide, self.tops, self.frequency, self.t_num, self.t_den), X.SCHEMA)
+        found = written(X.meet(blobs, self.parts).groupBy("bucket").applyInArrow(_pairs(star), _FOUND), "near-found")
+        pairs = found.where("band is null").select("a", "b")
+        needy = found.where("band is not null").select(F.col("a").alias("sid"), "band")
+        bands_ = [] if star else [r["band"] for r in needy.select("band").distinct().collect()]  # at most as many as there are bands
+        if bands_:
+            index = sets.mapInArrow(_prefix(self.tops, bands_, self.frequency, self.t_num, self.t_den), "band int, run bigint, sid bigint, label bigint").toDF("band", "run", "a", "la")
+            probes = sets.join(needy, "sid").select("sid", "n", "runs", "label", "band").mapInArrow(_prefix(self.tops, None, self.frequency, self.t_num, self.t_den), "band int, run bigint, sid bigint, label bigint").toDF("band", "run", "b", "lb")
+            pairs = pairs.unionByName(index.join(probes, ["band", "run"]).where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        return pairs.distinct()
+
+    def verified(self, candidates: DataFrame) -> DataFrame:
+        """(src, a, b, n_shared, n_union) of the candidates that are similar."""
+        sets, t_num, t_den = self.sets, self.t_num, self.t_den
+        # most candidates differ too much already in their parities, so few need both sets in one place
+        small = lambda c: sets.select(F.col("sid").alias(c), F.col("src").alias(f"src_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        close = (
+            candidates.join(small("a"), "a").join(small("b"), "b").where("src_a = src_b")
+            .where(F.least("n_a", "n_b") * t_den >= F.greatest("n_a", "n_b") * t_num)
+            .where(differ * (t_den + t_num) <= (F.col("n_a") + F.col("n_b")) * (t_den - t_num))
+            .select(F.col("src_a").alias("src"), "a", "b", "n_a", "n_b")
+        )
+        runs = lambda c: sets.select(F.col("sid").alias(c), F.col("runs").alias(f"runs_{c}"))
+        return (
+            close.join(runs("a"), "a").join(runs("b"), "b")
+            .withColumn("n_shared", F.size(F.array_intersect("runs_a", "runs_b")))
+            .withColumn("n_union", F.col("n_a") + F.col("n_b") - F.col("n_shared"))
+            .where(F.col("n_shared") * t_den >= F.col("n_union") * t_num)
+            .select("src", "a", "b", "n_shared", "n_union")
+        )
+
+
+def similar_sets(texts: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     """Similar pairs of distinct run sets, and every record's set.
 
     ``texts`` has (src, rec_id, text); other columns are ignored and a record may come several times. Returns
-    ``pairs`` (src, a, b, n_shared, n_union) of set ids whose Jaccard similarity on runs of ``k`` words is at least
-    ``t_num / t_den``, and ``members`` (src, rec_id, sid, n), one row for a record of at least ``least_words`` words and
+    ``pairs`` (src, a, b, n_shared, n_union) of set ids whose Jaccard similarity on runs of ``k`` words (5) is at least
+    ``t_num / t_den`` (4/5), and ``members`` (src, rec_id, sid, n), one row for a record of at least ``least_words`` words (0) and
     one run. Null ids and null or wordless texts are in neither; equal sets have one id, so copies are not paired.
     Pairs are only formed within one ``src``.
     """
-    texts = texts.where("rec_id is not null and text is not null").select("src", "rec_id", "text")
-    parts = exchange_parts(texts)
-    blobs = spread(texts).mapInArrow(_scan(parts, k, least_words), X.SCHEMA)
-    counted = written(blobs.groupBy("bucket").applyInArrow(_count, "src string, rec_id bigint, sid bigint, n int, shared int"), "near-counts")
-    members = counted.where("rec_id is not null").select("src", "rec_id", "sid", "n").distinct()
-    alive = (
-        counted.groupBy("sid").agg(F.sum(F.col("shared").cast("bigint")).alias("shared"), F.min("n").alias("n"), F.min(F.when(F.col("rec_id").isNotNull(), F.struct("src", "rec_id"))).alias("first"))
-        .where(F.col("shared") * t_den >= F.col("n") * t_num)
-        .select("first.src", "first.rec_id")
-    )
-    chosen = texts.hint("shuffle_hash").join(alive.hint("shuffle_hash"), ["src", "rec_id"], "left_semi").select("src", "text")
-    sets = written(chosen.mapInArrow(_sets(k, least_words), "src string, sid bigint, n int, runs array<bigint>, bits array<bigint>").dropDuplicates(["sid"]), "near-sets")
-
-    frequency = texts.sparkSession.sparkContext.broadcast(frequencies(sets))
-    signed = sets.select("sid", "n", "runs").mapInArrow(_sign(parts, bands(4, ratio), frequency, t_num, t_den), X.SCHEMA)
-    candidates = signed.groupBy("bucket").applyInArrow(_pairs, "a bigint, b bigint").distinct()
-    # most candidates differ too much already in their parities, so few need both sets in one place
-    small = lambda c: sets.select(F.col("sid").alias(c), F.col("src").alias(f"src_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    close = (
-        candidates.join(small("a"), "a").join(small("b"), "b").where("src_a = src_b")
-        .where(F.least("n_a", "n_b") * t_den >= F.greatest("n_a", "n_b") * t_num)
-        .where(differ * (t_den + t_num) <= (F.col("n_a") + F.col("n_b")) * (t_den - t_num))
-        .select(F.col("src_a").alias("src"), "a", "b", "n_a", "n_b")
-    )
-    runs = lambda c: sets.select(F.col("sid").alias(c), F.col("runs").alias(f"runs_{c}"))
-    pairs = (
-        close.join(runs("a"), "a").join(runs("b"), "b")
-        .withColumn("n_shared", F.size(F.array_intersect("runs_a", "runs_b")))
-        .withColumn("n_union", F.col("n_a") + F.col("n_b") - F.col("n_shared"))
-        .where(F.col("n_shared") * t_den >= F.col("n_union") * t_num)
-        .select("src", "a", "b", "n_shared", "n_union")
-    )
-    return pairs, members
+    s = Search(texts, **how)
+    return s.verified(s.candidates()), s.members
 
 
 def similar_records(texts: DataFrame, **how) -> DataFrame:
@@ -383,17 +475,29 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def similar_groups(texts: DataFrame, **how) -> DataFrame:
-    """(src, rec_id, group_id, n_links, n_copies): the group of each record of at least ``least_words`` words and one run.
+    """(src, rec_id, group_id, n_copies): the group of each record of at least ``least_words`` words and one run.
 
-    Groups are the connected components of similarity; ``group_id`` is the least rec_id of the group, ``n_links`` the number of different
-    run sets similar to the record's, ``n_copies`` that of other records with the same set. See ``similar_sets`` for the rest.
+    Groups are the connected components of similarity; ``group_id`` is the least rec_id of the group, ``n_copies`` the number of other records
+    with the same run set. See ``similar_sets`` for the rest. A group of many sets does not cost all its pairs: first, sets with a signature in common
+    are linked to one of them; then only pairs across the groups found so far are searched and verified, which gives the same components.
     """
-    pairs, members = similar_sets(texts, **how)
-    pairs = written(pairs.select("src", "a", "b"), "near-pairs")
-    links = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("n_links"))
-    roots = components(pairs.select("a", "b"))
-    copies = members.groupBy("sid").agg(F.count("*").alias("c"), F.min("rec_id").alias("first"))
-    sets = copies.join(links, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "c", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "sid").alias("root"))
+    s = Search(texts, **how)
+    first = written(s.verified(s.candidates(star=True)).select("a", "b"), "near-links")
+    labels = s.sets.select("sid").join(components(first).withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("label"))
+    labels = written(labels, "near-labels")
+    across = written(s.verified(s.candidates(labels)).select("a", "b"), "near-links")
+    roots = components(first.unionByName(across))
+    copies = s.members.groupBy("sid").agg(F.count("*").alias("c"), F.min("rec_id").alias("first"))
+    sets = copies.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "c", "first", F.coalesce("root", "sid").alias("root"))
     sets = written(sets, "near-roots")
     names = sets.groupBy("root").agg(F.min("first").alias("group_id"))
-    return members.join(sets.join(names, "root"), "sid").select("src", "rec_id", "group_id", "n_links", (F.col("c") - 1).alias("n_copies"))
+    return s.members.join(sets.join(names, "root"), "sid").select("src", "rec_id", "group_id", (F.col("c") - 1).alias("n_copies"))
+
+
+def similar_links(texts: DataFrame, **how) -> DataFrame:
+    """(src, rec_id, n_links, n_copies): for each record with a set, how many other sets are similar to its own and how many records have the same."""
+    pairs, members = similar_sets(texts, **how)
+    pairs = written(pairs.select("a", "b"), "near-pairs")
+    links = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("n_links"))
+    copies = members.groupBy("sid").agg(F.count("*").alias("c")).join(links, "sid", "left")
+    return members.join(copies, "sid").select("src", "rec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("c") - 1).alias("n_copies"))

@@ -11,7 +11,7 @@ from ctxspark.llm.bpe import count_tokens, encode_texts
 from ctxspark.llm.chunk import base_items, raw_items, split_items
 from ctxspark.llm.fill import fill_containers
 from ctxspark.llm.leaks import leaked_items
-from ctxspark.llm.near import similar_groups, similar_records
+from ctxspark.llm.near import similar_groups, similar_links, similar_records
 from ctxspark.llm.pairs import defective_pairs
 from ctxspark.llm.records import BASE, RAW, record_texts
 from ctxspark.llm.spans import shared_amounts, shared_spans
@@ -49,6 +49,11 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return similar_groups(record_texts(spark, d), **NEAR)
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """How many other texts are similar to that of each record."""
+    return similar_links(record_texts(spark, d), **NEAR)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The chat rows whose target is defective, and how."""
     return defective_pairs(_table(spark, d, RAW))
@@ -91,6 +96,6 @@ def p7_amounts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_items, p5_ids, p6_containers, p7_found, p7_amounts)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p2_links, p3_found, p4_found, p4_items, p5_ids, p6_containers, p7_found, p7_amounts)
 }
 ORACLES: dict[str, str] = {}

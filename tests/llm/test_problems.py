@@ -126,6 +126,46 @@ def test_similar_groups(spark):
     assert {(r.src, r.rec_id): r.group_id for r in groups if (r.src, r.rec_id) in root} == {k: find(k)[1] for k in root}
     assert all(r.group_id == r.rec_id for r in groups if (r.src, r.rec_id) not in root)
     assert near.similar_groups(spark.createDataFrame([], TEXTS)).count() == 0
+    sets = {(s, i): runs(t, 3)[0] for s, i, t in rows if i is not None and t and runs(t, 3)[1] >= 20}
+    linked = {}
+    for s, a, b in want:
+        if sets[s, a] != sets[s, b]:
+            linked.setdefault((s, a), set()).add(sets[s, b])
+            linked.setdefault((s, b), set()).add(sets[s, a])
+    links = near.similar_links(spark.createDataFrame(rows, TEXTS), k=3, t_num=3, t_den=5, least_words=20).collect()
+    assert {(r.src, r.rec_id): r.n_links for r in links} == {k: len(linked.get(k, ())) for k in sets}
+    assert {(r.src, r.rec_id): r.n_copies for r in links} == {(r.src, r.rec_id): r.n_copies for r in groups}
+
+
+def test_no_hot_signature():
+    """20,000 random sets of one size: no signature of the index or the probes has a hundredth of the sets."""
+    rng = np.random.default_rng(5)
+    n, size = 20_000, 18
+    sid, h = rng.integers(1, 1 << 62, n).astype(np.uint64), rng.integers(0, 1 << 63, n * size).astype(np.uint64)
+    needy = 0
+    for kind, sig, of in near.signatures(sid, np.full(n, size), h, near.bands(4, 1.25), np.ones(1 << near.SKETCH_BITS, np.int32), 3, 5):
+        if kind == near.NEEDY:
+            needy += len(of)
+        else:
+            assert np.unique(sig, return_counts=True)[1].max(initial=0) < n / 100
+    assert needy < n
+
+
+def test_group_of_many_edits_costs_few_pairs(spark):
+    """Sets that are all similar hang together after the first step, so no pair within them is looked at in the second."""
+    rng = random.Random(6)
+    text = sentence(rng, 80).split(" ")
+    rows = []
+    for i in range(120):
+        w = list(text)
+        w[rng.randrange(80)] = f"edit{i}"
+        rows.append(("a", i, " ".join(w)))
+    s = near.Search(spark.createDataFrame(rows, TEXTS), k=3, t_num=3, t_den=5)
+    links = s.candidates(star=True)
+    assert links.count() < 120 * 118 / 4
+    labels = s.sets.select("sid", F.lit(1).cast("bigint").alias("label"))
+    assert s.candidates(labels).count() == 0
+    assert {r.group_id for r in near.similar_groups(spark.createDataFrame(rows, TEXTS), k=3, t_num=3, t_den=5).collect()} == {0}
 
 
 def test_components_of_a_chain(spark):
@@ -138,8 +178,10 @@ def test_levels_reach_what_is_needed():
     rng = np.random.default_rng(2)
     rec = np.repeat(np.arange(5), 6)
     count = rng.integers(0, 4, 30)
-    level = near.choose_levels(rec, count, rng.integers(1, 9, 30), rng.integers(1, 9, 30), np.array([1, 3, 5, 8, 12]), 5)
-    assert np.bincount(rec, weights=level).tolist() == [1, 3, 5, 8, 12]
+    need = np.array([1, 3, 5, 8, 12])
+    level, needy = near.choose_levels(rec, count, rng.integers(1, 9, 30), rng.integers(1, 9, 30), need, 5)
+    assert np.bincount(rec, weights=level).tolist() == np.where(needy, 0, need).tolist()
+    assert (level <= np.minimum(count, 2)).all() and needy.tolist() == (np.bincount(rec, weights=np.minimum(count, 2)) < need).tolist()
 
 
 # defective pairs
