@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -225,11 +226,11 @@ def test_common_subsequence():
 # leaks
 
 
-@pytest.mark.parametrize("at_once", [1000, 7])
-def test_leaked_items(spark, at_once):
+def leak_case():
     rng = random.Random(5)
     items = [(i, f"read <|memory_start|>{sentence(rng, rng.choice([5, 13, 30, 90]))}<|memory_end|> Who is Ann{i}?", [f"gold{i}", None]) for i in range(30)]
     items += [(40, items[3][1], None), (41, None, None), (42, "no markers", []), (43, "a <|memory_start|> open", None), (None, items[3][1], None), items[0]]
+    items += [(44, "<|memory_start|>" + "same " * 40 + "<|memory_end|> x", []), (45, "<|memory_start|>" + "tick tack " * 20 + "<|memory_end|>and<|memory_start|>" + sentence(rng, 20) + "<|memory_end|>", [])]
     texts = []
     for i in range(120):
         w = sentence(rng, rng.choice([0, 3, 40, 200])).split(" ")
@@ -239,27 +240,64 @@ def test_leaked_items(spark, at_once):
             at = rng.randrange(len(w) + 1)
             w[at:at] = p[s : s + rng.choice([12, 13, 14, 60])]
         texts.append((rng.choice("ab"), i, rng.choice([" ", ", ", "-\n"]).join(w)))
-    texts += [("a", 500, None), ("a", 501, ""), ("a", None, items[2][1]), ("a", 502, items[2][1] + " gold2"), texts[1]]
-    df = clashing(spark.createDataFrame(texts, TEXTS))
-    ev = spark.createDataFrame(items, "item_id bigint, prompt string, answers array<string>").withColumn("src", F.lit("x"))
-    got = {(r.src, r.rec_id, r.item_id): r for r in leaks.leaked_items(df, ev, at_once=at_once).collect()}
+    texts += [("a", 500, None), ("a", 501, ""), ("a", None, items[2][1]), ("a", 503, "gold2 " + items[2][1].replace("Who", "who")), ("a", 504, "same " * 13), ("a", 505, "same " * 12), ("b", 506, "tick tack " * 300), texts[1]]
+    return items, texts
+
+
+def item_grams(items):
     grams = {}
     for i, p, _ in items:
         for x in leaks.passages(p) if i is not None else ():
             w = leaks.words(x)
             for j in range(len(w) - 12):
                 grams.setdefault(tuple(w[j : j + 13]), set()).add(i)
-    want = set()
-    for s, r, t in texts:
+    return grams
+
+
+@pytest.mark.parametrize("chars", [leaks.INDEX_CHARS, 900])
+def test_leaked_items(spark, chars):
+    items, texts = leak_case()
+    df = clashing(spark.createDataFrame(texts, TEXTS))
+    ev = spark.createDataFrame(items, "item_id bigint, prompt string, answers array<string>").withColumn("src", F.lit("x"))
+    got = {(r.src, r.rec_id, r.item_id): r for r in leaks.leaked_items(df, ev, index_chars=chars).collect()}
+    grams = item_grams(items)
+    want = Counter()
+    for s, r, t in set(texts):
         if r is not None:
             w = leaks.words(t or "")
-            want |= {(s, r, i) for j in range(len(w) - 12) for i in grams.get(tuple(w[j : j + 13]), ())}
-    assert set(got) == want and len(want) > 20
-    if ("a", 502, 2) in got:  # this text is the whole prompt, so the question is in it
-        assert got["a", 502, 2].has_question and got["a", 502, 2].has_answer
+            want.update((s, r, i) for j in range(len(w) - 12) for i in grams.get(tuple(w[j : j + 13]), ()))
+    assert {k: r.n_runs for k, r in got.items()} == want and len(want) > 20
+    plain = {(s, r): f" {' '.join(leaks.words(t or ''))} " for s, r, t in texts}
+    of = {i: (f" {' '.join(leaks.words(p.rpartition(leaks.END)[2]))} ", [x for x in a or [] if x]) for i, p, a in items if p and i is not None}
+    for (s, r, i), x in got.items():
+        q, a = of[i]
+        assert x.has_question == (bool(q.strip()) and q in plain[s, r]) and x.has_answer == any(f" {y} " in plain[s, r] for y in a)
+    # texts with a passage of 30 words or more of the item and all of its prompt
+    assert any(x.has_question and x.has_answer for x in got.values()) == (("a", 503, 2) in want)
     assert leaks.leaked_items(df, ev.limit(0)).count() == 0 and leaks.leaked_items(df.limit(0), ev).count() == 0
 
 
+def test_wand_finds_what_scores_enough_and_skips():
+    items, texts = leak_case()
+    more = [(100 + i, f"<|memory_start|>{sentence(random.Random(i), 200)}<|memory_end|>", []) for i in range(60)]
+    parts = [(i, " " + " ".join(leaks.words(p)) + " ", "  ", []) for i, q, _ in items + more for p in leaks.passages(q) if i is not None]
+    ix = leaks.Index(parts, 13)
+    rng = np.random.default_rng(1)
+    scored = pairs = 0
+    for _ in range(40):
+        window = rng.integers(len(ix.owner))
+        terms = np.unique(np.concatenate([rng.integers(0, len(ix.terms), 30), np.nonzero([window in ix.doc[ix.start[t] : ix.start[t + 1]] for t in range(len(ix.terms))])[0][: rng.integers(24)]]))
+        q, d, n = ix.wand(np.zeros(len(terms), np.int64), terms)
+        total = np.zeros(len(ix.owner))
+        for t in terms:
+            s = slice(ix.start[t], ix.start[t + 1])
+            total[ix.doc[s]] += ix.impact[s]
+        assert set(d.tolist()) >= set(np.nonzero(total >= 1 + 1e-4)[0].tolist()) and set(d.tolist()) <= set(np.nonzero(total >= 1 - 1e-4)[0].tolist())
+        scored, pairs = scored + n, pairs + int((total > 0).sum())
+    assert scored < pairs / 3
+    assert ix.nbytes() < 64 * sum(len(p) for _, p, _, _ in parts)
+
+
 # encoding
 
 
