@@ -2,7 +2,8 @@
 
 Method: a hierarchy of separators, applied recursively: section, paragraph, sentence, word, character. A stretch over
 the limit is cut at the boundaries of the next finer level only; the parts are then packed greedily into pieces of at
-most ``limit`` characters, each beginning with at most ``overlap`` characters of the end of the piece before.
+most ``limit`` characters, each beginning with at most ``overlap`` characters of the end of the piece before. A text is read
+once for all its boundaries.
 """
 
 from __future__ import annotations
@@ -11,44 +12,93 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxspark.llm.records import BASE, RAW
 
 SPACE = " \t\r\n"
-#: Boundaries from coarse to fine; what matches belongs to neither side.
-LEVELS: list[tuple[str, re.Pattern]] = [
-    ("section", re.compile(r"\n[ \t\r\n]*\n(?=#{1,6} )")),
-    ("paragraph", re.compile(r"\n[ \t\r\n]*\n")),
-    ("sentence", re.compile(r"(?<=[.!?])[ \t\r\n]+|(?<=[。！？])[ \t\r\n]*")),
-    ("word", re.compile(r"[ \t\r\n]+")),
-]
+#: Levels of boundaries from coarse to fine; what stands at a boundary belongs to neither side.
+LEVELS = ("section", "paragraph", "sentence", "word")
+SECTION, PARAGRAPH, SENTENCE, WORD = range(4)
 CHARACTER = "none"
+#: White space, or the place behind a full stop of scripts that need none after it. Runs are matched whole, so a text is read once.
+_GAP = re.compile(r"[ \t\r\n]+|(?<=[。！？])(?![ \t\r\n])")
+_HEADING = re.compile(r"#{1,6} ")
+_CLUSTER = regex.compile(r"\X")
 
 
-def cut(text: str, start: int, end: int, limit: int, hard: int | None = None, level: int = 0) -> tuple[list[tuple[int, int]], int]:
-    """Stretches of at most ``limit`` characters that cover [start, end) but for white space at boundaries, and the finest level used.
+def boundaries(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, level) of all boundaries in order.
+
+    Two line feeds in one run of white space end a paragraph; before a heading they end a section. What is left of such a run on either side
+    of them is a boundary of words or, behind a full stop, of sentences.
+    """
+    out = []
+    for m in _GAP.finditer(text):
+        s, e = m.span()
+        stop = s > 0 and text[s - 1] in ".!?。！？"
+        first = text.find("\n", s, e)
+        last = text.rfind("\n", s, e)
+        if first == last:
+            out.append((s, e, SENTENCE if stop else WORD))
+            continue
+        if first > s:
+            out.append((s, first, SENTENCE if stop else WORD))
+        out.append((first, last + 1, SECTION if last + 1 == e and _HEADING.match(text, e) else PARAGRAPH))
+        if e > last + 1:
+            out.append((last + 1, e, WORD))
+    return out
+
+
+def _characters(text: str, start: int, end: int, limit: int) -> list[tuple[int, int]]:
+    """Stretches of at most ``limit`` characters; characters that make up one sign stay together unless they exceed the limit."""
+    if text[start:end].isascii():
+        return [(i, min(i + limit, end)) for i in range(start, end, limit)]
+    out, at, stop = [], start, start
+    for m in _CLUSTER.finditer(text, start, end):
+        s, e = m.span()
+        if e - at > limit and stop > at:
+            out.append((at, stop))
+            at = stop
+        while e - at > limit:
+            out.append((at, at + limit))
+            at += limit
+        stop = e
+    return out + ([(at, end)] if end > at else [])
+
+
+def cut(text: str, limit: int, hard: int | None = None) -> tuple[list[tuple[int, int]], int]:
+    """Stretches of at most ``limit`` characters that cover ``text`` but for white space at boundaries, and the finest level used.
 
     Only stretches over the limit are cut further, so the result is that of the coarsest levels that suffice. Between
     characters, ``hard`` (the limit by default) are taken at a time.
     """
-    if end - start <= limit:
-        return [(start, end)], level - 1
-    if level == len(LEVELS):
-        return [(i, min(i + (hard or limit), end)) for i in range(start, end, hard or limit)], level
-    edges, at = [], start
-    for m in LEVELS[level][1].finditer(text, start, end):
-        edges.append((at, m.start()))
-        at = m.end()
-    edges.append((at, end))
-    out, finest = [], level
-    for s, e in edges:
-        if e > s:
-            parts, used = cut(text, s, e, limit, hard, level + 1)
-            out += parts
-            finest = max(finest, used)
-    return out, finest
+    whole, level = [(0, len(text), boundaries(text))], -1
+    while any(e - s > limit for s, e, _ in whole):
+        level += 1
+        finer = []
+        for s, e, inner in whole:
+            if e - s <= limit:
+                finer.append((s, e, []))
+            elif level == len(LEVELS):
+                finer += [(a, z, []) for a, z in _characters(text, s, e, hard or limit)]
+            else:
+                at, held = s, []
+                for b in inner:
+                    if b[2] == level:
+                        if b[0] > at:
+                            finer.append((at, b[0], held))
+                        at, held = b[1], []
+                    else:
+                        held.append(b)
+                if e > at:
+                    finer.append((at, e, held))
+        whole = finer
+        if level == len(LEVELS):
+            break
+    return [(s, e) for s, e, _ in whole], level
 
 
 def _tail(text: str, start: int, end: int, overlap: int) -> int:
@@ -62,14 +112,15 @@ def _tail(text: str, start: int, end: int, overlap: int) -> int:
 
 
 def pieces(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, int]], str]:
-    """(start, end, new) of each piece, where [start, new) repeats the end of the piece before, and the level of the cuts.
+    """(start, end, new) of each piece, where [start, new) repeats the end of the piece before, and the level of the cuts:
+    the coarsest of paragraph, sentence and word whose boundaries, with those before, leave pieces of at most ``limit``, or none.
 
     Pieces are plain substrings. The new parts of all pieces, with nothing left out between them, are the whole text: white
     space at a boundary goes to the piece before it if it fits and else begins the next.
     """
     if len(text) <= limit:
         return [(0, len(text), 0)] if text else [], ""
-    parts, level = cut(text, 0, len(text), limit, limit - overlap)
+    parts, finest = cut(text, limit, limit - overlap)
     out: list[tuple[int, int, int]] = []
     start = new = end = 0
     for s, e in [*parts, (len(text), len(text))]:
@@ -84,13 +135,7 @@ def pieces(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, in
                 start = new
         end = e
     out.append((start, end, new))
-    return out, level
-
-
-def cut_level(text: str, limit: int) -> str:
-    """The coarsest of paragraph, sentence and word whose boundaries, with those before, leave pieces of at most ``limit``; else none."""
-    _, finest = cut(text, 0, len(text), limit)
-    return CHARACTER if finest >= len(LEVELS) else "paragraph" if finest <= 1 else LEVELS[finest][0]
+    return out, CHARACTER if finest >= len(LEVELS) else LEVELS[max(finest, PARAGRAPH)]
 
 
 def split_items(items: DataFrame, limit: int = 3000, overlap: int = 200) -> DataFrame:
@@ -109,8 +154,8 @@ def split_items(items: DataFrame, limit: int = 3000, overlap: int = 200) -> Data
         for b in batches:
             rows = []
             for src, rec, no, text in zip(*(c.to_pylist() for c in b.columns)):
-                level = cut_level(text, limit)
-                for i, (s, e, new) in enumerate(pieces(text, limit, overlap)[0]):
+                cuts, level = pieces(text, limit, overlap)
+                for i, (s, e, new) in enumerate(cuts):
                     rows.append((src, rec, no, level, i, s, new - s, text[s:e]))
                 if len(rows) >= 2000:
                     yield _batch(rows)

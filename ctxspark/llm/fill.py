@@ -58,6 +58,40 @@ class Search:
         self.open = [b for b, f in enumerate(self.fill) if f < capacity]
         #: sorted (size, container, item) of what lies in underfull containers
         self.items = sorted((self.sizes[i], b, i) for b in self.open for i in bins[b] if self.sizes[i])
+        #: sorted (sum, container) of two items that lie in one underfull container, each sum once; a container of capacity c has no more than c of them
+        self.sums = {b: self._sums(b) for b in self.open}
+        self.pairs = sorted((s, b) for b in self.open for s in self.sums[b])
+
+    def _sums(self, b: int) -> dict[int, tuple[int, int]]:
+        """The sums of two items of container ``b``, with a pair for each."""
+        mine: dict[int, list[int]] = {}
+        for i in self.bins[b]:
+            if self.sizes[i]:
+                mine.setdefault(self.sizes[i], []).append(i)
+        sizes = sorted(mine)
+        out = {2 * s: (mine[s][0], mine[s][1]) for s in sizes if len(mine[s]) > 1}
+        for k, s in enumerate(sizes):
+            for t in sizes[k + 1 :]:
+                out.setdefault(s + t, (mine[s][0], mine[t][0]))
+        return out
+
+    def _renew(self, b: int, closed: bool = False) -> None:
+        """Brings the pairs of container ``b`` up to date."""
+        old, new = self.sums.get(b, {}), {} if closed else self._sums(b)
+        for s in old.keys() - new.keys():
+            del self.pairs[bisect_left(self.pairs, (s, b))]
+        for s in new.keys() - old.keys():
+            insort(self.pairs, (s, b))
+        self.sums[b] = new
+
+    def _largest_pair(self, top: int, least: int, target: int):
+        """The largest sum of two items of at most ``top`` and at least ``least`` in a container other than ``target``, as (sum, container)."""
+        at = bisect_right(self.pairs, (top, len(self.bins))) - 1
+        while at >= 0 and self.pairs[at][0] >= least:
+            if self.pairs[at][1] != target:
+                return self.pairs[at]
+            at -= 1
+        return None
 
     def _largest(self, top: int, least: int, target: int):
         """The largest item of at most ``top`` and at least ``least`` outside ``target``, so that the squared fills rise."""
@@ -82,6 +116,7 @@ class Search:
             at = bisect_left(self.items, (self.sizes[i], b, i))
             if at < len(self.items) and self.items[at] == (self.sizes[i], b, i):
                 del self.items[at]
+        self._renew(b, closed=True)
 
     def gain(self, b: int) -> bool:
         """The best step that makes container ``b`` fuller, if one raises the squared fills."""
@@ -107,15 +142,9 @@ class Search:
                     if x := self._largest(s + t + space, s + t + 1, b):
                         offer(x[0] - s - t, [x[2]], x[1], [i, j])
         if not best or best[0] < space:
-            for source in self.open[-8:]:  # two of an emptiest container's for one of ours
-                if source == b:
-                    continue
-                theirs = sorted((self.sizes[i], i) for i in self.bins[source] if self.sizes[i])
-                for k, (s, i) in enumerate(theirs):
-                    for t, j in theirs[k + 1 :]:
-                        at = bisect_left(mine, (s + t - space, -1))
-                        if at < len(mine):
-                            offer(s + t - mine[at][0], [i, j], source, [mine[at][1]])
+            for s, i in mine:  # two of another container's for one of ours
+                if x := self._largest_pair(s + space, s + 1, b):
+                    offer(x[0] - s, list(self.sums[x[1]][x[0]]), x[1], [i])
         if not best:
             return False
         _, come, source, go = best
@@ -123,8 +152,11 @@ class Search:
             self._place(i, b, source)
         for i in come:
             self._place(i, source, b)
+        self._renew(source)
         if self.fill[b] == self.capacity:
             self._close(b)
+        else:
+            self._renew(b)
         return True
 
     def run(self, passes: int) -> list[list[int]]:
@@ -177,6 +209,16 @@ def fill_containers(sizes: DataFrame, capacity: int = 2048, group_items: int = G
     pieces = once.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)")))).alias("piece_no"), "n").select(
         "doc_id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("first_token"), F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("piece_no").cast("bigint") * capacity).alias("n_tokens")
     )
-    groups = max(1, round(pieces.count() / group_items))
+    groups = max(1, round(pieces.count() / group_items))  # pieces of sizes that are written: no text is read again
     grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(groups)))
     return grouped.groupBy("grp").applyInArrow(_group(capacity, passes), "container bigint, place int, doc_id bigint, piece_no int, first_token bigint, n_tokens bigint")
+
+
+def fill_report(containers: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row: (n_containers, n_tokens, least_containers, fill_pct); no assignment takes fewer containers than ``least_containers``.
+
+    ``containers`` is the result of ``fill_containers``. An empty one has no containers and a null ``fill_pct``.
+    """
+    per = containers.groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    sums = per.agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
+    return sums.select("n_containers", "n_tokens", F.ceil(F.col("n_tokens") / capacity).alias("least_containers"), F.round(F.try_divide(F.col("n_tokens") * 100.0, F.col("n_containers") * F.lit(capacity)), 3).alias("fill_pct"))

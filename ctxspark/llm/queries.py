@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ctxspark.llm.bpe import count_tokens, encode_texts
 from ctxspark.llm.chunk import base_items, raw_items, split_items
-from ctxspark.llm.fill import fill_containers
+from ctxspark.llm.fill import fill_containers, fill_report
 from ctxspark.llm.leaks import leaked_items
 from ctxspark.llm.near import similar_groups, similar_links, similar_records
 from ctxspark.llm.pairs import defective_pairs
@@ -85,6 +85,11 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return fill_containers(count_tokens(_table(spark, d, "documents"), ["doc_id"]), 2048)
 
 
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are, and how many there must be at least."""
+    return fill_report(p6_containers(spark, d), 2048)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The maximal runs of places shared with another document in stretches of 100 characters or more."""
     return shared_spans(_table(spark, d, "documents"))
@@ -96,6 +101,6 @@ def p7_amounts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p2_links, p3_found, p4_found, p4_items, p5_ids, p6_containers, p7_found, p7_amounts)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p2_links, p3_found, p4_found, p4_items, p5_ids, p6_containers, p6_fill, p7_found, p7_amounts)
 }
 ORACLES: dict[str, str] = {}

@@ -60,6 +60,27 @@ def test_split_items(spark):
         chunk.split_items(items, 80, 80)
 
 
+def test_long_runs_of_white_space():
+    import time
+
+    t = time.time()
+    for blank in ("\n" * 1_000_000, " \n" * 500_000, ". " * 500_000, "。" * 300_000):
+        got, level = chunk.pieces("a" + blank + "b", 3000, 200)
+        assert all(e - s <= 3000 for s, e, _ in got)
+    assert time.time() - t < 20
+
+
+def test_signs_stay_together():
+    family = "\U0001F468\u200d\U0001F469\u200d\U0001F467"
+    text = "".join(random.Random(2).choice(["e\u0301\u0323", family, "x"]) for _ in range(300))
+    got, level = chunk.pieces(text, 40, 10)
+    assert level == "none" and "".join(text[new:e] for _, e, new in got) == text
+    import regex
+
+    edges = {m.end() for m in regex.finditer(r"\X", text)}
+    assert all(e in edges and e - s <= 40 for s, e, _ in got)
+
+
 def test_items_of_tables(spark):
     raw = spark.createDataFrame([(1, [("u", "x" * 9), (None, None), ("u", "y")], "t"), (2, None, None), (3, [], ""), (None, [("u", "z" * 9)], "")], "row_id bigint, prompt array<struct<role:string,content:string>>, target string")
     assert [(r.rec_id, r.item_no, len(r.text)) for r in chunk.split_items(chunk.raw_items(raw, 5).withColumn("text", F.col("text")), 5, 1).groupBy("rec_id", "item_no").agg(F.max("piece").alias("text")).collect()] == [(1, 0, 5)]
@@ -347,6 +368,18 @@ def test_fill_containers(spark):
     assert all(sorted(k for k, _ in b) == list(range(len(b))) and sum(n for _, n in b) <= 100 for b in bins.values())
     assert len(bins) <= 1.03 * sum(sizes.values()) / 100 + 6
     assert fill.fill_containers(df.limit(0), 100).count() == 0
+    report = fill.fill_report(fill.fill_containers(df, 100, group_items=300), 100).collect()[0]
+    assert (report.n_containers, report.n_tokens, report.least_containers) == (len(bins), sum(sizes.values()), -(-sum(sizes.values()) // 100))
+    assert fill.fill_report(fill.fill_containers(df.limit(0), 100), 100).collect()[0].n_containers == 0
+
+
+def test_search_empties_containers():
+    """Sizes of which best fit makes eleven containers and nine suffice, some times over."""
+    for times in (1, 5, 40):
+        sizes = np.repeat([51, 27, 26, 23], [6 * times, 6 * times, 6 * times, 12 * times])
+        before, after = fill.best_fit(sizes, 100), fill.fill(sizes, 100)
+        assert len(before) == 11 * times and len(after) <= 9.5 * times + 1, (len(before), len(after))
+        assert sorted(i for b in after for i in b) == list(range(len(sizes))) and all(sizes[b].sum() <= 100 for b in after)
 
 
 def test_search_improves_best_fit():
