@@ -1,9 +1,11 @@
 """Broken prompt and response pairs.
 
-Method: prompt and response are aligned by their words. Shingle containment finds responses made of the question's words, and
-the longest common subsequence how much of the question comes back in order; sentences are aligned in the same way with
-templates of refusals. Whether a response breaks off is read from its open brackets, fences, lists and last sentence, and
-its language from function words and scripts. The first that holds of empty, refusal, copy, language and truncated is the defect.
+Method: prompt and response are aligned by their words. Shingle containment finds responses made of the prompt's words, and the longest common
+subsequence how much of the question comes back in order. Sentences are aligned with templates of refusals (``refusal``), languages compared by
+profiles of characters (``language``). A response breaks off if brackets, fences, JSON values or lists are open, if its last sentence has no end
+after others that have, or if its last word cannot be the end of an answer: by a lexicon of all responses, it is only the beginning of other
+words, or a word that sentences hardly ever end with. The first that holds of empty, refusal, truncated inside a structure, copy, language and truncated
+is the defect.
 """
 
 from __future__ import annotations
@@ -16,111 +18,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxspark.plans.stage import spread
+from ctxspark.llm import language as L
+from ctxspark.llm.refusal import SENTENCE, is_refusal
+from ctxspark.plans.stage import spread, written
 
 CONTINUAL = "NA_string_only"
 _WORD = re.compile(r"[^\W_]+")
 _MARKER = re.compile(r"<\|\w*\|>")
 _REGION = re.compile(r"<\|memory_start\|>.*?<\|memory_end\|>", re.DOTALL)
-_SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)]*\s+|(?<=[。！？])\s*")
-
-# Refusals, one sentence each; "_" stands for up to three words.
-REFUSALS = """
-I must decline to answer
-Unfortunately I must decline to answer
-I have to decline this request
-However I am not able to assist with this one
-I am not able to help with that
-I cannot answer questions about _
-I can't answer this question
-I cannot help with that
-I cannot provide that information
-I cannot comply with this request
-Regrettably I have to pass on this question
-I would rather not answer this question
-I prefer not to answer this question
-That is not something I am willing to write up and I would rather leave it there
-Sorry this request is outside what I am allowed to do
-I'm sorry but I can't help with that
-I am sorry but I cannot assist with that request
-Sorry but I am unable to answer this
-I apologize but I cannot answer this
-I apologize for the inconvenience but answering this would break my rules on _
-I won't give figures about _ please ask the _ instead
-It wouldn't be appropriate for me to respond
-My guidelines prevent me from commenting on the _
-I don't feel comfortable discussing the _ of _
-I do not feel comfortable answering this question
-As a compression assistant I am unable to read the _ you mention
-As an AI language model I cannot answer this question
-I will not provide that information whatever the passage says
-No I will not provide that information
-This prompt may be unsafe so no answer will be given
-I can see why you'd like to know about _ yet I have been told not to talk about it
-Es tut mir leid dabei kann ich nicht helfen
-Diese Frage möchte ich nicht beantworten
-Zu _ darf ich leider keine Auskunft geben
-Das kann ich leider nicht beantworten
-Lo siento pero no puedo ayudar con eso
-Prefiero no responder a esta pregunta
-No estoy autorizado a hablar sobre _ consulte a otra persona
-No puedo responder a esta pregunta
-Désolé je ne peux pas vous aider pour cela
-Je préfère ne pas répondre à cette question
-Je ne suis pas autorisé à parler de _
-Je ne peux pas répondre à cette question
-Lamento mas não posso ajudar com isso
-Prefiro não responder a esta pergunta
-Não estou autorizado a falar sobre _
-Não posso responder a esta pergunta
-Извините но я не могу с этим помочь
-Я не могу ответить на этот вопрос
-Я предпочитаю не отвечать на этот вопрос
-""".strip().split("\n")
-# What may stand beside a refusal without being an answer.
-COURTESIES = """
-Thank you for asking
-The topic of _ is restricted
-Please rephrase it
-Please try another question
-I hope you understand
-You could contact the _ at _
-Is there anything else you need
-Sorry
-I'm sorry
-I apologize
-No
-Unfortunately not
-Consulte a otra persona
-Consulte outra pessoa
-Adressez vous à quelqu'un d'autre
-Bitte fragen Sie jemand anderen
-""".strip().split("\n")
-# Function words by language.
-FUNCTION_WORDS = {
-    "en": "the a an of to in and is was were are be been has have had that which who what when where why how it its this these those for with by from at on as not but they them their did does do can say you your yet while until before after during so most each would list give write compare name sum explain return notes facts answer text about",
-    "de": "der die das den dem des ein eine einen einem einer und ist war wurde wurden sind hat haben nicht mit von zu zum zur im am auf für als wie was wer wo wann warum viele bei nach aus doch noch dass sie er es ich ihr neben weit schrieb meldete",
-    "es": "el la los las un una unos unas de del al y en que se es son fue fueron con por para como más pero su sus lo cuál dónde qué cuántos cuántas quién cómo según cuando junto cerca sin quedó después",
-    "fr": "le la les un une des du de et en que qui est sont était a ont dans pour par avec sur au aux ne pas mais où quel quelle combien ce cette il elle ils elles près quand selon après sans non loin reste se sa son",
-    "pt": "o a os as um uma uns umas de do da dos das no na nos nas em e que se é são foi foram com por para como mais mas ao à não qual onde quantos quantas quem segundo quando perto junto sem ficou ficaram depois há",
-    "it": "il lo la i gli le un una di del della dei che e è sono era nel nella con per come più ma non quale dove quanti chi secondo quando vicino senza dopo",
-}
-# Names of languages, in several of them.
-LANGUAGE_NAMES = {
-    "en": "english inglés inglês anglais englisch английском inglese 英语 英文",
-    "de": "german alemán alemão allemand deutsch немецком tedesco 德语 德文",
-    "es": "spanish español espanhol espagnol spanisch испанском castellano spagnolo 西班牙语",
-    "fr": "french francés francês français französisch французском francese 法语 法文",
-    "pt": "portuguese portugués português portugais portugiesisch португальском portoghese 葡萄牙语",
-    "it": "italian italiano italien italienisch итальянском 意大利语",
-    "ru": "russian ruso russo russe russisch русском по-русски 俄语",
-    "zh": "chinese chino chinês chinois chinesisch китайском cinese 中文 汉语",
-    "ja": "japanese japonés japonês japonais japanisch японском giapponese 日语",
-}
-_FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_NAMES = {k: re.compile("|".join(rf"(?<!\w){n}(?!\w)" if n.isascii() or n[0].isalpha() and ord(n[0]) < 0x3000 else n for n in v.split())) for k, v in LANGUAGE_NAMES.items()}
-# Scripts that tell a language by themselves.
-_SCRIPTS = [("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[一-鿿]")), ("ko", re.compile("[가-힯]")), ("ru", re.compile("[Ѐ-ӿ]")), ("ar", re.compile("[؀-ۿ]")), ("hi", re.compile("[ऀ-ॿ]")), ("el", re.compile("[Ͱ-Ͽ]"))]
+_FENCED = re.compile(r"```.*?(?:```|$)", re.DOTALL)
+#: Shares of words from which a response is the question again, and for a lexicon how often a word must be seen and how rarely it ends sentences.
+COPIED, OWN_ORDER, SEEN, RARELY = 0.6, 0.85, 30, 0.01
+# What introduces a question that is given back, and answers to yes-or-no questions.
+_INTRODUCES = frozenset("question frage pregunta pergunta domanda vraag fråga asked you vous sie usted você".split())
+_YES_NO = frozenset("yes no sí si não sim oui non ja nein ne nee tak nie nej да нет".split())
+# Words that want another after them: articles, determiners, prepositions, conjunctions, auxiliaries.
+WANTS_MORE = frozenset("""
+the a an of and or to with from into than because although while whose my your our their its every if unless until between towards onto via per whether
+der die das dem den des ein eine einen einem einer und oder mit von vom zu zum zur im für bei nach dass weil wenn als
+el la los las un una unos unas de del al y o en con por para que porque cuando entre desde su sus
+le les une des du et ou dans pour par avec sur au aux que qui parce quand entre sans chez leur
+os um uma uns umas do da dos das e em no na nos nas com por para que porque quando entre
+il lo gli uno di della dei ed nel nella con per che perché quando tra
+het een van en of met voor op bij naar dat omdat als och att med från till av som eller och w z na do i że dla от и в на с по для что из к
+""".split())
 
 
 def words(text: str) -> list[str]:
@@ -129,14 +50,12 @@ def words(text: str) -> list[str]:
 
 def common(a: list[str], b: list[str]) -> int:
     """The length of the longest common subsequence."""
-    at = {}
+    at: dict[str, int] = {}
     for j, w in enumerate(b):
-        at.setdefault(w, []).append(1 << j)
-    masks = {w: sum(x) for w, x in at.items()}
+        at[w] = at.get(w, 0) | 1 << j
     row = full = (1 << len(b)) - 1
     for w in a:
-        m = masks.get(w, 0)
-        u = row & m
+        u = row & at.get(w, 0)
         row = ((row + u) | (row - u)) & full
     return len(b) - row.bit_count()
 
@@ -147,100 +66,51 @@ def contained(a: list[str], b: list[str], k: int = 2) -> float:
     return len(x & y) / len(x) if x else 0.0
 
 
-def _templates(lines: list[str]) -> list[tuple[list[str], int]]:
-    return [([w for w in words(s.replace("_", " "))], s.count("_")) for s in lines]
-
-
-_REFUSAL, _COURTESY = _templates(REFUSALS), _templates(COURTESIES)
-
-
-def _fits(sentence: list[str], templates: list[tuple[list[str], int]], share: float = 0.8) -> bool:
-    """Whether a sentence is a template but for its gaps and few other words."""
-    n = len(sentence)
-    for t, gaps in templates:
-        if n <= len(t) / share + 3 * gaps and n >= share * len(t):
-            same = common(sentence, t)
-            if same >= share * len(t) and n - same <= 3 * gaps + max(1, len(t) // 5):
-                return True
-    return False
-
-
-def is_refusal(target: str) -> bool:
-    """Refuses and, but for courtesies, says nothing else."""
-    if len(target) > 600:
-        return False
-    refused = False
-    for s in _SENTENCE.split(target.strip()):
-        w = words(s)
-        if not w or _fits(w, _COURTESY):
-            continue
-        if not _fits(w, _REFUSAL):
-            return False
-        refused = True
-    return refused
-
-
 def question_of(last: str) -> str:
     """The question in a message: its text outside memory regions, or the last paragraph of that."""
     outside = _REGION.sub("\n\n", last) if "<|memory_start|>" in last else last
-    parts = [p for p in (x.strip() for x in re.split(r"\n[ \t\r]*\n", outside)) if _WORD.search(p)]
+    parts = [p for p in (x.strip() for x in re.split(r"\n[ \t\r\n]*\n", outside)) if _WORD.search(p)]
     return parts[-1] if parts else outside
 
 
 def is_copy(last: str, target: str) -> bool:
-    """Nothing but the last message's words, and most of the question in order."""
-    t = words(_MARKER.sub(" ", target))
-    q = words(question_of(last))
-    if len(t) < 3 or len(q) < 3:
+    """Nothing but the last message's words, in its order, and most of the question."""
+    t, q = words(_MARKER.sub(" ", target)), words(question_of(last))
+    if not t or not q:
         return False
-    whole = words(_MARKER.sub(" ", last))
-    known = set(whole)
+    if t == q:
+        return True
+    if t[-1] in WANTS_MORE and t[-1] != q[-1]:
+        return False  # it goes on to say something
+    known = set(whole := words(_MARKER.sub(" ", last)))
     new = [w for w in t if w not in known]
-    if len(new) > (0 if len(t) < 8 else 1 if len(t) < 16 else len(t) // 10):
-        return False
-    if new and new[0] in {"yes", "no", "sí", "si", "não", "sim", "oui", "non", "ja", "nein", "да", "нет"}:
+    # what is new may introduce the question, be misspelt or a small word, but not say something
+    if any(w in _YES_NO for w in new[:1]) or sum(w not in _INTRODUCES for w in new) * 10 > len(t):
         return False
     body = q
-    for cut in _SENTENCE.split(question_of(last)):  # the question may come back without the words that lead to it
+    for cut in SENTENCE.split(question_of(last)):  # the question may come back without the words that lead to it
         w = words(cut)
-        if len(w) >= 3:
-            body = w if "?" in cut or len(w) >= len(q) / 2 else body
-    most = max(common(t, q) / len(q), common(t, body) / len(body), common(t, whole) / len(whole) if len(t) >= len(q) else 0)
-    return most >= 0.6 and (contained(t, whole) >= 0.6 or common(t, whole) >= 0.85 * len(t))
-
-
-def language(text: str, least: int = 2) -> str | None:
-    """The language of a text, or None if it doesn't say."""
-    letters = sum(map(str.isalpha, text))
-    for name, script in _SCRIPTS:
-        n = len(script.findall(text))
-        if n >= 4 and n * 5 >= letters:
-            return name
-    w = words(text)
-    scores = sorted(((sum(x in f for x in w), name) for name, f in _FUNCTION.items()), reverse=True)
-    return scores[0][1] if scores[0][0] >= least and scores[0][0] > scores[1][0] else None
-
-
-def asked_languages(text: str) -> set[str]:
-    low = text.lower()
-    return {k for k, p in _NAMES.items() if p.search(low)}
+        if w and ("?" in cut or len(w) * 2 >= len(q)):
+            body = w
+    most = max(common(t, q) / len(q), common(t, body) / len(body))
+    if len(t) >= len(q):
+        most = max(most, common(t, whole) / len(whole))
+    return most >= COPIED and (contained(t, whole) >= COPIED or common(t, whole) >= OWN_ORDER * len(t))
 
 
 def is_foreign(last: str, system: str, target: str) -> bool:
-    """In another language than the question, unasked. Code, JSON and answers of a few words are in none."""
-    if target.lstrip()[:1] in "{[`" or "```" in target:
-        return False
-    own = language(target, 3)
-    if own is None:
+    """In another language than the question, unasked. Code and JSON are in none."""
+    said = _FENCED.sub(" ", _MARKER.sub(" ", target))
+    if said.lstrip()[:1] in ("{", "["):
         return False
     question = question_of(last)
-    theirs = language(question, 1) or language(_MARKER.sub(" ", last), 3)
-    return theirs is not None and own != theirs and own not in asked_languages(_REGION.sub(" ", last) + " " + system)
+    return L.differ(said, question) is not None and L.differ(said, question, L.asked(_REGION.sub(" ", last) + " " + system)) is not None
 
 
 _BULLET = re.compile(r"^[ \t]*([-*•]|\d+[.)])([ \t]+|$)")
 _NUMBER = re.compile(r"(?<![\w,.])(\d{1,2})(?![\w,.])")
 _ENDS = set(".!?。！？\"”’')]}»`")
+_STOPS = ".!?。！？"
 
 
 def _balanced(text: str) -> bool:
@@ -273,27 +143,34 @@ def _items_cut(lines: list[str], question: str) -> bool:
     asked = _NUMBER.findall(question)
     if asked and len(items) < int(asked[0]):
         return True
-    if len(items) < 2:
-        return False
     full = [x for x in items[:-1] if x]
-    if full and all(x[-1] in ".!?。！？" for x in full) and items[-1][-1] not in ".!?。！？":
+    if full and all(x[-1] in _STOPS for x in full) and items[-1][-1] not in _STOPS:
         return True
-    return bool(full) and len(words(items[-1])) < min(len(words(x)) for x in full) - 1
+    if items[-1][-1] in _STOPS:
+        return False
+    n, others = len(items[-1].split()), [len(x.split()) for x in full]
+    return len(others) > 1 and n < min(others) == max(others) or bool(others) and n < min(others) - 1
+
+
+def word_cut(last: str, text: str) -> bool | str:
+    """Whether a text breaks off inside its last word, as far as the prompt tells; else the word, for the lexicon to tell."""
+    w = words(text)
+    if len(w) < 2 or not text[-len(w[-1]) :].islower():
+        return False  # one word, a name or a number is an answer
+    theirs = set(words(last))
+    if w[-1] in theirs:
+        return False if w[-1] not in L.ANY_COMMON else w[-1]
+    return True if any(x.startswith(w[-1]) for x in theirs) else w[-1]
 
 
-def is_truncated(last: str, target: str) -> bool:
-    """Breaks off inside a code block, JSON value, list, sentence or word."""
+def structure_cut(last: str, target: str) -> bool | str | None:
+    """Whether a code block, JSON value or list breaks off, or the last word of a list if the lexicon has to tell; None if the text is none of them."""
     text = _MARKER.sub("", target).strip()
-    while text and not (text[-1].isalnum() or text[-1] in _ENDS or text[-1] in "-–—,;:([{*•…"):
-        text = text[:-1].rstrip()  # emoji and the like after the end
-    if not text:
-        return False
     if text.count("```") % 2:
         return True
     if text.endswith("```"):
-        body = text.rsplit("```", 2)[-2]
-        return not _balanced(body) if body.strip() else False
-    if text[0] in "{[":
+        return not _balanced(text.rsplit("```", 2)[-2])
+    if text[:1] in ("{", "["):
         try:
             json.loads(text)
             return False
@@ -301,41 +178,67 @@ def is_truncated(last: str, target: str) -> bool:
             return not _balanced(text)
     lines = [x for x in text.split("\n") if x.strip()]
     bullets = [x for x in lines if _BULLET.match(x)]
-    if len(bullets) >= 2 and _BULLET.match(lines[-1]) or len(lines) > 1 and _BULLET.match(lines[-1]) or len(lines) == 1 and bullets and len(words(text)) > 1 and _NUMBER.search(question_of(last)) is not None:
-        return _items_cut(bullets, question_of(last))
-    if text[-1] in "…,;:-–—([{" or text.endswith("..."):
-        return True
-    if text[-1] in _ENDS:
-        if text[-1] in ")]\"”":
-            return False
+    question = question_of(last)
+    if bullets and _BULLET.match(lines[-1]) and (len(lines) > 1 or len(words(text)) > 1 and _NUMBER.search(question) is not None):
+        return _items_cut(bullets, question) or (word_cut(last, text) if text[-1].isalpha() else False)
+    return None
+
+
+def sentence_cut(last: str, target: str, fragment_words: int) -> bool | str:
+    """Whether the last sentence breaks off, or the last word if the lexicon has to tell."""
+    text = _MARKER.sub("", target).strip()
+    while text and not (text[-1].isalnum() or text[-1] in _ENDS or text[-1] in "-–—,;:([{*•…"):
+        text = text[:-1].rstrip()  # emoji and the like after the end
+    if not text or text[-1] in _ENDS and not text.endswith("..."):
         return False
-    # no sentence end: a fragment is a complete short answer, but not after other sentences
-    return len([s for s in _SENTENCE.split(text) if words(s)]) > 1 or len(words(text)) > 16
+    if text[-1] in "…,;:-–—([{*•" or text.endswith("..."):
+        return True
+    w = words(text)
+    # no end of a sentence: a fragment is a complete answer, but not after sentences, nor if it wants another word
+    if len([s for s in SENTENCE.split(text) if words(s)]) > 1 or len(w) > fragment_words or len(w) > 1 and w[-1] in WANTS_MORE and text[-len(w[-1]) :].islower():
+        return True
+    return word_cut(last, text)
 
 
-def defect_of(last: str | None, system: str | None, target: str | None) -> str | None:
-    """The defect of one pair, or None."""
+def defect_of(last: str | None, system: str | None, target: str | None, fragment_words: int = 16) -> tuple[str | None, str | None]:
+    """The defect of one pair or None, and the last word if its being truncated depends on the lexicon."""
     last, system = last or "", system or ""
-    if target is None or not _WORD.search(_MARKER.sub(" ", target)):
-        return "empty"
-    if is_refusal(_MARKER.sub(" ", target)):
-        return "refusal"
+    plain = _MARKER.sub(" ", target or "")
+    if not _WORD.search(plain):
+        return "empty", None
+    if is_refusal(plain):
+        return "refusal", None
+    cut = structure_cut(last, target)
+    if cut is True:
+        return "truncated", None
     if is_copy(last, target):
-        return "copy"
+        return "copy", None
     if is_foreign(last, system, target):
-        return "language"
-    if is_truncated(last, target):
-        return "truncated"
-    return None
+        return "language", None
+    if cut is None:
+        cut = sentence_cut(last, target, fragment_words)
+    if isinstance(cut, str):
+        return None, cut
+    return ("truncated", None) if cut else (None, None)
+
 
+def lexicon(targets: DataFrame) -> DataFrame:
+    """(word, n, n_last) of the words of ``targets`` (target) but for each one's last: how often they stand in them, and how often at a sentence's end."""
+    low = targets.where("target is not null").select(F.lower("target").alias("t"))
+    each = F.expr(r"regexp_extract_all(t, '[\\p{L}\\p{N}]+(?=[^\\p{L}\\p{N}]+[\\p{L}\\p{N}]|[^\\p{L}\\p{N}]*[.!?。！？])', 0)")
+    ends = F.expr(r"regexp_extract_all(t, '([\\p{L}\\p{N}]+)[^\\p{L}\\p{N}.!?。！？]*[.!?。！？]', 1)")
+    every = low.select(F.explode(each).alias("word"), F.lit(0).alias("last")).unionByName(low.select(F.explode(ends).alias("word"), F.lit(1).alias("last")))
+    return every.groupBy("word").agg(F.sum(1 - F.col("last")).alias("n"), F.sum("last").alias("n_last"))
 
-def defective_pairs(rows: DataFrame) -> DataFrame:
+
+def defective_pairs(rows: DataFrame, fragment_words: int = 16) -> DataFrame:
     """(row_id, defect): the defective ones among chat rows.
 
     ``rows`` has (row_id, prompt, target); other columns are ignored. Chat rows have at least one message and another target
     than the sign of continual rows; a null target is an empty one. The last message with its null content read as empty is what
     the target answers; system messages may ask for a language. Null ids, null and empty prompts have no rows; a row
-    given twice counts once.
+    given twice counts once. A response without an end of a sentence and of more than ``fragment_words`` words is a sentence and broken off; a shorter one is
+    judged by its last word.
     """
     chat = rows.where(F.col("row_id").isNotNull() & (F.size("prompt") > 0) & (F.col("target").isNull() | (F.col("target") != CONTINUAL)))
     system = F.array_join(F.transform(F.filter("prompt", lambda m: m["role"] == "system"), lambda m: m["content"]), "\n")
@@ -343,8 +246,20 @@ def defective_pairs(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = b.column(0).to_pylist(), [defect_of(*x) for x in zip(*(c.to_pylist() for c in b.columns[1:]))]
-            keep = [i for i, d in enumerate(found) if d]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([found[i] for i in keep], pa.string())], names=["row_id", "defect"])
-
-    return spread(pairs).mapInArrow(run, "row_id bigint, defect string").distinct()
+            ids, found = b.column(0).to_pylist(), [defect_of(*x, fragment_words) for x in zip(*(c.to_pylist() for c in b.columns[1:]))]
+            keep = [i for i, d in enumerate(found) if d != (None, None)]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), *(pa.array([found[i][k] for i in keep], pa.string()) for k in (0, 1))], names=["row_id", "defect", "word"])
+
+    found = written(spread(pairs).mapInArrow(run, "row_id bigint, defect string, word string").distinct(), "pairs")
+    # what the lexicon says of the words in question: not more of them travel than there are
+    asked = found.where("defect is null").select("word").distinct()
+    known = written(lexicon(chat.select("target")), "pairs-lexicon")
+    counts = known.join(asked, "word")
+    beginnings = F.explode(F.expr("transform(sequence(2, length(word) - 1), i -> substring(word, 1, i))"))
+    longer = known.where("length(word) > 2").select(beginnings.alias("word"))
+    begins = longer.join(asked, "word", "left_semi").distinct().withColumn("begins", F.lit(True))
+    judged = found.where("defect is null").join(counts, "word", "left").join(begins, "word", "left")
+    # common words only: others may be rare at ends by what the texts are about
+    never_last = F.col("word").isin(sorted(L.ANY_COMMON)) & (F.col("n") >= SEEN) & (F.col("n_last") < F.col("n") * RARELY)
+    cut = judged.where(F.when(F.col("n").isNull(), F.col("begins").isNotNull()).otherwise(never_last))
+    return found.where("defect is not null").select("row_id", "defect").unionByName(cut.select("row_id", F.lit("truncated").alias("defect")))

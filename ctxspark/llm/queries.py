@@ -103,4 +103,32 @@ def p7_amounts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p2_links, p3_found, p4_found, p4_items, p5_ids, p6_containers, p6_fill, p7_found, p7_amounts)
 }
-ORACLES: dict[str, str] = {}
+
+# The counterparts for DuckDB.
+RAW_ITEMS = "SELECT 'raw_rows' AS src, row_id AS rec_id, i - 1 AS item_no, prompt[i].content AS text FROM (SELECT row_id, prompt, unnest(range(1, len(prompt) + 1)) AS i FROM raw_rows)"
+BASE_ITEMS = "SELECT 'base_examples' AS src, example_id AS rec_id, i - 1 AS item_no, memory_strings[i] AS text FROM (SELECT example_id, memory_strings, unnest(range(1, len(memory_strings) + 1)) AS i FROM base_examples)"
+PARAGRAPHS, SENTENCES, SPACES = r"'\n[ \t\r\n]*\n'", r"'[ \t\r\n]+'", r"'[ \t\r\n]+'"
+#: Longest part once a text is cut: at paragraphs, then behind full stops (marked first, as there is no look-behind), then at white space.
+STOPPED = r"regexp_replace(regexp_replace(x, '([.!?])[ \t\r\n]+', '\1' || chr(57344), 'g'), '([。！？])[ \t\r\n]*', '\1' || chr(57344), 'g')"
+P1 = f"""WITH t AS (SELECT DISTINCT * FROM ({RAW_ITEMS} UNION ALL {BASE_ITEMS}) WHERE length(text) > {LIMIT} AND rec_id IS NOT NULL),
+p AS (SELECT src, rec_id, item_no, unnest(regexp_split_to_array(text, {PARAGRAPHS})) AS x FROM t),
+s AS (SELECT src, rec_id, item_no, max(length(x)) OVER (PARTITION BY src, rec_id, item_no) AS para, unnest(string_split({STOPPED}, chr(57344))) AS y FROM p),
+w AS (SELECT src, rec_id, item_no, para, max(length(y)) OVER (PARTITION BY src, rec_id, item_no) AS sent, list_max(list_transform(regexp_split_to_array(y, {SPACES}), lambda z: length(z))) AS word FROM s)
+SELECT src, rec_id, item_no, CASE WHEN max(para) <= {LIMIT} THEN 'paragraph' WHEN max(sent) <= {LIMIT} THEN 'sentence' WHEN max(word) <= {LIMIT} THEN 'word' ELSE 'none' END AS cut_at FROM w GROUP BY ALL"""
+RECORDS = r"""rec AS (SELECT DISTINCT src, rec_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (
+SELECT 'raw_rows' AS src, row_id AS rec_id, array_to_string(list_filter(list_transform(prompt, lambda m: m.content), lambda c: c IS NOT NULL), chr(10)) AS text FROM raw_rows
+UNION ALL SELECT 'base_examples', example_id, array_to_string(list_filter(memory_strings, lambda c: c IS NOT NULL), chr(10)) FROM base_examples) WHERE rec_id IS NOT NULL AND text IS NOT NULL)"""
+P2 = f"""WITH {RECORDS}, g AS (SELECT DISTINCT src, rec_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM rec WHERE len(w) >= 20),
+n AS (SELECT src, rec_id, count(*) AS n FROM g GROUP BY ALL), c AS (SELECT a.src, a.rec_id AS id_a, b.rec_id AS id_b, count(*) AS k FROM g a JOIN g b ON a.src = b.src AND a.g = b.g AND a.rec_id < b.rec_id GROUP BY ALL)
+SELECT c.src, id_a, id_b FROM c JOIN n x ON x.src = c.src AND x.rec_id = id_a JOIN n y ON y.src = c.src AND y.rec_id = id_b WHERE k * 5 >= (x.n + y.n - k) * 3"""
+P4 = rf"""WITH {RECORDS}, g AS (SELECT src, rec_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM rec),
+q AS (SELECT item_id, regexp_extract_all(lower(unnest(regexp_extract_all(prompt, '(?s)<\|memory_start\|>(.*?)<\|memory_end\|>', 1))), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark_rows),
+r AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM q) SELECT DISTINCT src, rec_id, item_id FROM g JOIN r USING (g)"""
+P7_RUNS = """d AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE length(text) >= 100 GROUP BY doc_id),
+s AS (SELECT doc_id, unnest(range(0, length(text) - 99)) AS a, text FROM d), h AS (SELECT doc_id, a, md5_number(substring(text, a + 1, 100)) AS g FROM s),
+m AS (SELECT g FROM h GROUP BY g HAVING min(doc_id) <> max(doc_id)), f AS (SELECT doc_id, a, CASE WHEN a > lag(a) OVER (PARTITION BY doc_id ORDER BY a) + 100 THEN 1 ELSE 0 END AS new FROM h JOIN m USING (g)),
+r AS (SELECT doc_id, a, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS run FROM f), runs AS (SELECT doc_id, min(a) AS first_pos, max(a) + 100 AS end_pos FROM r GROUP BY doc_id, run)"""
+P7 = f"WITH {P7_RUNS} SELECT doc_id, first_pos, end_pos FROM runs"
+P7_AMOUNTS = f"""WITH {P7_RUNS}, k AS (SELECT doc_id, sum(end_pos - first_pos)::BIGINT AS n_shared, count(*) AS n_spans FROM runs GROUP BY doc_id),
+e AS (SELECT doc_id, max(coalesce(length(text), 0)) AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id) SELECT doc_id, n_chars, coalesce(n_shared, 0)::BIGINT AS n_shared, coalesce(n_spans, 0)::BIGINT AS n_spans FROM e LEFT JOIN k USING (doc_id)"""
+ORACLES: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p7_found": P7, "p7_amounts": P7_AMOUNTS}

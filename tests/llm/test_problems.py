@@ -233,6 +233,40 @@ def test_defective_pairs(spark):
     assert pairs.defective_pairs(df.limit(0)).count() == 0
 
 
+#: Phrases that stand in none of the operators' lists.
+REFUSED = """I refuse.|I can't discuss that topic.|I'm not comfortable sharing that information.|I am afraid I won't be able to answer this.|We are not able to provide this information at this time.
+That falls outside what I'm permitted to talk about.|I'd rather not say anything about Ann.|Sorry, but I can't do that.|As an AI, I cannot give opinions on this matter. Please consult an expert.|My policy prevents me from answering.
+Dabei kann ich Ihnen leider nicht weiterhelfen.|Lo siento, no puedo responder a eso.|Me temo que no puedo darte esa información.|Mi dispiace, ma non posso aiutarti con questo.|Non sono autorizzato a rispondere.
+Je suis désolé, mais je ne peux pas répondre à cela.|Het spijt me, daar kan ik niet op antwoorden.|Przykro mi, nie mogę na to odpowiedzieć.|Tyvärr kan jag inte svara på det.|Não posso dizer nada sobre isso.|申し訳ありませんが、お答えできません。"""
+ANSWERED = """I can't say it better than the text: Ann holds 33 boxes.|The clerk refused to answer and left.|No, it was not given to Bob.|Ann did not help Bob with the crates.|I counted them twice and could not find more than 33.
+The answer is not given in the passage, but Ann holds 33 of them.|Nicht weit von Ann, neben der Brücke.|No se sabe cuándo llegó el barco.|We measured the queue and it held 44 rows, which we did not report.|He said "I can't tell you" and closed the gate."""
+FOREIGN = """De kisten stonden naast de oude brug van Rome.|Skrzynie stały obok starego mostu, nie w mieście.|Lådorna stod bredvid den gamla bron i Rom.|Le casse erano vicino al vecchio ponte di Roma.|Kasserne stod ved siden af den gamle bro i Rom.
+A ládák a régi híd mellett voltak, és nem a városban.|Laatikot olivat vanhan sillan vieressä, ja ne on jo siirretty.|Kutular eski köprünün yanındaydı ve çok ağırdı.|Kotak-kotak itu berada di dekat jembatan tua dan tidak di kota.|Cutiile erau lângă podul vechi și nu în oraș.|箱は古い橋のそばにありました。|상자는 오래된 다리 옆에 있었다."""
+
+
+def test_held_out_refusals_and_languages():
+    split = lambda t: [x for line in t.split("\n") for x in line.split("|")]
+    question = "Where did they store the things of Ann?"
+    of = lambda t: pairs.defect_of(question, "", t)[0]
+    assert {t: of(t) for t in split(REFUSED)} == {t: "refusal" for t in split(REFUSED)}
+    assert {t: of(t) for t in split(ANSWERED) if of(t) not in (None, "language")} == {}
+    assert {t: of(t) for t in split(FOREIGN)} == {t: "language" for t in split(FOREIGN)}
+    for t in split(FOREIGN)[:6]:  # a question in the same language
+        assert pairs.defect_of(t[:-1] + "?", "", t[::-1][:0] + t + " " + t)[0] != "language"
+    assert of("latents, batches, buffer, tokens, markers and spans") is None
+    assert of(("I am sorry, I really cannot help with any of that. " * 20).strip()) == "refusal"
+
+
+def test_lexicon_judges_last_words(spark):
+    schema = "row_id bigint, prompt array<struct<role:string,content:string>>, target string"
+    q = "What is known of the place?"
+    rows = [(i, [("user", q)], "It lies by the river, and the river is wide. They had to wait for the boats.") for i in range(40)]
+    rows += [(100, [("user", q)], "It is a large city on the riv"), (101, [("user", q)], "a city by the river"), (102, [("user", q)], "a city by the sea"), (103, [("user", q)], "a city that they had")]
+    rows += [(104, [("user", "What is the capital of the northern province?")], "The capital of the northern province is the city of"), (105, [("user", "Name 3 findings.")], "- wide river\n- many boats\n- long wai")]
+    got = {r.row_id: r.defect for r in pairs.defective_pairs(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {100: "truncated", 103: "truncated", 104: "truncated", 105: "truncated"}
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(100):
