@@ -81,11 +81,16 @@ def first_level(parts: int) -> tuple[int, bool]:
     return (parts, False) if parts <= LEVEL else (LEVEL, True)
 
 
+def by_bucket(df: DataFrame, parts: int) -> DataFrame:
+    """Rows in tasks by ``bucket``, one for each bucket as far as there are tasks; buckets that are hashed would share some and leave others empty."""
+    return df.repartitionById(parts, "bucket") if parts <= TASKS else df.repartition(TASKS, "bucket")
+
+
 def meet(blobs: DataFrame, parts: int) -> DataFrame:
     """The blobs with all of a bucket in one task, to be grouped by bucket without another exchange."""
     if parts > LEVEL:
-        blobs = blobs.repartition(LEVEL, "bucket").mapInArrow(_finer(LEVEL, parts), SCHEMA)
-    return blobs.repartition(min(parts, TASKS), "bucket")
+        blobs = by_bucket(blobs, LEVEL).mapInArrow(_finer(LEVEL, parts), SCHEMA)
+    return by_bucket(blobs, parts)
 
 
 def _finer(coarse: int, parts: int, limit: int = 3_000_000):

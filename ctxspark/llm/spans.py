@@ -233,7 +233,7 @@ def shared_starts(windows: DataFrame, k: int, least: int, group: int) -> DataFra
         hot = written(keyed.groupBy("key").count().where(F.col("count") > group).select("key"), "span-hot")
         any_hot = not hot.isEmpty()
         cold = keyed.join(hot, "key", "left_anti") if any_hot else keyed
-        bucketed = cold.select(F.pmod("key", F.lit(parts)).cast("int").alias("bucket"), "tid", "pos", "lead", "win").repartition(min(parts, X.TASKS), "bucket")
+        bucketed = X.by_bucket(cold.select(F.pmod("key", F.lit(parts)).cast("int").alias("bucket"), "tid", "pos", "lead", "win"), parts)
         found.append(bucketed.groupBy("bucket").applyInArrow(_trees(k, least), RUNS))
         if not any_hot:
             break
@@ -276,7 +276,7 @@ def shared_spans(documents: DataFrame, least: int = 100, anchor: int | None = No
     chosen = docs.hint("shuffle_hash").join(stands.hint("shuffle_hash"), "doc_id").select("tid", "text", "places")
     windows = written(chosen.mapInArrow(_windows(k, least), WINDOWS), "span-windows")
     starts = shared_starts(windows, k, least, group)
-    slices = starts.withColumn("bucket", F.pmod(F.xxhash64("tid"), F.lit(parts)).cast("int")).repartition(min(parts, X.TASKS), "bucket")
+    slices = X.by_bucket(starts.withColumn("bucket", F.pmod(F.xxhash64("tid"), F.lit(parts)).cast("int")), parts)
     spans = slices.groupBy("bucket").applyInArrow(_spans(least), "tid bigint, first_pos bigint, end_pos bigint")
     owners = directory.join(copied, ["tid", "digest"])
     whole = owners.where("copies > 1").select("doc_id", F.lit(0).cast("bigint").alias("first_pos"), F.col("n").cast("bigint").alias("end_pos"))
