@@ -7,7 +7,7 @@ CONTINUAL_TARGET = "NA_string_only"
 IGNORE = -100
 PAD_ID = 0
 PAD_DOC = -1
-START_ID, MEMORY_ID, END_ID = 50257, 50258, 50259
+START_ID, MEMORY_ID, END_ID, IM_START_ID, IM_END_ID = 50257, 50258, 50259, 50260, 50261
 
 # Defaults of the parameters.
 RATIO, WINDOW, OVERLAP, PACK, RANKS, SEED = 16, 1024, 256, 4096, 6, 42

@@ -53,7 +53,7 @@ def region_latents(text: Column | str, ratio: int = C.RATIO, min_one: bool = Tru
 
 def expand_placeholders(text: Column | str, ratio: int = C.RATIO) -> Column:
     """Each region's body replaced by as many placeholders as it has latents; markers stay."""
-    inner = F.transform(region_latents(text, ratio), lambda k: F.concat(F.lit(C.MEMORY_START), F.expr("''"), F.repeat(F.lit(C.MEMORY), k.cast("int")), F.lit(C.MEMORY_END)))
+    inner = F.transform(region_latents(text, ratio), lambda k: F.concat(F.lit(C.MEMORY_START), F.repeat(F.lit(C.MEMORY), k.cast("int")), F.lit(C.MEMORY_END)))
     parts = outside_parts(text)
     rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     return F.concat(F.element_at(parts, 1), F.array_join(F.zip_with(inner, rest, lambda a, b: F.concat(a, b)), ""))

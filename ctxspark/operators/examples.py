@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ctxspark import constants as C
 from ctxspark.functions import text as T
+from ctxspark.functions.tokenizer import STAND_IN, Tokenizer
+from ctxspark.operators.sequences import big, repeated, runs_of
 
 COLUMNS = ["pack_id", "shard", "base_input_ids", "base_labels", "memory_strings", "memory_positions"]
 
@@ -36,35 +38,45 @@ def valid(examples: DataFrame) -> DataFrame:
     return examples.where(F.col("base_input_ids").isNotNull() & (n("memory_strings") == n("memory_positions")) & regions)
 
 
-def expand(examples: DataFrame, ratio: int = C.RATIO) -> DataFrame:
-    """Valid examples with ``input_ids``, ``labels``, ``spans`` and ``seq_len``.
+def expand(examples: DataFrame, ratio: int = C.RATIO, tok: Tokenizer = STAND_IN) -> DataFrame:
+    """Valid examples with ``input_ids``, ``labels``, ``spans``, ``latent_counts``, ``memory_ids`` and ``seq_len``.
 
     The placeholder of each region is repeated as often as its string has latents, at least once; a null string counts as
-    empty. Labels of whole regions are IGNORE, missing labels are IGNORE everywhere. ``spans`` are half-open.
+    empty. Labels of whole regions are IGNORE, missing labels are IGNORE everywhere. ``spans`` are half-open, in the order the regions are listed in.
+    Ids are cut at the regions' places, in order, and put together again, so an example is gone through once whatever its number of regions.
     """
     e = valid(examples)
-    none = F.array().cast("array<int>")
-    k = F.transform(F.coalesce("memory_strings", F.array().cast("array<string>")), lambda s: T.latent_count(T.n_embed_tokens(F.coalesce(s, F.lit(""))), ratio))
-    e = e.withColumn("pos", F.coalesce("memory_positions", none)).withColumn("k", k)
-    where = lambda i: F.array_position("pos", (i - 1).cast("int"))
-    ids = F.flatten(F.transform("base_input_ids", lambda x, i: F.when(where(i) > 0, F.array_repeat(x, F.get("k", where(i).cast("int") - 1).cast("int"))).otherwise(F.array(x))))
-    own = F.coalesce("base_labels", F.transform("base_input_ids", lambda x: F.lit(C.IGNORE).cast("bigint")))
-    region = lambda i: F.exists("pos", lambda p: (i >= p) & (i <= p + 2))
-    ignore = F.lit(C.IGNORE).cast("bigint")
-    labels = F.flatten(F.transform(own, lambda x, i: F.when(where(i) > 0, F.array_repeat(ignore, F.get("k", where(i).cast("int") - 1).cast("int"))).when(region(i), F.array(ignore)).otherwise(F.array(x))))
-    # regions may be listed in any order: a region begins after the extra placeholders of those before it
-    extra = lambda p: F.aggregate(F.filter(F.arrays_zip("pos", "k"), lambda z: z["pos"] < p), F.lit(0).cast("bigint"), lambda a, z: a + z["k"] - 1)
-    spans = F.transform(F.arrays_zip("pos", "k"), lambda z: F.struct((z["pos"] + 1 + extra(z["pos"])).alias("start"), (z["pos"] + 1 + extra(z["pos"]) + z["k"]).alias("end")))
-    out = e.withColumn("input_ids", ids).withColumn("labels", labels).withColumn("spans", spans)
+    strings = F.coalesce("memory_strings", F.array().cast("array<string>"))
+    e = e.withColumn("memory_ids", F.transform(strings, lambda s: tok.embed_ids(F.coalesce(s, F.lit("")))))
+    e = e.withColumn("latent_counts", F.transform("memory_ids", lambda m: T.latent_count(F.size(m).cast("bigint"), ratio)))
+    listed = F.arrays_zip(F.coalesce("memory_positions", F.array().cast("array<int>")).alias("p"), F.col("latent_counts").alias("k"))
+    e = e.withColumn("at", F.array_sort(F.transform(listed, lambda z, i: F.struct(z["p"].alias("p"), z["k"].alias("k"), i.alias("i")))))
+    # a piece ends with a region's start marker; between two pieces are the placeholders
+    begins = F.concat(F.array(F.lit(0)), F.transform("at", lambda z: z["p"] + 2))
+    ends = F.concat(F.transform("at", lambda z: z["p"] + 1), F.array(F.size("base_input_ids")))
+    counts = F.transform("at", lambda z: z["k"])
+    z = F.arrays_zip(begins.alias("b"), ends.alias("e"), counts.alias("k"))
+    none = F.array().cast("array<bigint>")
+    more = lambda x, k: F.when(k.isNull(), none).otherwise(repeated(x, k))
+    ids = F.flatten(F.transform(z, lambda x: F.concat(F.slice("base_input_ids", x["b"] + 1, x["e"] - x["b"]), more(C.MEMORY_ID, x["k"]))))
+    own = F.coalesce("base_labels", F.transform("base_input_ids", lambda x: big(C.IGNORE)))
+    ignore = F.array(big(C.IGNORE))
+
+    def kept(x: Column, i: Column) -> Column:
+        """A piece's labels without those of the markers at its ends."""
+        first, last = F.when(i > 0, F.lit(1)).otherwise(F.lit(0)), F.when(x["k"].isNotNull(), F.lit(1)).otherwise(F.lit(0))
+        inner = F.slice(own, x["b"] + 1 + first, F.greatest(F.lit(0), x["e"] - x["b"] - first - last))
+        return F.concat(F.when(i > 0, ignore).otherwise(none), inner, F.when(x["k"].isNotNull(), ignore).otherwise(none), more(C.IGNORE, x["k"]))
+
+    labels = F.flatten(F.transform(z, kept))
+    extra = T.prefix_sums(F.transform("at", lambda x: x["k"] - 1))
+    sorted_spans = F.zip_with("at", F.slice(extra, 1, F.size("at")), lambda x, o: F.struct(x["i"].alias("i"), (x["p"] + 1 + o).alias("start"), (x["p"] + 1 + o + x["k"]).alias("end")))
+    spans = F.transform(F.array_sort(sorted_spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    out = e.withColumns({"input_ids": ids, "labels": labels, "spans": spans}).drop("at")
     return out.withColumn("seq_len", F.size("input_ids").cast("bigint"))
 
 
 def placeholder_runs(examples: DataFrame) -> DataFrame:
     """(example_id, run_start, run_end): maximal runs of placeholder ids, half-open, found without positions."""
-    at = F.filter(F.sequence(F.lit(0), F.size("base_input_ids") - 1), lambda i: _at("base_input_ids", i) == C.MEMORY_ID)
-    at = F.when(F.size("base_input_ids") > 0, at).otherwise(F.array().cast("array<int>"))
-    e = examples.where("base_input_ids is not null").select("example_id", at.alias("at"))
-    first = F.filter("at", lambda i: ~F.array_contains("at", i - 1))
-    last = F.filter("at", lambda i: ~F.array_contains("at", i + 1))
-    runs = F.arrays_zip(first.alias("s"), last.alias("e"))
-    return e.select("example_id", F.explode(runs).alias("r")).select("example_id", F.col("r.s").cast("bigint").alias("run_start"), (F.col("r.e") + 1).cast("bigint").alias("run_end"))
+    e = examples.where("base_input_ids is not null").select("example_id", F.explode(runs_of(F.col("base_input_ids"), C.MEMORY_ID)).alias("r"))
+    return e.select("example_id", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"))

@@ -124,9 +124,11 @@ def pack_report(items: DataFrame, packed: DataFrame, limit: int = C.PACK) -> Dat
 
 
 def doc_ids(lens: str, total: int):
-    """The document number of each token, PAD_DOC for padding."""
+    """The document number of each token, PAD_DOC for padding. Lengths over ``total`` raise an error when the row is read."""
     ids = F.flatten(F.transform(F.col(lens), lambda n, i: F.array_repeat(i, n.cast("int"))))
-    return F.concat(ids, F.array_repeat(F.lit(C.PAD_DOC), F.greatest(F.lit(0), F.lit(total) - F.size(ids))))
+    fits = F.aggregate(lens, F.lit(0).cast("bigint"), lambda a, n: a + n) <= total
+    full = F.concat(ids, F.array_repeat(F.lit(C.PAD_DOC), F.greatest(F.lit(0), F.lit(total) - F.size(ids))))
+    return F.when(fits, full).otherwise(F.raise_error(f"the documents of a pack have more than {total} tokens"))
 
 
 def cu_seqlens(packed: DataFrame) -> DataFrame:
@@ -142,16 +144,9 @@ def mask_pairs(packed: DataFrame, limit: int = C.PACK) -> DataFrame:
 
 
 def block_mask(packed: DataFrame, block: int = 128, limit: int = C.PACK) -> DataFrame:
-    """(shard, pack_id, active_blocks, total_blocks): blocks of the mask with at least one allowed pair."""
+    """(shard, pack_id, active_blocks, total_blocks, blocks): blocks (q, k) of the mask with at least one allowed pair, in order."""
     first, last = F.expr(f"cast(pack_offset div {block} as int)"), F.expr(f"cast((pack_offset + n - 1) div {block} as int)")
-    rows = packed.where("n > 0").select(*PACK, first.alias("f"), F.explode(F.sequence(first, last)).alias("q"))
-    cells = rows.select(*PACK, "q", F.explode(F.sequence("f", "q")).alias("k")).distinct()
+    cells = F.flatten(F.transform(F.sequence(first, last), lambda q: F.transform(F.sequence(first, q), lambda k: F.struct(q.alias("q"), k.alias("k")))))
+    per = packed.where("n > 0").groupBy(*PACK).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(cells)))).alias("blocks"))
     side = -(-limit // block)
-    return cells.groupBy(*PACK).agg(F.count("*").alias("active_blocks")).withColumn("total_blocks", F.lit(side * side).cast("bigint"))
-
-
-def collate_packs(packed: DataFrame, per_batch: int = 4, target: int = C.PACK) -> DataFrame:
-    """(shard, pack_id, batch, length, padded_to, pad_len): packs of a batch are padded to the target or their longest."""
-    packs = packed.groupBy(*PACK).agg(F.sum("n").alias("length")).withColumn("batch", F.floor(F.col("pack_id") / per_batch).cast("bigint"))
-    to = F.greatest(F.lit(target).cast("bigint"), F.max("length").over(Window.partitionBy("shard", "batch")))
-    return packs.withColumn("padded_to", to).withColumn("pad_len", F.col("padded_to") - F.col("length"))
+    return per.select(*PACK, F.size("blocks").cast("bigint").alias("active_blocks"), F.lit(side * side).cast("bigint").alias("total_blocks"), "blocks")

@@ -23,50 +23,20 @@ def once(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return rows.select(key, *columns).dropDuplicates([key])
 
 
-def prompt_text(rows: DataFrame) -> Column:
-    return T.render_chat("prompt")
-
-
 def target_text() -> Column:
     """What follows the generation prefix; a null target is empty."""
     return F.concat(F.coalesce(F.col("target"), F.lit("")), F.lit(C.IM_END + "\n"))
 
 
-def chat_prompt_target(rows: DataFrame) -> DataFrame:
-    """(row_id, prompt_text, target_text) of chat rows."""
-    return rows.where(is_chat()).select("row_id", T.render_chat("prompt").alias("prompt_text"), target_text().alias("target_text"))
-
-
-def labels_of(n_prompt: Column, n_target: Column) -> Column:
-    """Labels as runs: IGNORE for the prompt, then each target token's place."""
-    return F.concat(F.array_repeat(F.lit(C.IGNORE).cast("bigint"), n_prompt.cast("int")), F.sequence(n_prompt, n_prompt + n_target - 1))
-
-
-def sft_sequences(rows: DataFrame, ratio: int = C.RATIO) -> DataFrame:
-    """(row_id, seq_len, n_trainable, n_masked): expanded prompt and target; the prompt is masked."""
-    pair = chat_prompt_target(rows)
-    n_prompt, n_target = T.n_expanded("prompt_text", ratio), T.n_tokens("target_text")
-    return pair.select("row_id", n_prompt.alias("p"), n_target.alias("t")).select("row_id", (F.col("p") + F.col("t")).alias("seq_len"), F.col("t").alias("n_trainable"), F.col("p").alias("n_masked"))
-
-
-def teacher_sequences(rows: DataFrame) -> DataFrame:
-    """The same without expansion: regions stay as text."""
-    return chat_prompt_target(rows).select("row_id", T.n_tokens("prompt_text").alias("n_masked"), T.n_tokens("target_text").alias("n_trainable")).withColumn("seq_len", F.col("n_masked") + F.col("n_trainable"))
-
-
-def continual_sequences(rows: DataFrame, ratio: int = C.RATIO) -> DataFrame:
-    """(row_id, seq_len, n_trainable, n_masked): labels are the ids but for regions with both their markers."""
+def lengths(rows: DataFrame, ratio: int = C.RATIO) -> DataFrame:
+    """(row_id, format, seq_len, n_trainable, n_masked) of the sequences of both formats, without making them."""
+    columns = ["row_id", "format", "seq_len", "n_trainable", "n_masked"]
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    chat = rows.where(is_chat()).select("row_id", F.lit("chat").alias("format"), T.n_tokens(target_text()).alias("n_trainable"), T.n_expanded(T.render_chat("prompt"), ratio).alias("n_masked"))
     text = T.continual_text("prompt")
     masked = F.aggregate(T.region_latents(text, ratio), F.lit(0).cast("bigint"), lambda a, x: a + x + 2)
-    kept = F.aggregate(F.transform(T.outside_parts(text), T.n_tokens), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return rows.where(is_continual()).select("row_id", (masked + kept).alias("seq_len"), kept.alias("n_trainable"), masked.alias("n_masked"))
-
-
-def preprocess(rows: DataFrame, ratio: int = C.RATIO) -> DataFrame:
-    """Both formats: (row_id, format, seq_len, n_trainable, n_masked)."""
-    columns = ["row_id", "format", "seq_len", "n_trainable", "n_masked"]
-    chat = sft_sequences(rows, ratio).withColumn("format", F.lit("chat")).select(columns)
-    return chat.unionByName(continual_sequences(rows, ratio).withColumn("format", F.lit("continual_pretraining")).select(columns))
+    other = rows.where(is_continual()).select("row_id", F.lit("continual_pretraining").alias("format"), total(F.transform(T.outside_parts(text), T.n_tokens)).alias("n_trainable"), masked.alias("n_masked"))
+    return chat.unionByName(other).withColumn("seq_len", F.col("n_trainable") + F.col("n_masked")).select(columns)
 
 
 def stats_pre(rows: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxspark import constants as C
 from ctxspark.functions import text as T
+from ctxspark.operators.sequences import repeated
+from ctxspark.plans.prefix import running
 
 
 def check_config(pooling: str, window: int, ratio: int) -> None:
@@ -32,60 +34,114 @@ def tile(sequences: DataFrame, window: int = C.WINDOW, overlap: int = C.OVERLAP,
     )
 
 
-def eos_markers(windows: DataFrame) -> DataFrame:
-    """Windows with ``seq_len`` and ``first_marker``: one pad token for each latent is appended, the markers are these."""
-    body = F.col("left") + F.col("pool_len") + F.col("right")
-    return windows.withColumn("first_marker", body).withColumn("seq_len", body + F.col("n_latent"))
+def window_ids(sequences: DataFrame, eos: bool = False, window: int = C.WINDOW, overlap: int = C.OVERLAP, ratio: int = C.RATIO, bidirectional: bool = True) -> DataFrame:
+    """(id, win, pool_start, pool_len, n_latent, window_ids, markers) for sequences (id, ids): what the encoder reads for each tile.
 
+    The tile's ids stand between their context. With ``eos``, one pad id for each latent is appended and ``markers`` are their places; else there are none.
+    Tiles are cut out of each sequence in its own row; sequences without ids have no window, null ones none either.
+    """
+    check_config("mean", window, ratio)
+    n = F.size("ids").cast("bigint")
 
-def left_pad(windows: DataFrame, per_batch: int = 8) -> DataFrame:
-    """Windows with ``batch`` and ``pad_len``, the padding before each up to the longest of its batch; a batch holds windows of one sequence."""
-    w = windows.withColumn("batch", F.floor(F.col("win") / per_batch).cast("bigint")).withColumn("len", F.col("left") + F.col("pool_len") + F.col("right"))
-    return w.withColumn("pad_len", F.max("len").over(Window.partitionBy("id", "batch")) - F.col("len")).drop("len")
+    def one(start: Column) -> Column:
+        pool = F.least(F.lit(window).cast("bigint"), n - start)
+        left = F.least(F.lit(overlap).cast("bigint"), start)
+        right = F.least(F.lit(overlap).cast("bigint"), n - start - pool) if bidirectional else F.lit(0).cast("bigint")
+        k = T.latent_count(pool, ratio)
+        body = F.slice("ids", (start - left + 1).cast("int"), (left + pool + right).cast("int"))
+        markers = F.sequence(left + pool + right, left + pool + right + k - 1) if eos else F.array().cast("array<bigint>")
+        read = F.concat(body, repeated(C.PAD_ID, k)) if eos else body
+        return F.struct(F.floor(start / window).alias("win"), left.alias("pool_start"), pool.alias("pool_len"), k.alias("n_latent"), read.alias("window_ids"), markers.alias("markers"))
 
+    starts = F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(window).cast("bigint"))
+    return sequences.where(F.size("ids") > 0).select("id", F.explode(F.transform(starts, one)).alias("w")).select("id", "w.*")
 
-def regroup(sequences: DataFrame, windows: DataFrame) -> DataFrame:
-    """(id, n_windows, n_latents, latents): windows of each sequence in order; one without windows has one zero latent."""
-    per = windows.groupBy("id").agg(F.count("*").alias("n_windows"), F.sum("n_latent").alias("n_latents"), F.array_sort(F.collect_list(F.struct("win", "n_latent"))).alias("w"))
-    j = sequences.select("id").join(per, "id", "left")
-    latents = F.coalesce(F.array_join(F.transform("w", lambda x: x["n_latent"].cast("string")), ","), F.lit("1"))
-    return j.select("id", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("n_latents", F.lit(1)).alias("n_latents"), latents.alias("latents"))
 
+def left_pad(windows: DataFrame, per_batch: int = 128) -> DataFrame:
+    """``windows`` (id, win, window_ids, ...) with ``batch``, ``input_ids``, ``attention_mask`` and ``position_ids``.
 
-def groups(vec: Column, ratio: int) -> Column:
-    """Slices of ``ratio`` elements; the last may be shorter. An empty vector has none."""
-    starts = F.sequence(F.lit(1), F.size(vec), F.lit(ratio))
-    return F.when(F.size(vec) > 0, F.transform(starts, lambda s: F.slice(vec, s, F.lit(ratio)))).otherwise(F.array().cast("array<array<double>>"))
+    Windows of all sequences are numbered in the order of (id, win); ``per_batch`` of them are a batch, filled up on the left to its longest. Masked places
+    have position 0, the others count from 0.
+    """
+    if per_batch < 1:
+        raise ValueError("a batch needs at least one window")
+    size = windows.select("id", "win", F.size("window_ids").alias("__n"), F.lit(0).alias("__all"))
+    batches = running(size, ["__all"], ["id", "win"], {"__no": F.lit(1)}).select("id", "win", "__n", F.floor((F.col("__no") - 1) / per_batch).cast("bigint").alias("batch"))
+    longest = batches.groupBy("batch").agg(F.max("__n").alias("__to"))
+    w = windows.join(batches.drop("__n"), ["id", "win"]).join(longest, "batch")
+    gap, n = F.col("__to") - F.size("window_ids"), F.size("window_ids")
+    counted = F.transform("window_ids", lambda x, i: i.cast("bigint"))
+    return w.select(
+        *windows.columns, "batch", F.concat(repeated(C.PAD_ID, gap), "window_ids").alias("input_ids"), F.concat(repeated(0, gap), repeated(1, n)).alias("attention_mask"), F.concat(repeated(0, gap), counted).alias("position_ids")
+    )
 
 
-def pool_mean(vectors: DataFrame, ratio: int) -> DataFrame:
-    """(id, grp, value): the mean of each group over its true size."""
-    v = F.transform("vec", lambda x: x.cast("double"))
-    e = vectors.select("id", F.posexplode(groups(v, ratio)).alias("grp", "g"))
-    total = F.aggregate("g", F.lit(0.0), lambda a, x: a + x)
-    return e.select("id", F.col("grp").cast("bigint").alias("grp"), (total / F.size("g")).alias("value"))
+def regroup(sequences: DataFrame, latents: DataFrame, width: int) -> DataFrame:
+    """(id, n_latents, latents): the vectors of each sequence's windows in order; one without windows has one zero vector of ``width``.
+
+    ``latents`` has (id, win, grp, vec). A sequence is bounded, so is its array.
+    """
+    per = latents.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("win", "grp", "vec"))), lambda x: x["vec"]).alias("latents"))
+    zero = F.array(F.array_repeat(F.lit(0.0), width))
+    j = sequences.select("id").join(per, "id", "left").withColumn("latents", F.coalesce("latents", zero))
+    return j.select("id", F.size("latents").cast("bigint").alias("n_latents"), "latents")
+
 
+def doubles(vec: Column | str) -> Column:
+    return F.transform(vec, lambda x: x.cast("double"))
 
-def pool_concat(vectors: DataFrame, ratio: int) -> DataFrame:
-    """(id, grp, values): groups side by side, the last filled with zeros."""
-    v = F.transform("vec", lambda x: x.cast("double"))
-    e = vectors.select("id", F.posexplode(groups(v, ratio)).alias("grp", "g"))
-    return e.select("id", F.col("grp").cast("bigint").alias("grp"), F.concat("g", F.array_repeat(F.lit(0.0), ratio - F.size("g"))).alias("values"))
 
+def _groups(hidden: DataFrame, keys: list[str], ratio: int) -> DataFrame:
+    """``hidden`` (keys, pos, vec) as (keys, grp, g): ``ratio`` vectors in a row each, in order; the last group of a sequence may be shorter."""
+    h = hidden.select(*keys, "pos", doubles("vec").alias("vec"), F.expr(f"pos div {int(ratio)}").alias("grp"))
+    return h.groupBy(*keys, "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda x: x["vec"]).alias("g"))
 
-def pool_eos(vectors: DataFrame, ratio: int) -> DataFrame:
-    """(id, grp, value): the marker of each group, its last element."""
-    e = vectors.select("id", F.posexplode(groups(F.transform("vec", lambda x: x.cast("double")), ratio)).alias("grp", "g"))
-    return e.select("id", F.col("grp").cast("bigint").alias("grp"), F.element_at("g", -1).alias("value"))
 
+def pool_mean(hidden: DataFrame, keys: list[str], ratio: int) -> DataFrame:
+    """(keys, grp, vec): the mean of each group of ``ratio`` hidden vectors over its true size; ``pos`` counts from 0 in each sequence."""
+    g = _groups(hidden, keys, ratio)
+    total = F.aggregate(F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0))), F.element_at("g", 1), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return g.select(*keys, "grp", F.transform(total, lambda x: x / F.size("g")).alias("vec"))
 
-def splice(spans: DataFrame, latents: DataFrame) -> DataFrame:
-    """(id, region, slot, position, value): each span's positions filled with its latents.
 
-    ``spans`` has (id, region, start, end), ``latents`` (id, region, slot, value). A span without as many latents as positions
-    raises an error when the rows are read.
+def pool_concat(hidden: DataFrame, keys: list[str], ratio: int) -> DataFrame:
+    """(keys, grp, vec): the vectors of each group side by side, a short group filled with zeros."""
+    g = _groups(hidden, keys, ratio)
+    flat = F.flatten("g")
+    return g.select(*keys, "grp", F.concat(flat, F.array_repeat(F.lit(0.0), ratio * F.size(F.element_at("g", 1)) - F.size(flat))).alias("vec"))
+
+
+def pool_eos(hidden: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, grp, vec): the vectors at each window's ``markers``, in their order."""
+    at = windows.select(*keys, F.posexplode("markers").alias("grp", "pos"))
+    return at.join(hidden, [*keys, "pos"]).select(*keys, F.col("grp").cast("bigint").alias("grp"), doubles("vec").alias("vec"))
+
+
+def splice(embeds: DataFrame, spans: DataFrame, latents: DataFrame, strict: bool = True) -> DataFrame:
+    """``embeds`` (id, pos, vec) with the vectors at spans' positions replaced by latents in their order.
+
+    ``spans`` has (id, region, start, end), ``latents`` (id, region, slot, vec). A span without as many latents as positions raises an error when the rows are
+    read; if not ``strict``, as in serving, the first of both are used and other positions stay as they are.
+    """
+    p = spans.select("id", "region", F.posexplode(F.when(F.col("end") > F.col("start"), F.sequence(F.col("start"), F.col("end") - 1)).otherwise(F.array(F.lit(None).cast("bigint")))).alias("slot", "pos")).withColumn("slot", F.col("slot").cast("bigint"))
+    j = p.join(latents.select("id", "region", "slot", doubles("vec").alias("__new")), ["id", "region", "slot"], "full")
+    if strict:
+        whole = F.col("pos").isNotNull() & F.col("__new").isNotNull()
+        j = j.withColumn("pos", F.when(whole, F.col("pos")).otherwise(F.raise_error("as many latents as positions are needed")))
+        # an error must come up even for positions that no embedding has
+        j = j.where(F.col("pos").isNotNull())
+    else:
+        j = j.where("pos is not null and __new is not null")
+    return embeds.join(j.select("id", "pos", "__new"), ["id", "pos"], "full" if strict else "left").select("id", "pos", F.coalesce("__new", doubles("vec")).alias("vec"))
+
+
+def segment_pad(segments: DataFrame, batch: str, width: int) -> DataFrame:
+    """(batch, id, slot, vec, mask): every segment's latents up to the longest of its batch, zero vectors with mask 0 behind its own.
+
+    ``segments`` has (batch, id, latents). Only the lengths are aggregated by batch. Rows with mask 1 are the segments again.
     """
-    p = spans.select("id", "region", F.posexplode(F.sequence(F.col("start"), F.col("end") - 1)).alias("slot", "position")).withColumn("slot", F.col("slot").cast("bigint"))
-    j = p.join(latents, ["id", "region", "slot"], "full")
-    check = F.assert_true(F.col("position").isNotNull() & F.col("value").isNotNull(), F.lit("as many latents as positions are needed"))
-    return j.where(check.isNull()).select("id", "region", "slot", "position", "value")
+    most = segments.groupBy(F.col(batch).alias("__b")).agg(F.max(F.size("latents")).alias("__to"))
+    zero = F.array_repeat(F.lit(0.0), width)
+    j = segments.join(most, segments[batch].eqNullSafe(F.col("__b"))).where("__to > 0")
+    slots = F.transform(F.sequence(F.lit(0), F.col("__to") - 1), lambda i: F.struct(i.cast("bigint").alias("slot"), F.coalesce(doubles(F.get("latents", i)), zero).alias("vec"), F.when(i < F.size("latents"), 1).otherwise(0).cast("bigint").alias("mask")))
+    return j.select(batch, "id", F.explode(slots).alias("s")).select(batch, "id", "s.*")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxspark import constants as C
 from ctxspark.functions import text as T
+from ctxspark.functions.tokenizer import STAND_IN
 from ctxspark.operators import rows as R
+from ctxspark.operators import sequences as Q
 from ctxspark.plans.registry import Tables, query
 from ctxspark.plans.stage import spread
 
@@ -17,6 +19,26 @@ WORD = "'" + C.WORD_PATTERN + "'"
 REGION = "'" + C.REGION_PATTERN + "'"
 
 
+MARKERS = "WHEN '<|memory_start|>' THEN 50257 WHEN '<|memory|>' THEN 50258 WHEN '<|memory_end|>' THEN 50259 WHEN '<|im_start|>' THEN 50260 WHEN '<|im_end|>' THEN 50261"
+
+
+def hashed(t: str) -> str:
+    return f"(('0x' || substr(md5({t}), 1, 7))::BIGINT % 50256 + 1)"
+
+
+def ids(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, {TOK}), lambda t: CASE t {MARKERS} ELSE {hashed('t')} END)"
+
+
+def embed_ids(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, {WORD}), lambda t: {hashed('t')})"
+
+
+def joined(x: str) -> str:
+    """A list of numbers as one digest."""
+    return f"md5(array_to_string({x}, ','))"
+
+
 def ntok(x: str) -> str:
     return f"len(regexp_extract_all({x}, {TOK}))::BIGINT"
 
@@ -98,7 +120,9 @@ SELECT doc_id, list_transform({parts('text')}, lambda p: {ntok('p')}) AS o, {ks(
 
 @query(SPANS)
 def find_positions_wrapped(t: Tables) -> DataFrame:
-    e = docs(t).select("doc_id", F.posexplode(T.region_spans("text")).alias("region_idx", "s"))
+    """Found in the ids of the expanded text and checked there: an end marker or a placeholder that is missing raises an error."""
+    d = Q.cut_regions(docs(t), "text", C.RATIO, STAND_IN).select("doc_id", Q.woven_ids().alias("ids"), "latent_counts")
+    e = d.select("doc_id", F.posexplode(Q.find_regions(F.col("ids"), F.col("latent_counts"))).alias("region_idx", "s"))
     return e.select("doc_id", F.col("region_idx").cast("bigint").alias("region_idx"), F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
 
 
@@ -109,7 +133,7 @@ def token_strings(t: Tables) -> DataFrame:
 
 @query(f"WITH {RAW} SELECT row_id, md5({RENDER}) AS prompt_md5, md5({TARGET}) AS target_md5, {ntok(RENDER)} AS prompt_tok, {ntok(TARGET)} AS target_tok FROM raw WHERE target IS NULL OR target <> 'NA_string_only'")
 def chat_prompt_target(t: Tables) -> DataFrame:
-    p = R.chat_prompt_target(raw(t))
+    p = Q.chat_texts(raw(t))
     return p.select("row_id", F.md5("prompt_text").alias("prompt_md5"), F.md5("target_text").alias("target_md5"), T.n_tokens("prompt_text").alias("prompt_tok"), T.n_tokens("target_text").alias("target_tok")).distinct()
 
 
@@ -118,39 +142,76 @@ def render_chat(t: Tables) -> DataFrame:
     return raw(t).select("row_id", F.md5(T.render_chat("prompt")).alias("rendered_md5"), F.when(F.col("prompt").isNotNull(), F.size("prompt").cast("bigint")).alias("n_turns")).distinct()
 
 
-EXPANDED = f"(1 - 1 + {part_sum(RENDER)} + {total(ks(RENDER))} + 2 * len({bodies(RENDER)}))::BIGINT"
+def many(n: str, x: str) -> str:
+    return f"list_transform(range({n}), lambda j: {x}::BIGINT)"
 
 
-@query(f"WITH {RAW}, s AS (SELECT row_id, {EXPANDED} AS n_masked, {ntok(TARGET)} AS n_trainable FROM raw WHERE target IS NULL OR target <> 'NA_string_only') SELECT *, n_masked + n_trainable AS seq_len FROM s")
-def sft_sequence(t: Tables) -> DataFrame:
-    return R.sft_sequences(raw(t)).distinct()
+def woven(text: str, source: str, name: str) -> str:
+    """A CTE with the ids, labels, spans, counts and encoder ids of the column ``text`` of ``source``; regions are ignored in the labels."""
+    return f"""{name}0 AS MATERIALIZED (SELECT *, list_transform({parts(text)}, lambda p: {ids('p')}) AS pid, list_transform({bodies(text)}, lambda b: {embed_ids('b')}) AS mids FROM {source}),
+{name}1 AS MATERIALIZED (SELECT *, list_transform(mids, lambda m: {lat('len(m)')}) AS k FROM {name}0),
+{name} AS MATERIALIZED (SELECT *, flatten(list_transform(pid, lambda p, i: CASE WHEN i > len(k) THEN p ELSE list_concat(p, [50257::BIGINT], {many('k[i]', '50258')}, [50259::BIGINT]) END)) AS w_ids,
+flatten(list_transform(pid, lambda p, i: CASE WHEN i > len(k) THEN p ELSE list_concat(p, {many('k[i] + 2', '-100')}) END)) AS w_labels,
+array_to_string(list_transform(k, lambda c, i: (list_sum(list_transform(pid[1:i], lambda p: len(p))) + coalesce(list_sum(k[1:i-1]), 0) + 2 * i - 1)::BIGINT || '-' || (list_sum(list_transform(pid[1:i], lambda p: len(p))) + list_sum(k[1:i]) + 2 * i - 1)::BIGINT), ',') AS spans FROM {name}1)"""
+
 
+CHAT = f"chat AS (SELECT row_id, {RENDER} AS pt, {ids(TARGET)} AS tid FROM raw WHERE target IS NULL OR target <> 'NA_string_only'), {woven('pt', 'chat', 'cw')}"
+CONTINUED = f"cont AS (SELECT row_id, {CONT} AS ct FROM raw WHERE target = 'NA_string_only'), {woven('ct', 'cont', 'tw')}"
+SEQ_TAIL = f"spans, array_to_string(k, ',') AS counts, {joined('flatten(mids)')} AS memory_md5"
+SFT = f"SELECT row_id, {joined('list_concat(w_ids, tid)')} AS ids_md5, {joined('list_concat(' + many('len(w_ids)', '-100') + ', tid)')} AS labels_md5, len(w_ids) + len(tid) AS seq_len, {SEQ_TAIL} FROM cw"
+CONTINUAL = f"SELECT row_id, {joined('w_ids')} AS ids_md5, {joined('w_labels')} AS labels_md5, len(w_ids) AS seq_len, {SEQ_TAIL} FROM tw"
 
-CONTINUAL = f"SELECT row_id, {part_sum(CONT)} AS n_trainable, ({total(ks(CONT))} + 2 * len({bodies(CONT)}))::BIGINT AS n_masked FROM raw WHERE target = 'NA_string_only'"
 
+def digest(values) -> Column:
+    """An array of numbers as one digest."""
+    return F.md5(F.array_join(F.transform(values, lambda x: x.cast("string")), ","))
 
-@query(f"WITH {RAW}, s AS ({CONTINUAL}) SELECT *, n_masked + n_trainable AS seq_len FROM s")
+
+def span_list(spans) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def described(sequences: DataFrame, *keys: str) -> DataFrame:
+    """Sequences with their arrays as digests, so that results stay small whatever their length."""
+    return sequences.select(
+        *keys, digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"), F.size("input_ids").cast("bigint").alias("seq_len"),
+        span_list("spans").alias("spans"), F.array_join(F.transform("latent_counts", lambda k: k.cast("string")), ",").alias("counts"), digest(F.flatten("memory_ids")).alias("memory_md5"),
+    )
+
+
+@query(f"WITH {RAW}, {CHAT} {SFT}")
+def sft_sequence(t: Tables) -> DataFrame:
+    return described(Q.sft(raw(t)), "row_id").distinct()
+
+
+@query(f"WITH {RAW}, {CONTINUED} {CONTINUAL}")
 def continual_sequence(t: Tables) -> DataFrame:
-    return R.continual_sequences(raw(t)).distinct()
+    return described(Q.continual(raw(t)), "row_id").distinct()
 
 
-@query(f"WITH {RAW}, s AS (SELECT row_id, {ntok(RENDER)} AS n_masked, {ntok(TARGET)} AS n_trainable FROM raw WHERE target IS NULL OR target <> 'NA_string_only') SELECT *, n_masked + n_trainable AS seq_len FROM s")
+@query(f"WITH {RAW}, t AS (SELECT row_id, {ids(RENDER)} AS p, {ids(TARGET)} AS t FROM raw WHERE target IS NULL OR target <> 'NA_string_only') SELECT row_id, {joined('list_concat(p, t)')} AS ids_md5, {joined('list_concat(' + many('len(p)', '-100') + ', t)')} AS labels_md5, len(p) + len(t) AS seq_len FROM t")
 def teacher_sequence(t: Tables) -> DataFrame:
-    return R.teacher_sequences(raw(t)).distinct()
+    return Q.teacher(raw(t)).select("row_id", digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"), F.size("input_ids").cast("bigint").alias("seq_len")).distinct()
 
 
-PREPROCESS = f"""{RAW}, pre AS (SELECT row_id, 'chat' AS format, n_masked, n_trainable FROM (SELECT row_id, {EXPANDED} AS n_masked, {ntok(TARGET)} AS n_trainable FROM raw WHERE target IS NULL OR target <> 'NA_string_only')
-UNION ALL SELECT row_id, 'continual_pretraining', n_masked, n_trainable FROM ({CONTINUAL}))"""
+LENGTHS = f"""{RAW}, pre AS (SELECT row_id, 'chat' AS format, ({part_sum(RENDER)} + {total(ks(RENDER))} + 2 * len({bodies(RENDER)}))::BIGINT AS n_masked, {ntok(TARGET)} AS n_trainable FROM raw WHERE target IS NULL OR target <> 'NA_string_only'
+UNION ALL SELECT row_id, 'continual_pretraining', ({total(ks(CONT))} + 2 * len({bodies(CONT)}))::BIGINT, {part_sum(CONT)} FROM raw WHERE target = 'NA_string_only')"""
 
 
-@query(f"WITH {PREPROCESS} SELECT row_id, format, n_masked, n_trainable, n_masked + n_trainable AS seq_len FROM pre")
+@query(f"WITH {RAW}, {CHAT}, {CONTINUED} SELECT *, 'chat' AS format FROM ({SFT}) UNION ALL SELECT *, 'continual_pretraining' FROM ({CONTINUAL})")
 def preprocess_example(t: Tables) -> DataFrame:
-    return R.preprocess(raw(t)).distinct()
+    return described(Q.preprocess(raw(t)), "row_id", "format").distinct()
+
 
+@query(f"WITH {LENGTHS} SELECT row_id, format, n_masked, n_trainable, n_masked + n_trainable AS seq_len FROM pre")
+def sequence_lengths(t: Tables) -> DataFrame:
+    """Lengths alone, as packing needs them, without making ids."""
+    return R.lengths(raw(t)).distinct()
 
-@query(f"""WITH {PREPROCESS} SELECT format, count(*) AS n, sum(n_masked + n_trainable)::BIGINT AS total_len FROM pre GROUP BY format""")
+
+@query(f"""WITH {LENGTHS} SELECT format, count(*) AS n, sum(n_masked + n_trainable)::BIGINT AS total_len FROM pre GROUP BY format""")
 def union_formats(t: Tables) -> DataFrame:
-    return R.preprocess(raw(t)).distinct().groupBy("format").agg(F.count("*").alias("n"), F.sum("seq_len").alias("total_len"))
+    return R.lengths(raw(t)).distinct().groupBy("format").agg(F.count("*").alias("n"), F.sum("seq_len").alias("total_len"))
 
 
 BODY_SUM = total(f"list_transform({bodies(CONT)}, lambda b: {ntok('b')})")
@@ -198,14 +259,20 @@ def typecheck(t: Tables) -> DataFrame:
 
 @query(f"WITH sp AS ({SPANS}), n AS (SELECT doc_id, (sum(end_pos - start_pos) + 2 * count(*))::BIGINT AS n_in FROM sp GROUP BY doc_id), x AS (SELECT doc_id, {part_sum('text')} AS n_out FROM documents WHERE text IS NOT NULL) SELECT x.doc_id, coalesce(n_in, 0) AS n_in, n_out FROM x LEFT JOIN n USING (doc_id)")
 def join_range_label(t: Tables) -> DataFrame:
-    """Tokens of the expanded text that lie in a region with its markers, and those outside."""
-    d = docs(t).select("doc_id", T.tokens(T.expand_placeholders("text")).alias("toks"), T.region_spans("text").alias("spans"))
-    inside = F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: F.exists("spans", lambda s: (i >= s["start"] - 1) & (i <= s["end"])))
-    n_in = F.when(F.size("toks") == 0, F.lit(0)).otherwise(F.size(inside)).cast("bigint")
-    return d.select("doc_id", n_in.alias("n_in"), (F.size("toks") - n_in).cast("bigint").alias("n_out"))
+    """Tokens of the expanded text that lie in a region with its markers, and those outside: what spans cover, by lengths alone."""
+    zero = F.lit(0).cast("bigint")
+    n_in = F.aggregate(T.region_spans("text"), zero, lambda a, s: a + s["end"] - s["start"] + 2)
+    n_out = F.aggregate(F.transform(T.outside_parts("text"), T.n_tokens), zero, lambda a, x: a + x)
+    return docs(t).select("doc_id", n_in.alias("n_in"), n_out.alias("n_out"))
+
+
+FLAT = f"(SELECT doc_id, unnest({bodies('text')}) AS b, generate_subscripts({bodies('text')}, 1) AS i FROM documents WHERE text IS NOT NULL)"
 
 
-@query(f"SELECT doc_id, len(b)::BIGINT AS n_regions, {total('list_transform(b, lambda x: ' + nemb('x') + ')')} AS total_tokens FROM (SELECT doc_id, {bodies('text')} AS b FROM documents WHERE text IS NOT NULL) WHERE len(b) > 0")
+@query(f"SELECT doc_id, count(*) AS n_regions, md5(string_agg(e, '|' ORDER BY i)) AS regions_md5 FROM (SELECT doc_id, i, array_to_string({embed_ids('b')}, ',') AS e FROM {FLAT}) GROUP BY doc_id")
 def flatten_regions_batch(t: Tables) -> DataFrame:
+    """Regions of all texts as one batch for the encoder, each with its owner; what the encoder gives (here its ids) goes back to the owner in order."""
     flat = docs(t).select("doc_id", F.posexplode(T.regions("text")).alias("at", "body"))
-    return flat.groupBy("doc_id").agg(F.count("*").alias("n_regions"), F.sum(T.n_embed_tokens("body")).alias("total_tokens"))
+    encoded = flat.select("doc_id", "at", F.array_join(F.transform(STAND_IN.embed_ids(F.col("body")), lambda x: x.cast("string")), ",").alias("e"))
+    back = encoded.groupBy("doc_id").agg(F.count("*").alias("n_regions"), F.array_sort(F.collect_list(F.struct("at", "e"))).alias("r"))
+    return back.select("doc_id", "n_regions", F.md5(F.array_join(F.transform("r", lambda x: x["e"]), "|")).alias("regions_md5"))

@@ -67,7 +67,7 @@ def planned_bytes(df: DataFrame) -> int:
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
     inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return min(int(str(plan.stats().sizeInBytes())), inputs)
+    return UNKNOWN if inputs >= UNKNOWN else min(int(str(plan.stats().sizeInBytes())), inputs)
 
 
 def n_partitions(df: DataFrame) -> int:

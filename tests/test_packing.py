@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ctxspark.operators import order as O
 from ctxspark.operators import packing as P
@@ -62,9 +63,12 @@ def test_empty(spark):
 
 def test_masks(spark):
     packed = spark.createDataFrame([("a", 1, 130, 0, 0), ("a", 2, 126, 0, 130)], "shard string, id bigint, n bigint, pack_id bigint, pack_offset bigint")
-    assert P.block_mask(packed, 128, 256).collect()[0].active_blocks == 3
+    mask = P.block_mask(packed, 128, 256).collect()[0]
+    assert mask.active_blocks == 3 and [tuple(b) for b in mask.blocks] == [(0, 0), (1, 0), (1, 1)]
     small = spark.createDataFrame([("a", 0, 3, 0, 0), ("a", 1, 2, 0, 3)], packed.schema)
     assert P.pack_lengths(small).select(P.doc_ids("lens", 8).alias("d")).collect()[0].d == [0, 0, 0, 1, 1, -1, -1, -1]
+    with pytest.raises(Exception, match="more than 4 tokens"):
+        spark.createDataFrame([([5],)], "lens array<bigint>").select(P.doc_ids("lens", 4)).collect()
     assert P.mask_pairs(small, 8).collect()[0].allowed == 9
     assert [(r.cu_start, r.cu_end, r.max_len) for r in P.cu_seqlens(small).orderBy("ord").collect()] == [(0, 3, 3), (3, 5, 3)]
 
@@ -74,22 +78,48 @@ def test_window_tiling(spark):
     got = [tuple(r)[2:] for r in W.tile(seq).where("id = 1").orderBy("win").collect()]
     assert got == [(0, 1024, 64, 0, 256), (1024, 1024, 64, 256, 256), (2048, 452, 29, 256, 0)]
     assert {r.right for r in W.tile(seq, bidirectional=False).collect()} == {0}
-    assert {r.id: (r.n_windows, r.n_latents) for r in W.regroup(seq, W.tile(seq)).collect()} == {1: (3, 157), 2: (0, 1), 3: (1, 64)}
+    assert {r.id: r.n for r in W.tile(seq).groupBy("id").agg(F.sum("n_latent").alias("n")).collect()} == {1: 157, 3: 64}
     with pytest.raises(ValueError):
         W.tile(seq, window=1000)
 
 
-def test_pooling(spark):
-    v = spark.createDataFrame([(1, [1.0, 3.0, 5.0]), (2, [])], "id bigint, vec array<float>")
-    assert [(r.grp, r.value) for r in W.pool_mean(v, 2).orderBy("grp").collect()] == [(0, 2.0), (1, 5.0)]
-    assert [r["values"] for r in W.pool_concat(v, 2).orderBy("grp").collect()] == [[1.0, 3.0], [5.0, 0.0]]
+def test_window_ids(spark):
+    seq = spark.createDataFrame([(1, list(range(1, 26))), (2, []), (3, None), (4, [7])], "id bigint, ids array<bigint>")
+    got = {(r.id, r.win): r for r in W.window_ids(seq, True, 10, 3, 5).collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (1, 2), (4, 0)]
+    assert got[1, 1].window_ids == list(range(8, 24)) + [0, 0] and (got[1, 1].pool_start, got[1, 1].pool_len, got[1, 1].markers) == (3, 10, [16, 17])
+    assert got[1, 2].window_ids == list(range(18, 26)) + [0] and got[4, 0].window_ids == [7, 0] and got[4, 0].markers == [1]
+    assert {r.win: len(r.window_ids) for r in W.window_ids(seq.where("id = 1"), False, 10, 3, 5, False).collect()} == {0: 10, 1: 13, 2: 8}
+    batches = W.left_pad(W.window_ids(seq, False, 10, 3, 5), 3).orderBy("id", "win").collect()
+    assert [r.batch for r in batches] == [0, 0, 0, 1] and [len(r.input_ids) for r in batches] == [16, 16, 16, 1]
+    assert batches[2].attention_mask == [0] * 8 + [1] * 8 and batches[2].position_ids == [0] * 8 + list(range(8)) and batches[2].input_ids == [0] * 8 + list(range(18, 26))
 
 
-def test_splice_needs_as_many_latents(spark):
-    spans = spark.createDataFrame([(1, 0, 3, 5)], "id bigint, region bigint, start bigint, end bigint")
-    latents = spark.createDataFrame([(1, 0, 0, 0.5)], "id bigint, region bigint, slot bigint, value double")
-    with pytest.raises(Exception, match="as many latents"):
-        W.splice(spans, latents).collect()
+def test_pooling(spark):
+    h = spark.createDataFrame([(1, 0, [1.0, 1.0]), (1, 1, [3.0, 3.0]), (1, 2, [5.0, 5.0]), (2, 0, [2.0, 4.0])], "id bigint, pos bigint, vec array<float>")
+    of = lambda df: {(r.id, r.grp): r.vec for r in df.collect()}
+    assert of(W.pool_mean(h, ["id"], 2)) == {(1, 0): [2.0, 2.0], (1, 1): [5.0, 5.0], (2, 0): [2.0, 4.0]}
+    assert of(W.pool_concat(h, ["id"], 2)) == {(1, 0): [1.0, 1.0, 3.0, 3.0], (1, 1): [5.0, 5.0, 0.0, 0.0], (2, 0): [2.0, 4.0, 0.0, 0.0]}
+    assert of(W.pool_eos(h, spark.createDataFrame([(1, [1, 2])], "id bigint, markers array<bigint>"), ["id"])) == {(1, 0): [3.0, 3.0], (1, 1): [5.0, 5.0]}
+    samples = spark.createDataFrame([(1,), (2,), (3,)], "id bigint")
+    back = {r.id: r.latents for r in W.regroup(samples, W.pool_mean(h, ["id"], 2).withColumn("win", F.lit(0)), 2).collect()}
+    assert back == {1: [[2.0, 2.0], [5.0, 5.0]], 2: [[2.0, 4.0]], 3: [[0.0, 0.0]]}
+    seg = spark.createDataFrame([("a", 1, [[1.0], [2.0]]), ("a", 2, [[3.0]]), (None, 3, [[4.0]])], "b string, id bigint, latents array<array<double>>")
+    assert {(r.b, r.id, r.slot): (r.vec, r["mask"]) for r in W.segment_pad(seg, "b", 1).collect()} == {("a", 1, 0): ([1.0], 1), ("a", 1, 1): ([2.0], 1), ("a", 2, 0): ([3.0], 1), ("a", 2, 1): ([0.0], 0), (None, 3, 0): ([4.0], 1)}
+    assert W.pool_mean(h.limit(0), ["id"], 2).count() == 0
+
+
+def test_splice(spark):
+    embeds = spark.createDataFrame([(1, i, [float(i)]) for i in range(5)], "id bigint, pos bigint, vec array<double>")
+    spans = spark.createDataFrame([(1, 0, 1, 3)], "id bigint, region bigint, start bigint, end bigint")
+    two = spark.createDataFrame([(1, 0, 0, [10.0]), (1, 0, 1, [11.0])], "id bigint, region bigint, slot bigint, vec array<double>")
+    of = lambda df: [r.vec[0] for r in df.orderBy("pos").collect()]
+    assert of(W.splice(embeds, spans, two)) == [0.0, 10.0, 11.0, 3.0, 4.0]
+    for wrong in (two.limit(1), two.unionByName(two.where("slot = 1").withColumn("slot", F.lit(2).cast("bigint")))):
+        with pytest.raises(Exception, match="as many latents"):
+            W.splice(embeds, spans, wrong).collect()
+    assert of(W.splice(embeds, spans, two.where("slot = 0"), strict=False)) == [0.0, 10.0, 2.0, 3.0, 4.0]
+    assert of(W.splice(embeds, spans.withColumn("end", F.lit(2).cast("bigint")), two, strict=False)) == [0.0, 10.0, 2.0, 3.0, 4.0]
 
 
 def test_order(spark):
