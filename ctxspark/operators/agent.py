@@ -1,7 +1,8 @@
 """The rounds of opening passages and answering, over a table of samples.
 
-All samples take a round together: one projection makes prompts, asks the responder and reads its directive. A round's
-table is written, so the plan of the next begins there and a lost executor costs one round at most.
+All samples take a round together: one projection makes prompts, asks the responder and reads its directive. Passages are written once; a round's
+table holds what changes (what is open, what was said) of the samples that are not done, so a lost executor costs one round at most and the
+rounds end when every sample has ended.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ctxspark import constants as C
 from ctxspark.functions import parsing as P
 from ctxspark.functions import text as T
 from ctxspark.operators import passages as G
@@ -18,95 +20,130 @@ from ctxspark.plans.stage import written
 
 #: Takes the prompt and the number of passages, gives the response. A model is a vectorised UDF with this shape.
 Responder = Callable[[Column, Column], Column]
+#: Takes the true answers and the response, gives a score.
+Scorer = Callable[[Column, Column], Column]
 
-STEP = "struct<round:int,action:string,indices:array<bigint>,answer:string,raw:string,n_opened:int>"
+STATS = "struct<compressed:bigint,uncompressed:bigint,savings_pct:double>"
+STEP = f"struct<round:int,action:string,indices:array<bigint>,answer:string,raw:string,n_opened:int,stats:{STATS}>"
+TURN = "struct<raw:string,new:array<bigint>,left:int>"
+OPENED = r"(?s)\[(?:Open passages|Opened)\]\n(?:Passage \d+:\n)?(.{0,40})"
+ASK = "No rounds are left: write `ANSWER: <answer>` now."
 
 
 def echo_responder(prompt: Column, n: Column) -> Column:
     """A deterministic stand-in: opens two passages the prompt's length picks, then answers with what the first open one begins with."""
-    text = F.regexp_extract(prompt, r"(?s)\[(?:Open passages|Opened)\]\n(?:Passage \d+:\n)?(.{0,40})", 1)
+    text = F.regexp_extract(prompt, OPENED, 1)
     pick = F.length(prompt) % n
     return F.when(text != "", F.concat(F.lit("ANSWER: "), text)).otherwise(F.concat(F.lit("EXPAND: "), pick + 1, F.lit(", "), (pick + 1) % n + 1))
 
 
-def _start(samples: DataFrame) -> DataFrame:
+def prompt_stats(prompt: Column, ratio: int = C.RATIO) -> Column:
+    """Struct (compressed, uncompressed, savings_pct) of a prompt: its tokens with latents, those with the regions' text, what is saved in percent."""
+    zero = F.lit(0).cast("bigint")
+    total = lambda a: F.aggregate(a, zero, lambda s, x: s + x)
+    real = total(F.transform(T.outside_parts(prompt), T.n_tokens)) + 2 * F.size(T.regions(prompt))
+    short, long = real + total(T.region_latents(prompt, ratio)), real + total(F.transform(T.regions(prompt), T.n_embed_tokens))
+    return F.struct(short.alias("compressed"), long.alias("uncompressed"), F.when(long > 0, F.round((1 - short / long) * 100, 1)).otherwise(F.lit(0.0)).alias("savings_pct"))
+
+
+def _fresh() -> dict[str, Column]:
+    none = F.array().cast("array<bigint>")
+    return {"opened": none, "done": F.lit(False), "response": F.lit(None).cast("string"), "steps": F.array().cast(f"array<{STEP}>"), "turns": F.array().cast(f"array<{TURN}>")}
+
+
+STATE = ["id", "n", "opened", "done", "response", "steps", "turns"]
+
+
+def _step(action: Column, indices: Column, answer: Column) -> Column:
+    return F.struct((F.size("steps") + 1).alias("round"), action.alias("action"), indices.alias("indices"), answer.alias("answer"), F.col("raw").alias("raw"), F.size("opened").alias("n_opened"), F.col("stats").alias("stats")).cast(STEP)
+
+
+def _advance(state: DataFrame, prompt: Column, responder: Responder, left: int) -> DataFrame:
+    """One round of samples that aren't done."""
+    s = state.withColumn("prompt", prompt)
+    s = s.withColumns({"raw": P.clean_response(responder(F.col("prompt"), F.col("n"))), "stats": prompt_stats(F.col("prompt"))}).withColumn("p", P.parse_round("raw", F.col("n")))
+    s = s.withColumn("demoted", (F.col("p.action") == "answer") & (F.size("opened") == 0))
     none = F.array().cast("array<bigint>")
-    return samples.select("id", "prefix", "passages", "question", F.size("passages").alias("n")).where("n > 0").withColumns({"opened": none, "done": F.lit(False), "response": F.lit(None).cast("string"), "steps": F.array().cast(f"array<{STEP}>")})
-
-
-def _advance(state: DataFrame, raw: Column, left: int) -> DataFrame:
-    """Reads one response of every sample that isn't done."""
-    s = state.withColumn("raw", F.when(~F.col("done"), P.clean_response(raw)))
-    s = s.withColumn("p", P.parse_round("raw", F.col("n")))
-    demoted = (F.col("p.action") == "answer") & (F.size("opened") == 0)
-    s = s.withColumn("demoted", ~F.col("done") & demoted)
-    asked = F.when(F.col("demoted"), P.forced_expand("raw", F.col("n"))).otherwise(F.coalesce("p.indices", F.array().cast("array<bigint>")))
-    s = s.withColumn("new", F.array_except(asked, F.col("opened")))
-    answered = ~F.col("done") & ~F.col("demoted") & (F.col("p.action") == "answer")
-    stuck = ~F.col("done") & (F.col("p.action") == "expand") & ((F.size("new") == 0) | F.lit(left == 0))
-    step = F.struct(
-        (F.size("steps") + 1).alias("round"), F.when(F.col("demoted"), "answer_demoted_to_expand").otherwise(F.col("p.action")).alias("action"),
-        F.when(F.col("demoted"), asked).otherwise(F.col("p.indices")).alias("indices"), F.col("p.answer").alias("answer"), F.col("raw").alias("raw"), F.size("opened").alias("n_opened"),
-    ).cast(STEP)
-    opens = ~F.col("done") & ~answered & ~stuck
+    s = s.withColumn("asked", F.when(F.col("demoted"), P.forced_expand("raw", F.col("n"))).otherwise(F.coalesce("p.indices", none)))
+    s = s.withColumn("new", F.array_except("asked", F.col("opened")))
+    answered = ~F.col("demoted") & (F.col("p.action") == "answer")
+    stuck = ~answered & ~F.col("demoted") & ((F.size("new") == 0) | F.lit(left == 0))
+    step = _step(F.when(F.col("demoted"), "answer_demoted_to_expand").otherwise(F.col("p.action")), F.when(F.col("demoted"), F.col("asked")).otherwise(F.col("p.indices")), F.col("p.answer"))
+    opens = ~answered & ~stuck
+    new = F.when(opens, F.col("new")).otherwise(none)
     return s.select(
-        "id", "prefix", "passages", "question", "n", *(["messages"] if "messages" in state.columns else []),
-        F.when(opens, F.array_sort(F.array_union("opened", "new"))).otherwise(F.col("opened")).alias("opened"),
-        F.when(opens, F.col("new")).otherwise(F.array().cast("array<bigint>")).alias("new"), "raw",
-        (F.col("done") | answered | stuck).alias("done"),
-        F.when(answered, F.col("p.answer")).otherwise(F.col("response")).alias("response"),
-        F.when(F.col("done"), F.col("steps")).otherwise(F.concat("steps", F.array(step))).alias("steps"),
+        "id", "n", F.when(opens, F.array_sort(F.array_union("opened", "new"))).otherwise(F.col("opened")).alias("opened"), (answered | stuck).alias("done"), F.when(answered, F.col("p.answer")).alias("response"),
+        F.concat("steps", F.array(step)).alias("steps"), F.concat("turns", F.array(F.struct(F.coalesce("raw", F.lit("")).alias("raw"), new.alias("new"), F.lit(left).alias("left")).cast(TURN))).alias("turns"),
     )
 
 
-def _finish(state: DataFrame, raw: Column) -> DataFrame:
-    """Asks the samples without an answer for one, and gives the results."""
-    s = state.withColumn("raw", F.when(F.col("response").isNull(), P.clean_response(raw)))
-    s = s.withColumn("p", P.parse_round("raw", F.col("n")))
-    forced = F.col("response").isNull()
+def _force(state: DataFrame, prompt: Column, responder: Responder) -> DataFrame:
+    """Asks samples without an answer for one."""
+    s = state.withColumn("prompt", prompt)
+    s = s.withColumns({"raw": P.clean_response(responder(F.col("prompt"), F.col("n"))), "stats": prompt_stats(F.col("prompt"))}).withColumn("p", P.parse_round("raw", F.col("n")))
     answer = F.coalesce("p.answer", "raw")
-    step = F.struct((F.size("steps") + 1).alias("round"), F.lit("forced_answer").alias("action"), F.lit(None).cast("array<bigint>").alias("indices"), answer.alias("answer"), F.col("raw").alias("raw"), F.size("opened").alias("n_opened")).cast(STEP)
-    out = s.withColumn("steps", F.when(forced, F.concat("steps", F.array(step))).otherwise(F.col("steps")))
-    return out.select("id", F.col("n").alias("n_passages"), F.size("steps").alias("n_rounds"), F.transform("opened", lambda i: i + 1).alias("opened"), F.when(forced, answer).otherwise(F.col("response")).alias("response"), "steps")
+    step = _step(F.lit("forced_answer"), F.lit(None).cast("array<bigint>"), answer)
+    return s.select("id", "n", "opened", F.lit(True).alias("done"), answer.alias("response"), F.concat("steps", F.array(step)).alias("steps"), "turns")
+
+
+def _loop(samples: DataFrame, prompt: Callable[[int], Column], last: Column, responder: Responder, rounds: int) -> DataFrame:
+    """All rounds; ``prompt`` gives the prompt by the rounds left, ``last`` is that of the forced answer."""
+    base = written(samples.select("id", "prefix", "passages", "question", F.size("passages").alias("n")).where("n > 0"), "agent-samples")
+    state = base.withColumns(_fresh())
+    done = []
+    for r in range(rounds):
+        left = rounds - r - 1
+        now = written(_advance(state, prompt(left), responder, left), "agent")
+        done.append(now.where("done"))
+        going = now.where("not done")
+        state = base.join(going.drop("n"), "id")
+        if going.isEmpty():
+            break
+    out = state.select(*STATE)
+    for d in done:
+        out = out.unionByName(d.select(*STATE))
+    answered, open_ = out.where("response is not null"), base.join(out.where("response is null").drop("n"), "id")
+    every = answered.unionByName(_force(open_, last, responder))
+    return every.select("id", F.col("n").alias("n_passages"), F.size("steps").alias("n_rounds"), F.transform("opened", lambda i: i + 1).alias("opened"), "response", F.element_at("steps", -1)["stats"].alias("answer_stats"), "steps")
 
 
 def agent_loop(samples: DataFrame, responder: Responder = echo_responder, rounds: int = 5) -> DataFrame:
-    """(id, n_passages, n_rounds, opened, response, steps) of samples (id, prefix, passages, question).
+    """(id, n_passages, n_rounds, opened, response, answer_stats, steps) of samples (id, prefix, passages, question).
 
     Each round's prompt is built anew. An answer before any passage is open opens those it names instead; asking for nothing
-    new, or in the last round, leads to a forced answer. ``opened`` is 1-based. Samples without passages have no row.
+    new, or in the last round, leads to a forced answer. ``opened`` is 1-based. Samples without passages have no row. A step has the round's number, action, indices,
+    answer, raw response, number of passages open before it and the prompt's ``stats``; ``answer_stats`` are those of the answer.
     """
-    s = _start(samples)
-    for r in range(rounds):
-        left = rounds - r - 1
-        prompt = G.prompt_round(F.col("prefix"), F.col("passages"), F.col("opened"), F.col("question"), F.lit(left))
-        s = written(_advance(s.drop("raw", "new"), responder(prompt, F.col("n")), left), "agent")
-    last = G.prompt_round(F.col("prefix"), F.col("passages"), F.col("opened"), F.col("question"), F.lit(0))
-    return _finish(s, responder(F.concat(last, F.lit("\n\nNo rounds are left: write `ANSWER: <answer>` now.")), F.col("n")))
+    prompt = lambda left: G.prompt_round(F.col("prefix"), F.col("passages"), F.col("opened"), F.col("question"), F.lit(left))
+    return _loop(samples, prompt, F.concat(prompt(0), F.lit("\n\n" + ASK)), responder, rounds)
 
 
 def agent_loop_chat(samples: DataFrame, responder: Responder = echo_responder, rounds: int = 5) -> DataFrame:
-    """The same as a growing conversation: regions only in the first user message, opened passages as later ones."""
-    s = _start(samples).withColumn("messages", G.chat_init(F.col("prefix"), F.col("passages"), F.col("question"), rounds))
-    for r in range(rounds):
-        left = rounds - r - 1
-        s = _advance(s.drop("raw", "new"), responder(T.render_chat("messages"), F.col("n")), left)
-        said = F.struct(F.lit("assistant").alias("role"), F.coalesce("raw", F.lit("")).alias("content"))
-        told = F.struct(F.lit("user").alias("role"), G.tool_result(F.col("passages"), F.col("new"), F.lit(left)).alias("content"))
-        more = F.when(F.col("raw").isNull(), F.col("messages")).when(F.size("new") > 0, F.concat("messages", F.array(said, told))).otherwise(F.concat("messages", F.array(said)))
-        s = written(s.withColumn("messages", more), "agent")
-    ask = F.struct(F.lit("user").alias("role"), F.lit("No rounds are left: write `ANSWER: <answer>` now.").alias("content"))
-    return _finish(s, responder(T.render_chat(F.concat("messages", F.array(ask))), F.col("n")))
+    """The same as a growing conversation: regions only in the first user message, opened passages as later ones. Messages are made of the turns when they are needed."""
+
+    def turn(t: Column) -> Column:
+        said = F.struct(F.lit("assistant").alias("role"), t["raw"].alias("content"))
+        told = F.struct(F.lit("user").alias("role"), G.tool_result(F.col("passages"), t["new"], t["left"]).alias("content"))
+        return F.when(F.size(t["new"]) > 0, F.array(said, told)).otherwise(F.array(said))
 
+    messages = F.concat(G.chat_init(F.col("prefix"), F.col("passages"), F.col("question"), rounds), F.flatten(F.transform("turns", turn)))
+    ask = F.array(F.struct(F.lit("user").alias("role"), F.lit(ASK).alias("content")))
+    return _loop(samples, lambda left: T.render_chat(messages), T.render_chat(F.concat(messages, ask)), responder, rounds)
 
-def run_samples(samples: DataFrame, flow: Column, responder: Responder = echo_responder, rounds: int = 5, size: int = 450) -> DataFrame:
-    """(id, flow, n_passages, n_rounds, opened, response) of samples (id, input): prefix, body and question are its lines.
 
-    ``flow`` is ``compressed``, one region and one answer, or ``agent``, passages and rounds.
+def run_samples(samples: DataFrame, flow: Column, responder: Responder = echo_responder, rounds: int = 5, size: int = 450, scorer: Scorer = P.score_match_all) -> DataFrame:
+    """(id, subtask, flow, n_passages, n_rounds, opened, steps, response, expected, metrics, answer_stats) of samples (id, subtask, input, outputs): prefix, body and question are the input's lines.
+
+    ``flow`` is ``compressed``, one region and one answer, or ``agent``, passages and rounds; a sample whose body has no passages has no row in the latter. ``metrics`` is a map with the ``score``
+    of the response against ``outputs``, the ``expected`` answers.
     """
-    p = samples.select("id", flow.alias("flow"), P.sample_lines("input").alias("l")).select("id", "flow", "l.*")
-    whole = p.where("flow = 'compressed'").select("id", "flow", F.lit(1).alias("n_passages"), F.lit(0).alias("n_rounds"), F.array().cast("array<bigint>").alias("opened"), P.clean_response(responder(G.prompt_single_block(F.col("prefix"), F.col("body"), F.col("question")), F.lit(1))).alias("response"))
+    p = written(samples.select("id", "subtask", "outputs", flow.alias("flow"), P.sample_lines("input").alias("l")).select("id", "subtask", "outputs", "flow", "l.*"), "samples")
+    none = F.array().cast("array<bigint>")
+    whole = p.where("flow = 'compressed'").withColumn("prompt", G.prompt_single_block(F.col("prefix"), F.col("body"), F.col("question")))
+    whole = whole.select("id", F.lit(1).alias("n_passages"), F.lit(0).alias("n_rounds"), none.alias("opened"), P.clean_response(responder(F.col("prompt"), F.lit(1))).alias("response"), prompt_stats(F.col("prompt")).cast(STATS).alias("answer_stats"), F.array().cast(f"array<{STEP}>").alias("steps"))
     ours = p.where("flow = 'agent'")
     cut = G.passages_of(G.chunk_sentences(ours.select("id", F.col("body").alias("text")), size))
-    loop = agent_loop(ours.join(cut, "id"), responder, rounds)
-    return whole.unionByName(loop.select("id", F.lit("agent").alias("flow"), "n_passages", "n_rounds", "opened", "response"))
+    loop = agent_loop(ours.select("id", "prefix", "question").join(cut, "id"), responder, rounds)
+    results = whole.unionByName(loop).join(p.select("id", "subtask", "flow", F.col("outputs").alias("expected")), "id")
+    metrics = F.create_map(F.lit("score"), scorer(F.col("expected"), F.col("response")))
+    return results.select("id", "subtask", "flow", "n_passages", "n_rounds", "opened", "steps", "response", "expected", metrics.alias("metrics"), "answer_stats")

@@ -61,7 +61,7 @@ def pack_next_fit(items: DataFrame, limit: int = C.PACK) -> DataFrame:
     sized = written(items.select("shard", F.col("ord").cast("string").alias("ord"), F.col("id").cast("bigint").alias("id"), F.col("n").cast("bigint").alias("n")), "pack-items")
     kept = sized.where((F.col("n") <= limit) & F.col("n").isNotNull()).select(F.coalesce("shard", F.lit("")).alias("shard"), F.col("shard").isNull().alias("no_shard"), "ord", "id", "n")
     keys = ["no_shard", "shard", "ord", "id"]
-    ranged = kept.repartitionByRange(range_parts(sized), *keys).withColumn("block", F.spark_partition_id())
+    ranged = kept.repartitionByRange(range_parts(sized, each=16 << 20), *keys).withColumn("block", F.spark_partition_id())
     blocks = written(ranged, "pack-blocks")
     order = [(k, "ascending") for k in keys]
 

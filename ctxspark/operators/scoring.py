@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ctxspark.functions import parsing as P
 from ctxspark.plans.prefix import running
+from ctxspark.plans.stage import written
 
-NEEDLES_AT_ONCE = 100_000
+#: Characters of needles in one automaton, of about 50 bytes each.
+NEEDLE_CHARS = 2 << 20
 
 
 def scored(completions: DataFrame) -> DataFrame:
@@ -30,9 +32,14 @@ def macro_mean(means: DataFrame) -> DataFrame:
 
 
 def metric_aggregate(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """(key..., metric, n_with, mean) of rows with a map ``metrics``: the mean over rows that have the metric, nulls aside."""
-    e = metrics.select(*keys, F.explode("metrics").alias("metric", "value")).where("value is not null and not isnan(value)")
-    return e.groupBy(*keys, "metric").agg(F.count("*").alias("n_with"), F.avg("value").alias("mean"))
+    """(key..., metric, n_with, mean) of rows with a map ``metrics``: the mean over rows that have the metric, nulls aside.
+
+    NaN is a value and makes a mean NaN. The metric ``__n__`` has the number of rows as its mean, whatever they hold.
+    """
+    e = metrics.select(*keys, F.explode("metrics").alias("metric", "value")).where("value is not null")
+    means = e.groupBy(*keys, "metric").agg(F.count("*").alias("n_with"), F.avg("value").alias("mean"))
+    every = metrics.groupBy(*keys).agg(F.count("*").alias("n_with")).select(*keys, F.lit("__n__").alias("metric"), "n_with", F.col("n_with").cast("double").alias("mean"))
+    return means.unionByName(every)
 
 
 def running_score(scores: DataFrame, by: str, order: list[str]) -> DataFrame:
@@ -41,22 +48,24 @@ def running_score(scores: DataFrame, by: str, order: list[str]) -> DataFrame:
     return r.withColumn("running", F.col("__sum") / F.col("__n")).drop("__sum", "__n")
 
 
-def contained_needles(texts: DataFrame, needles: DataFrame, at_once: int = NEEDLES_AT_ONCE) -> DataFrame:
+def contained_needles(texts: DataFrame, needles: DataFrame, at_once: int = NEEDLE_CHARS) -> DataFrame:
     """(id, needle_id): every needle (needle_id, needle) that a text (id, text) contains, whatever the case.
 
-    One pass over the texts with an automaton of all needles in place of a join of all pairs. The automaton is broadcast and holds ``at_once`` needles;
-    more of them take several passes. Null and empty needles and null texts match nothing.
+    One pass over the texts with an automaton of all needles in place of a join of all pairs. The automaton is broadcast and holds ``at_once`` characters of
+    needles, and one needle more at most; more of them take several passes. Null and empty needles and null texts match nothing.
     """
     import ahocorasick
 
     spark = texts.sparkSession
-    real = needles.where("needle_id is not null and needle <> ''").distinct()
-    blocks = max(1, -(-real.count() // at_once))
-    found = None
-    for b in range(blocks):
+    real = written(needles.where("needle_id is not null and needle <> ''").select(F.col("needle_id").cast("bigint").alias("needle_id"), "needle").distinct(), "needles")
+    sums = running(real.withColumn("all", F.lit(0)), ["all"], ["needle_id", "needle"], {"sum": F.length("needle")})
+    turns = written(sums.select("needle_id", "needle", ((F.col("sum") - 1) / at_once).cast("bigint").alias("turn")), "needle-turns")
+    n = turns.agg(F.max("turn")).collect()[0][0]
+    found = spark.createDataFrame([], "id bigint, needle_id bigint") if n is None else None
+    for t in range(0 if n is None else n + 1):
         a = ahocorasick.Automaton()
         by: dict[str, list[int]] = {}
-        for r in (real.where(F.pmod(F.xxhash64("needle_id"), F.lit(blocks)) == b) if blocks > 1 else real).collect():
+        for r in turns.where(F.col("turn") == t).collect():
             by.setdefault(r["needle"].lower(), []).append(r["needle_id"])
         for word, ids in by.items():
             a.add_word(word, ids)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ctxspark.plans.prefix import running
+
 KEY = ["run_name", "step", "rank"]
 
 
@@ -36,24 +38,40 @@ def per_step(log: DataFrame) -> DataFrame:
     )
 
 
-def by_step() -> Window:
-    return Window.partitionBy("run_name").orderBy("step")
+def _numbered(steps: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``steps`` with ``__i``, their number in the run from 1, and running sums; a run may hold any share of the steps."""
+    return running(steps, ["run_name"], ["step"], {"__i": F.lit(1)} | sums)
+
+
+def _earlier(steps: DataFrame, by: int, columns: list[str]) -> DataFrame:
+    """(run, number, columns) as they were ``by`` steps before, to be joined by run and number."""
+    return steps.select(F.col("run_name").alias("__run"), (F.col("__i") + by).alias("__at"), *(F.col(c).alias(f"{c}_then") for c in columns))
+
+
+def _with_earlier(steps: DataFrame, by: int, columns: list[str]) -> DataFrame:
+    then = _earlier(steps, by, columns)
+    return steps.join(then, F.col("run_name").eqNullSafe(F.col("__run")) & (F.col("__i") == F.col("__at")), "left").drop("__run", "__at")
 
 
 def throughput(steps: DataFrame) -> DataFrame:
-    """(run_name, step, dt, tokens_per_sec) from a run's second step on; null where no time passed."""
-    s = steps.withColumn("dt", F.col("t_sec") - F.lag("t_sec").over(by_step())).where("dt is not null")
+    """(run_name, step, dt, tokens_per_sec) from a run's second step on; null where no time passed.
+
+    Steps meet those before them by their numbers, so a run's steps are not sorted in one task.
+    """
+    s = _with_earlier(_numbered(steps, {}), 1, ["t_sec"]).withColumn("dt", F.col("t_sec") - F.col("t_sec_then")).where("dt is not null")
     return s.select("run_name", "step", "dt", F.when(F.col("dt") > 0, F.col("tokens") / F.col("dt")).alias("tokens_per_sec"))
 
 
 def running_loss(steps: DataFrame, last: int = 100) -> DataFrame:
-    """``running``: the mean of the losses of the last ``last`` steps with one."""
-    return steps.where("loss is not null").withColumn("running", F.avg("loss").over(by_step().rowsBetween(-(last - 1), 0)))
+    """``running``: the mean of the losses of the last ``last`` steps with one, as the difference of two running sums."""
+    s = _with_earlier(_numbered(steps.where("loss is not null"), {"__sum": F.col("loss")}), last, ["__sum"])
+    mean = (F.col("__sum") - F.coalesce("__sum_then", F.lit(0.0))) / F.least(F.col("__i"), F.lit(last))
+    return s.withColumn("running", mean).drop("__i", "__sum", "__sum_then")
 
 
 def examples_seen(steps: DataFrame, batch: int) -> DataFrame:
     """``seen``: examples up to a step, batch times ranks summed."""
-    return steps.withColumn("seen", F.sum(F.col("n_ranks") * batch).over(by_step().rowsBetween(Window.unboundedPreceding, 0)))
+    return running(steps, ["run_name"], ["step"], {"seen": F.col("n_ranks") * batch})
 
 
 def skip_ranges(text: str) -> list[tuple[int, int]]:
@@ -72,13 +90,23 @@ def skipped(steps: DataFrame, text: str, anti: bool = False) -> DataFrame:
     return steps.join(F.broadcast(ranges), steps["step"].between(F.col("first"), F.col("last")), "left_anti" if anti else "left_semi")
 
 
-def learning_rate(step: Column, base: float, warmup: int, total: int, least: float = 0.0, fraction: float = 1.0) -> Column:
-    """Linear warm-up, then half a cosine down to ``least`` over ``fraction`` of the rest, then constant."""
+def learning_rate(step: Column, base: float, warmup: int, total: int, least: float = 0.0, fraction: float = 1.0, world: int = 1) -> Column:
+    """Linear warm-up, then half a cosine down to ``least`` over ``fraction`` of the rest, then constant.
+
+    ``warmup`` and ``total`` count optimizer steps of one process; a schedule that is stepped by ``world`` processes has as many times more.
+    """
+    warmup, total = warmup * world, total * world
     decay = int((total - warmup) * fraction)
     cosine = 0.5 * (1 + F.cos(math.pi * (step - warmup) / max(1, decay)))
     return F.when(step <= warmup, base * step / max(1, warmup)).when(step <= warmup + decay, least + (base - least) * cosine).otherwise(F.lit(least))
 
 
+def resume_position(step: Column, batch: int, accumulated: int, file_ord: Column, row_ord: Column, rows_in_first: Column) -> Column:
+    """Struct (by_steps, by_cursor, apart): examples read by the count of steps, and by the cursor if all files are as long as the first."""
+    by_steps, by_cursor = step * batch * accumulated, file_ord * rows_in_first + row_ord
+    return F.struct(by_steps.cast("bigint").alias("by_steps"), by_cursor.cast("bigint").alias("by_cursor"), F.abs(by_steps - by_cursor).cast("bigint").alias("apart"))
+
+
 def checkpoint_step(name: Column) -> Column:
     """The step a checkpoint's name ends with, null for other names."""
     return F.nullif(F.regexp_extract(name, r"_(?:step_)?(\d+)$", 1), F.lit("")).cast("bigint")

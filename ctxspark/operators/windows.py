@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from ctxspark.operators.sequences import repeated
 from ctxspark.plans.prefix import running
 
 
+#: Takes windows (id, win, window_ids), gives hidden states (id, win, pos, vec). A model is a mapInArrow with this shape.
+Encoder = Callable[[DataFrame], DataFrame]
+
+
 def check_config(pooling: str, window: int, ratio: int) -> None:
     """Raises if windows could not be pooled into whole latents."""
     if pooling not in {"eos", "mean", "concat"}:
@@ -145,3 +151,25 @@ def segment_pad(segments: DataFrame, batch: str, width: int) -> DataFrame:
     j = segments.join(most, segments[batch].eqNullSafe(F.col("__b"))).where("__to > 0")
     slots = F.transform(F.sequence(F.lit(0), F.col("__to") - 1), lambda i: F.struct(i.cast("bigint").alias("slot"), F.coalesce(doubles(F.get("latents", i)), zero).alias("vec"), F.when(i < F.size("latents"), 1).otherwise(0).cast("bigint").alias("mask")))
     return j.select(batch, "id", F.explode(slots).alias("s")).select(batch, "id", "s.*")
+
+
+def id_encoder(windows: DataFrame) -> DataFrame:
+    """A deterministic stand-in: four remainders of each id."""
+    at = windows.select("id", "win", F.posexplode("window_ids").alias("pos", "x"))
+    return at.select("id", "win", F.col("pos").cast("bigint").alias("pos"), F.array(*((F.col("x") % m).cast("double") for m in (97, 89, 83, 79))).alias("vec"))
+
+
+def encode(sequences: DataFrame, encoder: Encoder = id_encoder, width: int = 4, pooling: str = "mean", window: int = C.WINDOW, overlap: int = C.OVERLAP, ratio: int = C.RATIO, bidirectional: bool = True) -> DataFrame:
+    """(id, n_latents, latents) of sequences (id, ids): windows with their context, encoded, pooled and put together again for each sequence.
+
+    Context is encoded but not pooled. ``width`` is that of a latent: of a hidden state, times the ratio for ``concat``. Sequences without ids have one zero vector.
+    """
+    check_config(pooling, window, ratio)
+    w = window_ids(sequences, pooling == "eos", window, overlap, ratio, bidirectional)
+    hidden, keys = encoder(w.select("id", "win", "window_ids")), ["id", "win"]
+    if pooling == "eos":
+        latents = pool_eos(hidden, w, keys)
+    else:
+        inner = hidden.join(w.select("id", "win", "pool_start", "pool_len"), keys).withColumn("pos", F.col("pos") - F.col("pool_start")).where("pos >= 0 and pos < pool_len")
+        latents = (pool_mean if pooling == "mean" else pool_concat)(inner, keys, ratio)
+    return regroup(sequences, latents, width)

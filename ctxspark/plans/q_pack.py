@@ -251,6 +251,17 @@ def left_pad_batch(t: Tables) -> DataFrame:
     return w.select("id", "win", "batch", digest("input_ids").alias("ids_md5"), F.size("input_ids").cast("bigint").alias("length"), masked.alias("n_masked"), digest("position_ids").alias("positions_md5"))
 
 
+ENCODED = f"""{WINDOWS}, e AS (SELECT id, start_pos + o AS pos, win, o // 16 AS grp, unnest([97, 89, 83, 79]) AS m, unnest([1, 2, 3, 4]) AS d, ids[start_pos + o + 1] AS x FROM (SELECT w.*, ids, unnest(range(pool_len)) AS o FROM w JOIN dd USING (id))),
+l AS (SELECT id, win, grp, d, round(avg(x % m) * 100000)::BIGINT AS v FROM e GROUP BY ALL)"""
+
+
+@query(f"WITH {ENCODED} SELECT s.id, coalesce(count(v) // 4, 0) + (count(v) = 0)::INT AS n_latents, md5(coalesce(string_agg(v, ',' ORDER BY win, grp, d), '0,0,0,0')) AS latents_md5 FROM s LEFT JOIN l USING (id) GROUP BY s.id")
+def encode_regions(t: Tables) -> DataFrame:
+    """Every document through windows, encoder, pooling and regrouping."""
+    latents = W.encode(id_sequences(t))
+    return latents.select("id", "n_latents", F.md5(round_vec(F.flatten("latents"))).alias("latents_md5"))
+
+
 @query(f"WITH {TILE}, j AS (SELECT s.id, w.win FROM s JOIN w USING (id)) SELECT id, count(*) AS n FROM j GROUP BY id")
 def join_owner(t: Tables) -> DataFrame:
     """Windows joined to the sequences that own them."""

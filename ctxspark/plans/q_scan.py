@@ -46,8 +46,7 @@ def scan_packed(t: Tables) -> DataFrame:
 
 @query("SELECT 'raw_rows' AS tbl, count(*) AS n FROM raw_rows UNION ALL SELECT 'base_examples', count(*) FROM base_examples UNION ALL SELECT 'documents', count(*) FROM documents")
 def row_count_meta(t: Tables) -> DataFrame:
-    count = lambda name: getattr(t, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "n")
-    return count("raw_rows").unionByName(count("base_examples")).unionByName(count("documents"))
+    return S.row_counts(t.spark, {n: f"{t.path}/{n}.parquet" for n in ("raw_rows", "base_examples", "documents")})
 
 
 @query("SELECT category, count(*) AS n FROM benchmark_rows WHERE category LIKE 'memwrap/ruler/%' GROUP BY category")
@@ -60,10 +59,15 @@ def scan_hf_split(t: Tables) -> DataFrame:
     return S.benchmark_split(t.benchmark_rows)
 
 
-@query("SELECT item_id, CASE WHEN len(extra_info.ground_truth.answers) > 0 THEN array_to_string(list_transform(extra_info.ground_truth.answers, lambda x: coalesce(x, '')), '|') ELSE '' END AS answers FROM benchmark_rows")
+NESTED = "extra_info.ground_truth.answers"
+
+
+@query(f"SELECT item_id, array_to_string(list_transform(CASE WHEN len({NESTED}) > 0 THEN {NESTED} WHEN item_id % 3 = 0 AND category <> '' THEN [category] WHEN item_id % 2 = 0 THEN ['a', NULL] ELSE [] END, lambda x: coalesce(x, '')), '|') AS answers FROM benchmark_rows")
 def answers_coalesce(t: Tables) -> DataFrame:
-    """Answers at their nested place; a null or empty list there gives an empty list."""
-    a = F.coalesce(F.col("extra_info.ground_truth.answers"), F.array().cast("array<string>"))
+    """Answers at their nested place, else a single one (here, of some items, the category), else a list."""
+    single = F.when(F.col("item_id") % 3 == 0, F.col("category"))
+    several = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("a"), F.lit(None).cast("string")))
+    a = S.answers_of(F.col(NESTED), several, single)
     return t.benchmark_rows.select("item_id", F.array_join(F.transform(a, lambda x: F.coalesce(x, F.lit(""))), "|").alias("answers"))
 
 
@@ -96,7 +100,7 @@ def epoch_advance(t: Tables) -> DataFrame:
 
 @query(f"WITH {PLAN} SELECT rank, row_id, file_ord, row_ord FROM plan WHERE file_ord > 20 OR (file_ord = 20 AND row_ord > 5)")
 def cursor_resume(t: Tables) -> DataFrame:
-    return O.resume(plan(t), 20, 5).select("rank", "row_id", "file_ord", "row_ord")
+    return O.scan_plan(rows_once(t), t.shard_files, after=(20, 5)).select("rank", "row_id", "file_ord", "row_ord")
 
 
 @query(f"WITH {PLAN} SELECT rank, file_ord, row_ord // 8 AS batch, count(*) AS n, min(row_id) AS first_id FROM plan GROUP BY ALL")
@@ -104,9 +108,16 @@ def batch_rows(t: Tables) -> DataFrame:
     return O.batches(plan(t), 8).groupBy("rank", "file_ord", "batch").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"))
 
 
-@query("SELECT md5('42-6' || chr(10) || string_agg(file_path, chr(10) ORDER BY file_path)) AS fingerprint, count(*) AS n_files FROM (SELECT DISTINCT file_path FROM shard_files)")
+FINGERPRINT = "md5('{0}' || chr(10) || string_agg(file_path, chr(10) ORDER BY file_path))"
+
+
+@query(f"WITH {FILES}, u AS (SELECT DISTINCT file_path FROM shard_files), p AS (SELECT {FINGERPRINT.format('42-6')} AS old, {FINGERPRINT.format('42-8')} AS new, count(*) AS n FROM u) SELECT 'fingerprint' AS what, old AS saved, new AS now FROM p UNION ALL SELECT 'current file', (SELECT file_path FROM f WHERE file_ord = 3), (SELECT file_path FROM f WHERE file_ord = 4)")
 def fingerprint_check(t: Tables) -> DataFrame:
-    return O.fingerprint(t.shard_files, C.SEED, C.RANKS)
+    """What has changed since a state was saved: here the number of ranks, and the file at the cursor."""
+    ordered = O.file_shuffle(t.shard_files)
+    current = ordered.where("file_ord = 3").select(F.col("file_path").alias("current_file"), F.lit(4).cast("bigint").alias("file_ord"))
+    saved = O.fingerprint(t.shard_files, C.SEED, 6).crossJoin(current)  # one row each
+    return O.resume_warnings(saved, t.shard_files, C.SEED, 8)
 
 
 @query("SELECT item_id, category FROM benchmark_rows ORDER BY item_id LIMIT 50")
@@ -151,13 +162,17 @@ def sink_partitioned(t: Tables) -> DataFrame:
     return t.spark.read.schema("completion_id bigint, item_id bigint, response string, run string").json(path).groupBy("run").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT item_id, run_name FROM completions WHERE item_id IS NOT NULL AND run_name IS NOT NULL")
+@query("SELECT DISTINCT item_id, run_name FROM completions")
 def sink_append_resume(t: Tables) -> DataFrame:
-    """Two runs of an append: the first stops halfway, the second adds only what is missing."""
-    done = t.completions.select("item_id", "run_name").where("item_id is not null and run_name is not null")
-    path = S.scratch(t.spark, "append")
-    S.append_missing(done.where("item_id % 2 = 0"), path, ["item_id", "run_name"])
-    S.append_missing(done, path, ["item_id", "run_name"])
+    """Runs of an append: the first stops halfway, the second adds what is missing, a third nothing, and a fourth finds the summary of the finished task."""
+    done = t.completions.select("item_id", "run_name")
+    path, summary = S.scratch(t.spark, "append"), S.scratch(t.spark, "summary")
+    keys = ["item_id", "run_name"]
+    S.append_missing(done.where("item_id % 2 = 0"), path, keys, summary)
+    for _ in range(2):
+        S.append_missing(done, path, keys, summary)
+    S.write_summary(done.select(F.col("run_name").alias("task"), F.lit(1.0).alias("score")), summary)
+    S.append_missing(done.withColumn("item_id", F.lit(-1).cast("bigint")), path, keys, summary)
     return t.spark.read.schema("item_id bigint, run_name string").parquet(path)
 
 
@@ -170,12 +185,12 @@ def sink_blob(t: Tables) -> DataFrame:
     return v.select("vec_id", F.size("embedding").cast("bigint").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
-@query("SELECT run_name, count(*) AS n, max(finished_at) AS last_at FROM (SELECT DISTINCT * FROM completions) GROUP BY run_name")
+@query("WITH c AS (SELECT DISTINCT completion_id, run_name, response FROM completions), k AS (SELECT run_name AS task, count(*) AS n, avg(length(coalesce(response, ''))) AS mean FROM c GROUP BY run_name) SELECT task, n, round(mean, 4) AS mean, false AS is_overall FROM k UNION ALL SELECT NULL, sum(n)::BIGINT, round(avg(mean), 4), true FROM k")
 def sink_summary(t: Tables) -> DataFrame:
-    s = t.completions.distinct().groupBy("run_name").agg(F.count("*").alias("n"), F.max("finished_at").alias("last_at"))
+    """A JSON summary of the runs, here of their responses' lengths, and of all of them."""
     path = S.scratch(t.spark, "summary")
-    s.write.parquet(path)
-    return t.spark.read.schema(s.schema).parquet(path)
+    S.write_summary(t.completions.select("completion_id", F.col("run_name").alias("task"), F.length(F.coalesce("response", F.lit(""))).cast("double").alias("score"), "response").distinct(), path)
+    return t.spark.read.schema("task string, n bigint, mean double, is_overall boolean").json(path).withColumn("mean", F.round("mean", 4))
 
 
 @query(f"WITH {KEPT} SELECT rank, count(*) AS n_files, max(file_ord) AS last_file FROM kept GROUP BY rank")

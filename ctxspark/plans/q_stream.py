@@ -9,6 +9,7 @@ from ctxspark import constants as C
 from ctxspark.functions import text as T
 from ctxspark.plans.q_pack import PACKED
 from ctxspark.plans.registry import Tables, query
+from ctxspark.plans.stage import written
 from ctxspark.sources.files import scratch
 from ctxspark.streaming import jobs as J
 
@@ -34,21 +35,31 @@ def stream_checkpoint(t: Tables) -> DataFrame:
     return s.groupBy("run_name").agg(F.count("*").alias("n"), F.count_distinct("step").alias("n_steps"))
 
 
-@query("SELECT run_name, time_bucket(INTERVAL '10 minutes', logged_at) AS window_start, count(*) AS n, sum(decoder_tokens)::BIGINT AS decoder_tokens FROM step_log WHERE logged_at IS NOT NULL GROUP BY ALL")
+@query("""WITH d AS (SELECT run_name, logged_at, decoder_tokens, (logged_at >= (SELECT max(logged_at) FROM step_log) - INTERVAL '3 days') AS old FROM step_log WHERE logged_at IS NOT NULL)
+SELECT run_name, time_bucket(INTERVAL '10 minutes', logged_at) AS window_start, count(*) AS n, sum(decoder_tokens)::BIGINT AS decoder_tokens FROM d GROUP BY ALL""")
 def stream_metrics(t: Tables) -> DataFrame:
+    """Windows as they are closed; the watermark is as wide as the log, so no row is late. A window is written once, and its state goes then."""
     out, place = scratch(t.spark, "stream"), scratch(t.spark, "place")
-    J.run_batches(J.step_windows(source(t, "step_log"), late="3650 days"), lambda df, i: df.write.mode("overwrite").parquet(out), place, "complete")
+    log = t.step_log.agg(F.min("logged_at").alias("a"), F.max("logged_at").alias("b")).select(F.expr("timestampdiff(DAY, a, b) + 2").alias("d")).collect()[0]["d"]  # one row
+    J.run_windows(J.step_windows(source(t, "step_log"), late=f"{log or 2} days"), out, place)
     s = t.spark.read.schema("run_name string, window_start timestamp, n bigint, decoder_tokens bigint").parquet(out)
-    return s.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    last = s.groupBy("run_name", "window_start").agg(F.max_by(F.struct("n", "decoder_tokens"), "n").alias("x")).select("run_name", "window_start", "x.*")
+    return last.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("source").alias("shard"), F.md5(F.concat_ws("-", F.lit(str(C.SEED)), F.col("doc_id").cast("string"))).alias("ord"), F.col("doc_id").alias("id"), T.n_tokens("text").alias("n"))
 
 
 @query(f"{PACKED} SELECT shard, id, n, pack_id, pack_offset FROM p")
 def stream_pack(t: Tables) -> DataFrame:
-    out, place = scratch(t.spark, "stream"), scratch(t.spark, "place")
-    # next-fit depends on the order of all items, so what is there now is one batch
-    stream = J.stream_scan(t.spark, f"{t.path}/documents.parquet", t.documents.schema, files_per_batch=1_000_000).where("text is not null")
-    rows = stream.select(F.col("source").alias("shard"), F.md5(F.concat_ws("-", F.lit(str(C.SEED)), F.col("doc_id").cast("string"))).alias("ord"), F.col("doc_id").alias("id"), T.n_tokens("text").alias("n"))
-    J.run_to_file(J.stream_pack(rows), out, place)
+    """The documents in read order, cut into files of a tenth of the keys each: a file is a batch, and the open packs are carried on."""
+    out, place, files = scratch(t.spark, "stream"), scratch(t.spark, "place"), scratch(t.spark, "items")
+    items = sized(t.documents.where("text is not null"))
+    # next-fit depends on the order of all items, so the stream's files have to follow it
+    tenth = F.floor(F.conv(F.substring("ord", 1, 4), 16, 10).cast("bigint") * 10 / 65536).cast("int")
+    parts = written(items.withColumn("tenth", tenth), "stream-items")
+    for i in range(10):
+        parts.where(F.col("tenth") == i).drop("tenth").coalesce(1).write.mode("append").parquet(files)
+    J.run_to_file(J.stream_pack(J.stream_scan(t.spark, files, items.schema)), out, place)
     return t.spark.read.schema(J.PACKED).parquet(out)
-
-

@@ -55,13 +55,15 @@ def examples_seen(t: Tables) -> DataFrame:
     return L.examples_seen(steps(t), 4).select("run_name", "step", "seen")
 
 
-@query(f"WITH {STEPS}, f AS (SELECT count(*) AS first_rows FROM (SELECT DISTINCT row_id FROM raw_rows WHERE file_path = (SELECT min(file_path) FROM raw_rows))) SELECT run_name, max(step) AS step, max(step) * 4 * 2 AS by_steps, any_value(first_rows) * 3 + 7 AS by_cursor FROM st, f GROUP BY run_name")
+@query(f"""WITH {STEPS}, f AS (SELECT count(*) AS first_rows FROM (SELECT DISTINCT row_id FROM raw_rows WHERE file_path = (SELECT min(file_path) FROM raw_rows))), m AS (SELECT run_name, max(step) AS step, count(DISTINCT step) % 7 AS file_ord, sum(tokens) % 100 AS row_ord FROM st GROUP BY run_name)
+SELECT run_name, step, step * 8 AS by_steps, (file_ord * first_rows + row_ord)::BIGINT AS by_cursor, abs(step * 8 - (file_ord * first_rows + row_ord))::BIGINT AS apart FROM m, f""")
 def resume_position(t: Tables) -> DataFrame:
-    """Examples read by step count, batch 4 and 2 accumulated, beside the estimate of a cursor in file 3 at row 7."""
-    first = t.raw_rows.agg(F.min("file_path").alias("file_path"))
-    rows = t.raw_rows.select("row_id", "file_path").distinct().join(F.broadcast(first), "file_path").select("row_id").distinct().agg(F.count("*").alias("n")).collect()[0]["n"]
-    last = log(t).groupBy("run_name").agg(F.max("step").alias("step"))
-    return last.select("run_name", "step", (F.col("step") * 8).alias("by_steps"), F.lit(rows * 3 + 7).cast("bigint").alias("by_cursor"))
+    """Examples read by a run's steps, batch 4 and 2 accumulated, beside the estimate of its cursor (here made of its telemetry)."""
+    first = t.raw_rows.agg(F.min("file_path").alias("first"))
+    rows = t.raw_rows.select("row_id", "file_path").crossJoin(F.broadcast(first)).where("file_path = first").agg(F.count_distinct("row_id").alias("first_rows"))  # one row each
+    cursor = steps(t).groupBy("run_name").agg(F.max("step").alias("step"), (F.count_distinct("step") % 7).alias("file_ord"), (F.sum("tokens") % 100).alias("row_ord"))
+    p = cursor.crossJoin(F.broadcast(rows)).select("run_name", "step", L.resume_position(F.col("step"), 4, 2, F.col("file_ord"), F.col("row_ord"), F.col("first_rows")).alias("p"))
+    return p.select("run_name", "step", "p.*")
 
 
 @query(f"WITH {STEPS} SELECT run_name, step FROM st WHERE step BETWEEN 24 AND 26 OR step = 40")
@@ -69,12 +71,13 @@ def skip_ranges(t: Tables) -> DataFrame:
     return L.skipped(steps(t), "24-26,40").select("run_name", "step")
 
 
-LR = "CASE WHEN step <= 10 THEN 1e-3 * step / 10 WHEN step <= 50 THEN 1e-5 + (1e-3 - 1e-5) * 0.5 * (1 + cos(pi() * (step - 10) / 40)) ELSE 1e-5 END"
+LR = "CASE WHEN step <= 20 THEN 1e-3 * step / 20 WHEN step <= 100 THEN 1e-5 + (1e-3 - 1e-5) * 0.5 * (1 + cos(pi() * (step - 20) / 80)) ELSE 1e-5 END"
 
 
 @query(f"SELECT step, round({LR}, 9)::DOUBLE AS lr FROM (SELECT DISTINCT step FROM step_log)")
 def lr_schedule(t: Tables) -> DataFrame:
-    return t.step_log.select("step").distinct().select("step", F.round(L.learning_rate(F.col("step"), 1e-3, 10, 60, 1e-5, 0.8), 9).alias("lr"))
+    """The schedule of two processes: 10 of 60 steps warm up, four fifths of the rest decay, each counted twice."""
+    return t.step_log.select("step").distinct().select("step", F.round(L.learning_rate(F.col("step"), 1e-3, 10, 60, 1e-5, 0.8, world=2), 9).alias("lr"))
 
 
 NAMES = "n AS (SELECT DISTINCT run_name, run_name || '_step_' || step AS name, step FROM step_log WHERE step % 5 = 0 AND run_name IS NOT NULL UNION ALL SELECT DISTINCT run_name, run_name || '_final', NULL FROM step_log WHERE run_name IS NOT NULL)"
@@ -101,10 +104,36 @@ def best_branch(t: Tables) -> DataFrame:
     return L.best_branch(checkpoints(t), ["stage3_final", "aru-cs16-w1024_final"])
 
 
-@query("SELECT * FROM (VALUES ('1-12:00:00', 129600.0::DOUBLE), ('23:45:30', 85530.0), ('45:30', 2730.0), ('x', 'inf'::DOUBLE)) AS v(text, seconds)")
+CLOCK = "CASE WHEN s >= 86400 THEN (s // 86400) || '-' || lpad((s % 86400 // 3600)::VARCHAR, 2, '0') || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') WHEN s >= 3600 THEN (s // 3600) || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') WHEN s >= 60 THEN (s // 60) || ':' || lpad((s % 60)::VARCHAR, 2, '0') ELSE run_name END"
+
+
+@query(f"WITH c AS (SELECT DISTINCT run_name, step * step * 97 AS s FROM step_log), d AS (SELECT {CLOCK} AS text, s FROM c) SELECT DISTINCT text, CASE WHEN s >= 60 THEN s::DOUBLE ELSE 'inf'::DOUBLE END AS seconds FROM d WHERE text IS NOT NULL")
 def parse_duration(t: Tables) -> DataFrame:
-    d = t.spark.createDataFrame([("1-12:00:00",), ("23:45:30",), ("45:30",), ("x",)], "text string")
-    return d.select("text", P.duration_seconds("text").alias("seconds"))
+    """Times of all steps, written as D-HH:MM:SS, HH:MM:SS or MM:SS, read again; names of runs are no time."""
+    s = F.expr("step * step * 97")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    day, hour, minute, second = F.expr("s div 86400"), F.expr("s % 86400 div 3600"), F.expr("s % 3600 div 60"), F.expr("s % 60")
+    clock = F.when(F.col("s") >= 86400, F.concat(day.cast("string"), F.lit("-"), two(hour), F.lit(":"), two(minute), F.lit(":"), two(second)))
+    clock = clock.when(F.col("s") >= 3600, F.concat(F.expr("s div 3600").cast("string"), F.lit(":"), two(minute), F.lit(":"), two(second))).when(F.col("s") >= 60, F.concat(F.expr("s div 60").cast("string"), F.lit(":"), two(second))).otherwise(F.col("run_name"))
+    c = t.step_log.select("run_name", s.alias("s")).distinct().select(clock.alias("text")).where("text is not null").distinct()
+    return c.select("text", P.duration_seconds("text").alias("seconds"))
+
+
+@query("SELECT step, rank, (step + 7) // 8 * 8 AS aligned, (decoder_tokens + 5) // 6 AS each, (decoder_tokens + 5) // 6 * 6 - decoder_tokens AS empty FROM (SELECT DISTINCT step, rank, decoder_tokens FROM step_log WHERE decoder_tokens IS NOT NULL)")
+def align_up(t: Tables) -> DataFrame:
+    """Numbers made whole multiples, and elements shared out evenly among six ranks."""
+    d = t.step_log.where("decoder_tokens is not null").select("step", "rank", "decoder_tokens").distinct()
+    full = P.align_up(F.col("decoder_tokens"), 6)
+    return d.select("step", "rank", P.align_up(F.col("step"), 8).alias("aligned"), F.expr("(decoder_tokens + 5) div 6").alias("each"), (full - F.col("decoder_tokens")).alias("empty"))
+
+
+@query("SELECT stage, count(*) AS n_files, row_number() OVER (ORDER BY stage NULLS LAST) AS place FROM shard_files GROUP BY stage")
+def sort_stages(t: Tables) -> DataFrame:
+    """Stages in the order they are trained in; one row a stage."""
+    from pyspark.sql import Window
+
+    n = t.shard_files.groupBy("stage").agg(F.count("*").alias("n_files"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("stage"))).cast("bigint"))
 
 
 @query("SELECT file_path, row_number() OVER (ORDER BY file_path) AS place FROM shard_files")

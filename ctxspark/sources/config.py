@@ -64,3 +64,36 @@ def experiment_name(encoder: str, decoder: str, shape: Shape) -> str:
     parts = [last(encoder), last(decoder), f"cs{shape.ratio}", f"w{shape.window}", shape.pooling, shape.adapter]
     parts += [f"ov{shape.overlap}"] if shape.overlap else []
     return "-".join(parts + ([] if shape.bidirectional else ["causal"]))
+
+
+def short_name(model: str, keep: tuple[str, ...], last: tuple[str, ...]) -> str:
+    """A model's name up to its size: the first part, parts that hold a word of ``keep``, and the first that holds one of ``last``."""
+    parts = model.rstrip("/").rpartition("/")[2].split("-")
+    out = parts[:1]
+    for part in parts[1:]:
+        if any(k in part for k in keep):
+            out.append(part)
+        elif any(k in part for k in last):
+            return "-".join([*out, part])
+    return "-".join(out)
+
+
+def short_run_name(encoder: str, decoder: str) -> str:
+    """Both models' short names: the encoder's ends with its size, the decoder's with its tuning."""
+    return f"{short_name(encoder, ('Embedding', 'embedding'), ('B',))}-{short_name(decoder, ('B',), ('Instruct',))}"
+
+
+def parse_betas(text: str) -> tuple[float, float]:
+    """The two numbers of "0.9,0.999"."""
+    parts = (text or "").split(",")
+    try:
+        one, two = map(float, parts)
+    except ValueError as e:
+        raise ValueError(f"two numbers with a comma are needed, not {text!r}") from e
+    return one, two
+
+
+def shard_sizes(n: int, ranks: int) -> tuple[int, int]:
+    """How many of ``n`` elements each of the ranks holds, and how many of these places stay empty."""
+    each = -(-n // ranks)
+    return each, each * ranks - n

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ctxspark.plans.stage import shared_dir
 
@@ -43,14 +44,54 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.write.partitionBy(by).json(path)
 
 
-def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows whose keys are not in the sink yet; given twice, a row is added once."""
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
+def append_missing(df: DataFrame, path: str, keys: list[str], summary: str | None = None) -> bool:
+    """Appends the rows whose keys are not in the sink yet and says whether it did anything.
+
+    A null key is a key like any other; given twice, a row is added once. If there is a ``summary`` of the whole task, nothing is read or added.
+    """
     spark = df.sparkSession
+    if summary and exists(spark, summary):
+        return False
     new = df.dropDuplicates(keys)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        new = new.join(spark.read.schema(df.schema).parquet(path).select(*keys), keys, "left_anti")
+    if exists(spark, path):
+        done = spark.read.schema(df.schema).parquet(path).select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        new = new.join(done, same, "left_anti")
     new.write.mode("append").parquet(path)
+    return True
+
+
+def write_summary(scores: DataFrame, path: str, task: str = "task", score: str = "score") -> None:
+    """One JSON file with a row for each task and one over all: (task, n, mean, is_overall). Overall, each task counts the same.
+
+    A null task is one; the result has one row a task, so one file takes it.
+    """
+    tasks = scores.groupBy(task).agg(F.count("*").alias("n"), F.avg(score).alias("mean")).withColumn("is_overall", F.lit(False))
+    overall = tasks.agg(F.lit(None).cast("string").alias(task), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.avg("mean").alias("mean"), F.lit(True).alias("is_overall"))
+    tasks.unionByName(overall).coalesce(1).write.option("ignoreNullFields", "false").json(path)
+
+
+def row_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(tbl, n): rows of Parquet tables by their footers: no column is read, and no data page."""
+    counts = None
+    for name, path in paths.items():
+        one = spark.read.schema(StructType([])).parquet(path).agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+def answers_of(nested: Column, several: Column, single: Column) -> Column:
+    """The first that isn't empty of nested answers, a single answer and a list of them; a text counts as a list of one, none at all as an empty list."""
+    full = lambda c: F.when(F.size(c) > 0, c)
+    one = F.when(single != "", F.array(single))
+    return F.coalesce(full(nested), one, full(several), F.array().cast("array<string>"))
 
 
 def benchmark_split(items: DataFrame, prefix: str = "memwrap/ruler/") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxspark import constants as C
+from ctxspark.operators.packing import place
 
 
 def stream_scan(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
@@ -31,17 +32,39 @@ def run_to_file(stream: DataFrame, out: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", stop: Callable[[], bool] | None = None) -> None:
-    """Hands every batch to ``each`` with its number; ``stop`` is asked after each batch and ends the query in good order."""
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", stop: Callable[[], bool] | None = None) -> int:
+    """Hands every batch to ``each`` with its number, and says how many there were.
+
+    ``stop`` is asked after each batch. Batches after one at which it was true are not begun: the query ends there, and another start with the same
+    checkpoint goes on behind the last whole batch.
+    """
+    ended: list[bool] = []
+    done = [0]
 
     def handle(df: DataFrame, number: int) -> None:
+        if ended:
+            raise _Stopped
         each(df, number)
+        done[0] += 1
+        if stop is not None and stop():
+            ended.append(True)
 
     q = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    while not q.awaitTermination(1):
-        if stop is not None and stop():
-            q.stop()
-            break
+    try:
+        q.awaitTermination()
+    except Exception:
+        if not ended:
+            raise
+    return done[0]
+
+
+class _Stopped(Exception):
+    """A batch that is not begun."""
+
+
+def run_windows(windows: DataFrame, out: str, checkpoint: str) -> None:
+    """Writes each batch's changed windows behind one another; the greatest count of a window is its last state."""
+    run_batches(windows, lambda df, i: df.write.mode("append").parquet(out), checkpoint, "update")
 
 
 def step_windows(log: DataFrame, width: str = "10 minutes", late: str = "1 day") -> DataFrame:
@@ -57,21 +80,19 @@ STATE = "fill bigint, pack bigint"
 def stream_pack(items: DataFrame, limit: int = C.PACK) -> DataFrame:
     """Next-fit packing of a stream of (shard, ord, id, n): the open pack of each shard is the state.
 
-    Within a batch items go by ``ord``; batches follow each other. The result equals the batch operator's on the same order.
+    Within a batch items go by ``ord`` and ``id``; batches follow each other. The result equals the batch operator's on that order; a null shard is a shard of its
+    own. A batch's items of a shard are sorted in one task: they are three numbers and a key each, and what a trigger reads (files or bytes a batch) bounds them.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         fill, pack = state.get if state.exists else (0, 0)
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["ord", "id"], kind="stable")
-        packs, offsets = [], []
-        for n in rows["n"].tolist():
-            if fill + n > limit:
-                fill, pack = 0, pack + 1
-            packs.append(pack)
-            offsets.append(fill)
-            fill += n
+        sizes = rows["n"].to_numpy()
+        packs, offsets = place(sizes, limit, fill, pack)
+        if len(sizes):
+            fill, pack = int(offsets[-1] + sizes[-1]), int(packs[-1])
         state.update((fill, pack))
-        yield pd.DataFrame({"shard": [key[0] or None] * len(rows), "id": rows["id"], "n": rows["n"], "pack_id": packs, "pack_offset": offsets})
+        yield pd.DataFrame({"shard": [None if key[0] else key[1]] * len(rows), "id": rows["id"].to_numpy(), "n": sizes, "pack_id": packs, "pack_offset": offsets})
 
-    kept = items.where(F.col("n") <= limit).select(F.coalesce("shard", F.lit("")).alias("shard"), "ord", "id", "n")
-    return kept.groupBy("shard").applyInPandasWithState(step, PACKED, STATE, "append", "NoTimeout")
+    kept = items.where(F.col("n") <= limit).select(F.col("shard").isNull().alias("no_shard"), F.coalesce("shard", F.lit("")).alias("shard"), "ord", "id", "n")
+    return kept.groupBy("no_shard", "shard").applyInPandasWithState(step, PACKED, STATE, "append", "NoTimeout")
