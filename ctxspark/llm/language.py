@@ -18,7 +18,7 @@ import numpy as np
 PROFILES = {
     "en": (
         "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
-        "the a an of to in and is was were are be been has have had that which who what when where why how it its this these those for with by from at on as not but or they them their did does do can could will would should may you your i me my we our us he she his her him yet while until before after during so most each there here than then into over under between about just also only very more other some such up out if no all one two three first last new most many much said says called held kept lost moved found near because since still such both",
+        "the a an of to in and is was were are be been has have had that which who what when where why how it its this these those for with by from at on as not but or they them their did does do can could will would should may you your i me my we our us he she his her him yet while until before after during so most each there here than then into over under between about just also only very more other some such up out if no all one two three first last new most many much said says called held kept lost moved found near because since still such both give list write explain compare name describe summarise return answer text question use read according",
     ),
     "de": (
         "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen.",

@@ -485,8 +485,13 @@ def similar_groups(texts: DataFrame, **how) -> DataFrame:
     first = written(s.verified(s.candidates(star=True)).select("a", "b"), "near-links")
     labels = s.sets.select("sid").join(components(first).withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("label"))
     labels = written(labels, "near-labels")
-    across = written(s.verified(s.candidates(labels)).select("a", "b"), "near-links")
-    roots = components(first.unionByName(across))
+    across = s.verified(s.candidates(labels)).select("a", "b")
+    of = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}"))
+    between = written(across.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "near-links")
+    roots = labels.select(F.col("sid").alias("node"), F.col("label").alias("root"))
+    if not between.isEmpty():  # groups of groups
+        merged = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     copies = s.members.groupBy("sid").agg(F.count("*").alias("c"), F.min("rec_id").alias("first"))
     sets = copies.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "c", "first", F.coalesce("root", "sid").alias("root"))
     sets = written(sets, "near-roots")

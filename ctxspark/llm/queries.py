@@ -121,9 +121,24 @@ UNION ALL SELECT 'base_examples', example_id, array_to_string(list_filter(memory
 P2 = f"""WITH {RECORDS}, g AS (SELECT DISTINCT src, rec_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM rec WHERE len(w) >= 20),
 n AS (SELECT src, rec_id, count(*) AS n FROM g GROUP BY ALL), c AS (SELECT a.src, a.rec_id AS id_a, b.rec_id AS id_b, count(*) AS k FROM g a JOIN g b ON a.src = b.src AND a.g = b.g AND a.rec_id < b.rec_id GROUP BY ALL)
 SELECT c.src, id_a, id_b FROM c JOIN n x ON x.src = c.src AND x.rec_id = id_a JOIN n y ON y.src = c.src AND y.rec_id = id_b WHERE k * 5 >= (x.n + y.n - k) * 3"""
+#: Records with the same runs have one number; links are other numbers that are similar.
+NUMBERED = f"""WITH pairs AS ({P2}), {RECORDS}, gg AS (SELECT DISTINCT src, rec_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM rec WHERE len(w) >= 20),
+sets AS (SELECT src, rec_id, md5(string_agg(g, '|' ORDER BY g)) AS sid FROM gg GROUP BY ALL), copies AS (SELECT src, sid, count(*) - 1 AS n_copies FROM sets GROUP BY ALL),
+both_ AS (SELECT src, id_a, id_b FROM pairs UNION ALL SELECT src, id_b, id_a FROM pairs)"""
+P2_LINKS = f"""{NUMBERED}, l AS (SELECT x.src, x.rec_id, count(DISTINCT y.sid) AS n FROM both_ b JOIN sets x ON x.src = b.src AND x.rec_id = b.id_a JOIN sets y ON y.src = b.src AND y.rec_id = b.id_b WHERE x.sid <> y.sid GROUP BY ALL)
+SELECT s.src, s.rec_id, coalesce(n, 0)::BIGINT AS n_links, n_copies FROM sets s JOIN copies USING (src, sid) LEFT JOIN l ON l.src = s.src AND l.rec_id = s.rec_id"""
+P2_GROUPS = f"""{NUMBERED.replace('WITH pairs', 'WITH RECURSIVE pairs', 1)}, reach AS (SELECT src, rec_id, rec_id AS root FROM sets UNION SELECT r.src, b.id_b, r.root FROM reach r JOIN both_ b ON b.src = r.src AND b.id_a = r.rec_id)
+SELECT s.src, s.rec_id, min(root) AS group_id, any_value(n_copies) AS n_copies FROM sets s JOIN copies USING (src, sid) JOIN reach r ON r.src = s.src AND r.rec_id = s.rec_id GROUP BY s.src, s.rec_id"""
 P4 = rf"""WITH {RECORDS}, g AS (SELECT src, rec_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM rec),
 q AS (SELECT item_id, regexp_extract_all(lower(unnest(regexp_extract_all(prompt, '(?s)<\|memory_start\|>(.*?)<\|memory_end\|>', 1))), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark_rows),
 r AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM q) SELECT DISTINCT src, rec_id, item_id FROM g JOIN r USING (g)"""
+P4_ITEMS = rf"""WITH {RECORDS}, g AS (SELECT src, rec_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM rec),
+q AS (SELECT item_id, no, regexp_extract_all(lower(ps[no]), '[\p{{L}}\p{{N}}]+') AS w FROM (SELECT item_id, ps, unnest(range(1, len(ps) + 1)) AS no FROM (SELECT item_id, regexp_extract_all(prompt, '(?s)<\|memory_start\|>(.*?)<\|memory_end\|>', 1) AS ps FROM benchmark_rows))),
+r AS (SELECT DISTINCT item_id, no, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM q), f AS (SELECT src, rec_id, item_id, count(*) AS n_runs FROM g JOIN r USING (g) GROUP BY ALL),
+i AS (SELECT item_id, CASE WHEN contains(prompt, '<|memory_end|>') THEN array_to_string(regexp_extract_all(lower(string_split(prompt, '<|memory_end|>')[-1]), '[\p{{L}}\p{{N}}]+'), ' ') ELSE '' END AS qw,
+list_filter(list_transform(coalesce(extra_info.ground_truth.answers, []), lambda a: array_to_string(regexp_extract_all(lower(a), '[\p{{L}}\p{{N}}]+'), ' ')), lambda a: a <> '') AS aw FROM benchmark_rows),
+x AS (SELECT f.*, qw <> '' AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || qw || ' ') AS q, len(list_filter(aw, lambda a: contains(' ' || array_to_string(w, ' ') || ' ', ' ' || a || ' '))) > 0 AS a FROM f JOIN i USING (item_id) JOIN rec USING (src, rec_id))
+SELECT item_id, src, count(*) AS n_records, sum(q::INT)::BIGINT AS n_question, sum(a::INT)::BIGINT AS n_answer, sum(n_runs)::BIGINT AS n_runs FROM x GROUP BY ALL"""
 P7_RUNS = """d AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE length(text) >= 100 GROUP BY doc_id),
 s AS (SELECT doc_id, unnest(range(0, length(text) - 99)) AS a, text FROM d), h AS (SELECT doc_id, a, md5_number(substring(text, a + 1, 100)) AS g FROM s),
 m AS (SELECT g FROM h GROUP BY g HAVING min(doc_id) <> max(doc_id)), f AS (SELECT doc_id, a, CASE WHEN a > lag(a) OVER (PARTITION BY doc_id ORDER BY a) + 100 THEN 1 ELSE 0 END AS new FROM h JOIN m USING (g)),
@@ -131,4 +146,4 @@ r AS (SELECT doc_id, a, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS run FR
 P7 = f"WITH {P7_RUNS} SELECT doc_id, first_pos, end_pos FROM runs"
 P7_AMOUNTS = f"""WITH {P7_RUNS}, k AS (SELECT doc_id, sum(end_pos - first_pos)::BIGINT AS n_shared, count(*) AS n_spans FROM runs GROUP BY doc_id),
 e AS (SELECT doc_id, max(coalesce(length(text), 0)) AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id) SELECT doc_id, n_chars, coalesce(n_shared, 0)::BIGINT AS n_shared, coalesce(n_spans, 0)::BIGINT AS n_spans FROM e LEFT JOIN k USING (doc_id)"""
-ORACLES: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p7_found": P7, "p7_amounts": P7_AMOUNTS}
+ORACLES: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p2_groups": P2_GROUPS, "p2_links": P2_LINKS, "p4_found": P4, "p4_items": P4_ITEMS, "p7_found": P7, "p7_amounts": P7_AMOUNTS}
