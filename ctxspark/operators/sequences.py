@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ctxspark import constants as C
 from ctxspark.functions import text as T
 from ctxspark.functions.tokenizer import STAND_IN, Tokenizer
+from ctxspark.plans.stage import written
 
 FIELDS = ["input_ids", "labels", "spans", "latent_counts", "memory_ids"]
 #: Renders messages, with or without the prefix of an answer.
@@ -179,8 +180,9 @@ def pad_to(packs: DataFrame, target: int) -> DataFrame:
 def pad_batches(sequences: DataFrame, batch: list[str], target: int = 0) -> DataFrame:
     """``sequences`` with ids and labels filled up to ``target`` or the longest of their batch, and ``attention_mask``.
 
-    Only the lengths are aggregated; arrays meet one number for their batch.
+    Only the lengths are aggregated; arrays meet one number for their batch. Sequences are written first: they are made once, not for the lengths and again.
     """
+    sequences = written(sequences, "sequences")
     most = sequences.groupBy(*batch).agg(F.greatest(F.lit(target), F.max(F.size("input_ids"))).alias("__to"))
     same = F.lit(True)
     for i, b in enumerate(batch):

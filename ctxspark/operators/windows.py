@@ -11,6 +11,7 @@ from ctxspark import constants as C
 from ctxspark.functions import text as T
 from ctxspark.operators.sequences import repeated
 from ctxspark.plans.prefix import running
+from ctxspark.plans.stage import written
 
 
 #: Takes windows (id, win, window_ids), gives hidden states (id, win, pos, vec). A model is a mapInArrow with this shape.
@@ -67,10 +68,11 @@ def left_pad(windows: DataFrame, per_batch: int = 128) -> DataFrame:
     """``windows`` (id, win, window_ids, ...) with ``batch``, ``input_ids``, ``attention_mask`` and ``position_ids``.
 
     Windows of all sequences are numbered in the order of (id, win); ``per_batch`` of them are a batch, filled up on the left to its longest. Masked places
-    have position 0, the others count from 0.
+    have position 0, the others count from 0. Windows are written first: they are made once, not for their sizes and again.
     """
     if per_batch < 1:
         raise ValueError("a batch needs at least one window")
+    windows = written(windows, "windows")
     size = windows.select("id", "win", F.size("window_ids").alias("__n"), F.lit(0).alias("__all"))
     batches = running(size, ["__all"], ["id", "win"], {"__no": F.lit(1)}).select("id", "win", "__n", F.floor((F.col("__no") - 1) / per_batch).cast("bigint").alias("batch"))
     longest = batches.groupBy("batch").agg(F.max("__n").alias("__to"))
@@ -170,6 +172,9 @@ def encode(sequences: DataFrame, encoder: Encoder = id_encoder, width: int = 4,
     if pooling == "eos":
         latents = pool_eos(hidden, w, keys)
     else:
-        inner = hidden.join(w.select("id", "win", "pool_start", "pool_len"), keys).withColumn("pos", F.col("pos") - F.col("pool_start")).where("pos >= 0 and pos < pool_len")
+        # where a tile begins within its window is known by its number; what is behind it, by its sequence's length
+        n = sequences.select("id", F.size("ids").alias("__n"))
+        start = F.col("win") * window
+        inner = hidden.join(n, "id").withColumn("pos", F.col("pos") - F.least(F.lit(overlap), start)).where(F.col("pos").between(0, window - 1) & (F.col("pos") + start < F.col("__n")))
         latents = (pool_mean if pooling == "mean" else pool_concat)(inner, keys, ratio)
     return regroup(sequences, latents, width)

@@ -10,11 +10,10 @@ from ctxspark.functions import text as T
 from ctxspark.functions.tokenizer import STAND_IN
 from ctxspark.operators import examples as E
 from ctxspark.operators import packing as P
-from ctxspark.operators import rows as R
 from ctxspark.operators import sequences as Q
 from ctxspark.operators import windows as W
 from ctxspark.plans.q_scan import PLAN, plan
-from ctxspark.plans.q_text import CHAT, CONTINUED, RAW, digest, docs, embed_ids, joined, lat, many, nemb, ntok, span_list
+from ctxspark.plans.q_text import CHAT, CONTINUED, RAW, digest, docs, embed_ids, joined, lat, many, nemb, ntok, raw, span_list
 from ctxspark.plans.registry import Tables, query
 from ctxspark.plans.stage import spread, written
 
@@ -356,8 +355,8 @@ b AS (SELECT *, row_ord // 8 AS batch, max(len(ids)) OVER (PARTITION BY file_ord
 @query(f"WITH {MIXED} SELECT row_id, file_ord, row_ord, batch, m AS length, {joined('list_concat(ids, ' + PAD_BY.format('m', 'ids', 0) + ')')} AS ids_md5, {joined('list_concat(labels, ' + PAD_BY.format('m', 'labels', -100) + ')')} AS labels_md5, len(ids) AS n_attended FROM b")
 def collate_mixed(t: Tables) -> DataFrame:
     """Chat and continual rows side by side in batches of eight in read order, filled up on the right to the longest."""
-    rows = R.once(t.raw_rows, "row_id", "prompt", "target")
-    b = Q.preprocess(rows).join(plan(t), "row_id").withColumn("batch", F.floor(F.col("row_ord") / 8).cast("bigint"))
+    # a row delivered twice counts once
+    b = Q.preprocess(raw(t)).join(plan(t), "row_id").dropDuplicates(["row_id"]).withColumn("batch", F.floor(F.col("row_ord") / 8).cast("bigint"))
     p = Q.pad_batches(b.select("row_id", "file_ord", "row_ord", "batch", "input_ids", "labels"), ["file_ord", "batch"])
     attended = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return p.select("row_id", "file_ord", "row_ord", "batch", F.size("input_ids").cast("bigint").alias("length"), digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"), attended.alias("n_attended"))

@@ -53,13 +53,13 @@ def sized(rows: DataFrame) -> DataFrame:
 
 @query(f"{PACKED} SELECT shard, id, n, pack_id, pack_offset FROM p")
 def stream_pack(t: Tables) -> DataFrame:
-    """The documents in read order, cut into files of a tenth of the keys each: a file is a batch, and the open packs are carried on."""
+    """The documents in read order, cut into files of a quarter of the keys each: a file is a batch, and the open packs are carried on."""
     out, place, files = scratch(t.spark, "stream"), scratch(t.spark, "place"), scratch(t.spark, "items")
     items = sized(t.documents.where("text is not null"))
     # next-fit depends on the order of all items, so the stream's files have to follow it
-    tenth = F.floor(F.conv(F.substring("ord", 1, 4), 16, 10).cast("bigint") * 10 / 65536).cast("int")
-    parts = written(items.withColumn("tenth", tenth), "stream-items")
-    for i in range(10):
-        parts.where(F.col("tenth") == i).drop("tenth").coalesce(1).write.mode("append").parquet(files)
+    quarter = F.conv(F.substring("ord", 1, 1), 16, 10).cast("int")
+    parts = written(items.withColumn("quarter", F.floor(quarter / 4).cast("int")), "stream-items")
+    for i in range(4):
+        parts.where(F.col("quarter") == i).drop("quarter").coalesce(1).write.mode("append").parquet(files)
     J.run_to_file(J.stream_pack(J.stream_scan(t.spark, files, items.schema)), out, place)
     return t.spark.read.schema(J.PACKED).parquet(out)
