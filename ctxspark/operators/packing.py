@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,6 +35,34 @@ def transition(sizes: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
     return [*([(0, 0, total)] if open_to else []), *map(tuple, states)]
 
 
+State = list[tuple[int, int, int]]
+
+
+def after(states: State, fill: int) -> tuple[int, int]:
+    """Packs opened and the fill behind a run that begins at ``fill``."""
+    least, opened, end = states[bisect_right(states, fill, key=lambda s: s[0]) - 1]
+    return opened, end + (0 if opened else fill)
+
+
+def compose(first: State, second: State) -> State:
+    """What two runs do one after the other, as one description."""
+    out = []
+    for i, (least, opened, end) in enumerate(first):
+        if opened:
+            more, fill = after(second, end)
+            out.append((least, opened + more, fill))
+            continue
+        # no pack was opened: the second run begins at the fill before plus this total
+        top = first[i + 1][0] if i + 1 < len(first) else None
+        for threshold, more, fill in second:
+            at = max(least, threshold - end)
+            if top is None or at < top:
+                if out and out[-1][0] == at:
+                    out.pop()
+                out.append((at, more, fill + (0 if more else end)))
+    return [s for i, s in enumerate(out) if not i or s[1:] != out[i - 1][1:]]
+
+
 def place(sizes: np.ndarray, limit: int, fill: int = 0, pack: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Pack and offset of each item of next-fit: an item that doesn't fit into the open pack opens the next."""
     packs, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
@@ -50,12 +80,50 @@ def _segments(table: pa.Table) -> list[tuple[str, int, int]]:
     return [(shards[s], s, e) for s, e in zip(cuts, cuts[1:])]
 
 
-def pack_next_fit(items: DataFrame, limit: int = C.PACK) -> DataFrame:
+_DESCRIBED = "block int, shard string, least array<bigint>, opened array<bigint>, fill array<bigint>"
+_EDGES = pa.schema([("block", pa.int32()), ("shard", pa.string()), *((c, pa.list_(pa.int64())) for c in ("least", "opened", "fill"))])
+
+
+def _edges(rows: list[tuple[int, str, State]]) -> pa.Table:
+    return pa.table({"block": [b for b, _, _ in rows], "shard": [n for _, n, _ in rows], **{c: [[x[i] for x in s] for _, _, s in rows] for i, c in enumerate(("least", "opened", "fill"))}}, schema=_EDGES)
+
+
+def _states(table: pa.Table) -> list[tuple[int, str, State]]:
+    rows = sorted(table.to_pylist(), key=lambda r: (r["block"], r["shard"]))
+    return [(r["block"], r["shard"], list(zip(r["least"], r["opened"], r["fill"]))) for r in rows]
+
+
+def _joined(rows: list[tuple[int, str, State]], number: int) -> list[tuple[int, str, State]]:
+    """Consecutive runs of one shard as one; the first and the last of these, which may go on in what is before and behind."""
+    out: list[tuple[int, str, State]] = []
+    for _, name, states in rows:
+        if out and out[-1][1] == name:
+            out[-1] = (number, name, compose(out[-1][2], states))
+        else:
+            out.append((number, name, states))
+    return out if len(out) < 3 else [out[0], out[-1]]
+
+
+def _starts(rows: list[tuple[int, str, State]], known: dict[tuple[int, str], tuple[int, int]], number: int | None = None) -> list[tuple[int, str, int, int]]:
+    """(block, shard, fill, pack) at which each run begins; ``known`` has those of runs that go on from before, as runs of ``number``."""
+    out, fill, pack, last = [], 0, 0, None
+    for block, name, states in rows:
+        if name != last:
+            fill, pack = known.get((number, name), (0, 0)) if last is None else (0, 0)
+            last = name
+        out.append((block, name, fill, pack))
+        more, fill = after(states, fill)
+        pack += more
+    return out
+
+
+def pack_next_fit(items: DataFrame, limit: int = C.PACK, span: int = 256) -> DataFrame:
     """(shard, id, n, pack_id, pack_offset): next-fit packing of each shard's items in the order of ``ord``.
 
     ``items`` has (shard string, ord string, id bigint, n); a null shard is one shard, ties of ``ord`` go by id, and items over ``limit``
     are left out. Next-fit is sequential, yet a shard is not one task: items are cut into ranges of (shard, ord); each range tells
-    what it does to any open pack, these short descriptions are composed in order, and then every range is packed on its own.
+    what it does to any open pack. These short descriptions are composed by ``span`` ranges a task; the driver composes what comes of that, two rows
+    for each ``span`` ranges, then the same tasks tell each range where it begins, and every range is packed on its own.
     """
     # sizes are dear to compute and used several times, by the filter, the sampling of ranges and the packing: written once, before the filter
     sized = written(items.select("shard", F.col("ord").cast("string").alias("ord"), F.col("id").cast("bigint").alias("id"), F.col("n").cast("bigint").alias("n")), "pack-items")
@@ -71,33 +139,36 @@ def pack_next_fit(items: DataFrame, limit: int = C.PACK) -> DataFrame:
         parts = _segments(table)
         edge = parts if len(parts) < 3 else [parts[0], parts[-1]]
         n, block = table["n"].to_numpy(), table["block"][0].as_py()
-        rows = [(block, name, *map(list, zip(*transition(n[s:e], limit)))) for name, s, e in edge]
-        return pa.table(dict(zip(["block", "shard", "least", "opened", "fill"], map(list, zip(*rows)))), schema=pa.schema([("block", pa.int32()), ("shard", pa.string()), *((c, pa.list_(pa.int64())) for c in ("least", "opened", "fill"))]))
-
-    starts: dict[tuple[int, str], tuple[int, int]] = {}
-    fill = pack = 0
-    last = None
-    # at most two rows for each range
-    for r in blocks.groupBy("block").applyInArrow(describe, "block int, shard string, least array<bigint>, opened array<bigint>, fill array<bigint>").orderBy("block", "shard").collect():
-        if r["shard"] != last:
-            fill = pack = 0
-            last = r["shard"]
-        starts[r["block"], r["shard"]] = fill, pack
-        at = int(np.searchsorted(np.array(r["least"]), fill, "right")) - 1
-        # within a range before any new pack, the fill moves with the fill before
-        shift = fill - r["least"][at] if not r["opened"][at] else 0
-        fill, pack = r["fill"][at] + shift, pack + r["opened"][at]
-    known = items.sparkSession.sparkContext.broadcast(starts)
-
-    def run(table: pa.Table) -> pa.Table:
+        return _edges([(block, name, transition(n[s:e], limit)) for name, s, e in edge])
+
+    described = written(blocks.groupBy("block").applyInArrow(describe, _DESCRIBED), "pack-edges").withColumn("span", F.expr(f"block div {int(span)}"))
+
+    def up(table: pa.Table) -> pa.Table:
+        return _edges(_joined(_states(table), table["span"][0].as_py()))
+
+    top = sorted((r["block"], r["shard"], list(zip(r["least"], r["opened"], r["fill"]))) for r in described.groupBy("span").applyInArrow(up, _DESCRIBED).collect())
+    known = {(b, name): (fill, pack) for b, name, fill, pack in _starts(top, {})}
+    shared = items.sparkSession.sparkContext.broadcast(known)
+
+    def down(table: pa.Table) -> pa.Table:
+        rows = _starts(_states(table), shared.value, table["span"][0].as_py())
+        kinds = {"block": pa.int32(), "shard": pa.string(), "fill": pa.int64(), "pack": pa.int64()}
+        return pa.table({c: pa.array(x, k) for (c, k), x in zip(kinds.items(), zip(*rows))})
+
+    starts = described.groupBy("span").applyInArrow(down, "block int, shard string, fill bigint, pack bigint")
+
+    def run(table: pa.Table, begins: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"shard": pa.array([], pa.string()), **{c: pa.array([], pa.int64()) for c in ("id", "n", "pack_id", "pack_offset")}})
+        at = {r["shard"]: (r["fill"], r["pack"]) for r in begins.to_pylist()}
         table = table.sort_by(order)
         named = table.set_column(table.schema.get_field_index("shard"), "shard", _named(table))
-        n, block = table["n"].to_numpy(), table["block"][0].as_py()
-        got = [place(n[s:e], limit, *known.value.get((block, name), (0, 0))) for name, s, e in _segments(named)]
+        n = table["n"].to_numpy()
+        got = [place(n[s:e], limit, *at.get(name, (0, 0))) for name, s, e in _segments(named)]
         shard = pa.chunked_array([pa.array([None if x else s for s, x in zip(table["shard"].to_pylist(), table["no_shard"].to_pylist())], pa.string())])
         return pa.table({"shard": shard, "id": table["id"], "n": table["n"], "pack_id": np.concatenate([p for p, _ in got]), "pack_offset": np.concatenate([o for _, o in got])})
 
-    return blocks.groupBy("block").applyInArrow(run, "shard string, id bigint, n bigint, pack_id bigint, pack_offset bigint")
+    return blocks.groupBy("block").cogroup(starts.groupBy("block")).applyInArrow(run, "shard string, id bigint, n bigint, pack_id bigint, pack_offset bigint")
 
 
 def _named(table: pa.Table) -> pa.Array:

@@ -40,8 +40,9 @@ def test_ranges_of_a_hot_shard_agree(spark, seed):
     """One shard holds most items and spans many ranges; nulls, empty items, ties and oversized items occur."""
     rng = random.Random(seed)
     rows = [(rng.choice(["hot"] * 8 + ["b", "c", None]), f"{rng.randrange(300):04d}", i, rng.choice([0, 1, rng.randrange(100), rng.randrange(130)])) for i in range(3000)]
-    got = {tuple(r) for r in P.pack_next_fit(spark.createDataFrame(rows, ITEMS).repartition(7), 100).collect()}
-    assert got == plain(rows, 100)
+    items = spark.createDataFrame(rows, ITEMS).repartition(7)
+    for span in (1, 3, 256):
+        assert {tuple(r) for r in P.pack_next_fit(items, 100, span).collect()} == plain(rows, 100)
 
 
 def test_transition_equals_placing():
@@ -56,6 +57,16 @@ def test_transition_equals_placing():
             assert (opened, after + (0 if opened else fill)) == (packs[-1], offsets[-1] + sizes[-1])
 
 
+def test_compose_equals_one_run():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        limit = int(rng.integers(5, 60))
+        a, b, c = (rng.integers(0, limit + 1, int(rng.integers(1, 12))) for _ in range(3))
+        states = P.compose(P.compose(P.transition(a, limit), P.transition(b, limit)), P.transition(c, limit))
+        for fill in range(limit + 1):
+            assert P.after(states, fill) == P.after(P.transition(np.concatenate([a, b, c]), limit), fill)
+
+
 def test_empty(spark):
     items = spark.createDataFrame([], ITEMS)
     assert P.pack_next_fit(items).count() == 0
