@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ctxspark import constants as C
 from ctxspark.functions import text as T
@@ -172,6 +173,14 @@ def collate(examples: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return packs.select(*by, field("input_ids"), F.when(some, labels).alias("labels"), F.flatten(moved).alias("spans"), field("latent_counts"), field("memory_ids"), "sample_lens")
 
 
+def one_dimensional(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` as an array of bigints: numbers of any width, or the first row of a nested array. Null and empty ones stay null and empty."""
+    kind = df.schema[column].dataType
+    nested = isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType)
+    flat = F.when(F.size(column) == 0, F.array().cast("array<bigint>")).otherwise(F.get(column, F.lit(0)).cast("array<bigint>")) if nested else F.col(column).cast("array<bigint>")
+    return df.withColumn(column, flat)
+
+
 def pad_to(packs: DataFrame, target: int) -> DataFrame:
     """Packs with ids and labels filled up to ``target``; longer ones stay as they are, null labels stay null."""
     return packs.withColumns({"input_ids": padded(F.col("input_ids"), F.lit(target), C.PAD_ID), "labels": padded(F.col("labels"), F.lit(target), C.IGNORE)})

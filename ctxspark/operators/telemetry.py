@@ -123,3 +123,14 @@ def best_branch(branches: DataFrame, preferred: list[str], by: str = "run_name")
     rank = F.coalesce(F.try_element_at(F.create_map(*[x for i, p in enumerate(preferred) for x in (F.lit(p), F.lit(i))]), F.col("name")), F.lit(len(preferred)))
     key = F.struct(rank.alias("r"), (-F.coalesce(checkpoint_step(F.col("name")), F.lit(-1))).alias("s"), F.col("name"))
     return branches.groupBy(by).agg(F.min(key).alias("k")).select(by, F.col("k.name").alias("branch"))
+
+
+def param_group(name: Column) -> Column:
+    """The optimizer group of a parameter: decoder, encoder or adapter by what its name holds, in this order; decoder otherwise, null for a null name."""
+    group = F.when(name.contains("decoder"), "decoder").when(name.contains("encoder.embed_model"), "encoder").when(name.contains("adapter"), "adapter")
+    return F.when(name.isNotNull(), F.coalesce(group, F.lit("decoder")))
+
+
+def param_group_count(params: DataFrame) -> DataFrame:
+    """(param_group, n_params, n_elements) of parameters (name, n)."""
+    return params.groupBy(param_group(F.col("name")).alias("param_group")).agg(F.count("*").alias("n_params"), F.sum("n").alias("n_elements"))

@@ -155,6 +155,16 @@ def segment_pad(segments: DataFrame, batch: str, width: int) -> DataFrame:
     return j.select(batch, "id", F.explode(slots).alias("s")).select(batch, "id", "s.*")
 
 
+def minibatches(windows: DataFrame, size: int) -> DataFrame:
+    """(rank, n_windows, n_batches, n_dummies) of windows (rank): batches of ``size`` windows each rank encodes, at least one, and how many empty ones
+    it runs besides so that all ranks run as many. ``size`` 0 puts all windows of a rank into one batch. One row a rank meets the greatest of them.
+    """
+    n = F.expr(f"(n_windows + {size - 1}) div {size}") if size > 0 else F.lit(1)
+    per = windows.groupBy("rank").agg(F.count("*").alias("n_windows")).withColumn("n_batches", F.greatest(F.lit(1), n).cast("bigint"))
+    most = per.agg(F.max("n_batches").alias("most"))
+    return per.crossJoin(most).select("rank", "n_windows", "n_batches", (F.col("most") - F.col("n_batches")).alias("n_dummies"))
+
+
 def id_encoder(windows: DataFrame) -> DataFrame:
     """A deterministic stand-in: four remainders of each id."""
     at = windows.select("id", "win", F.posexplode("window_ids").alias("pos", "x"))

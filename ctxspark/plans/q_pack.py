@@ -250,6 +250,19 @@ def left_pad_batch(t: Tables) -> DataFrame:
     return w.select("id", "win", "batch", digest("input_ids").alias("ids_md5"), F.size("input_ids").cast("bigint").alias("length"), masked.alias("n_masked"), digest("position_ids").alias("positions_md5"))
 
 
+@query(f"WITH {TILE}, r AS (SELECT id % 6 AS rank, count(*) AS n_windows FROM w GROUP BY 1), b AS (SELECT *, greatest(1, (n_windows + 15) // 16) AS n_batches FROM r) SELECT *, max(n_batches) OVER () - n_batches AS n_dummies FROM b")
+def minibatch_sync(t: Tables) -> DataFrame:
+    """Windows of six ranks in batches of 16, and the empty batches that keep the ranks together."""
+    return W.minibatches(W.tile(sequences(t)).select((F.col("id") % 6).alias("rank")), 16)
+
+
+@query(f"WITH {ONCE} SELECT example_id, len(base_input_ids)::BIGINT AS n, {joined('base_input_ids')} AS ids_md5 FROM e")
+def ragged_normalise(t: Tables) -> DataFrame:
+    """Ids that come as one row of a batch, as a plain array."""
+    one = Q.one_dimensional(examples(t).select("example_id", F.array("base_input_ids").alias("ids")), "ids")
+    return one.select("example_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("bigint").alias("n"), digest("ids").alias("ids_md5")).distinct()
+
+
 ENCODED = f"""{WINDOWS}, e AS (SELECT id, start_pos + o AS pos, win, o // 16 AS grp, unnest([97, 89, 83, 79]) AS m, unnest([1, 2, 3, 4]) AS d, ids[start_pos + o + 1] AS x FROM (SELECT w.*, ids, unnest(range(pool_len)) AS o FROM w JOIN dd USING (id))),
 l AS (SELECT id, win, grp, d, round(avg(x % m) * 100000)::BIGINT AS v FROM e GROUP BY ALL)"""
 

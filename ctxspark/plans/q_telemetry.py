@@ -160,3 +160,13 @@ def natural_sort(t: Tables) -> DataFrame:
 
     w = Window.orderBy(*P.natural_key("file_path"))
     return t.shard_files.select("file_path", F.regexp_extract("file_path", r"_(\d+)\.", 1).cast("bigint").alias("number"), F.row_number().over(w).cast("bigint").alias("place"))
+
+
+PARAMS = "CASE rank % 4 WHEN 0 THEN 'model.decoder.layer.' WHEN 1 THEN 'encoder.embed_model.layer.' WHEN 2 THEN 'adapter.fc.' ELSE 'head.' END || step || run_name"
+
+
+@query(f"WITH {ONCE}, p AS (SELECT {PARAMS} AS name, decoder_tokens AS n FROM l) SELECT CASE WHEN name LIKE '%decoder%' THEN 'decoder' WHEN name LIKE '%encoder.embed_model%' THEN 'encoder' WHEN name LIKE '%adapter%' THEN 'adapter' WHEN name IS NOT NULL THEN 'decoder' END AS param_group, count(*) AS n_params, sum(n)::BIGINT AS n_elements FROM p GROUP BY 1")
+def param_group_count(t: Tables) -> DataFrame:
+    """Optimizer groups of a catalog of parameters, here made of the steps."""
+    prefix = F.when(F.col("rank") % 4 == 0, "model.decoder.layer.").when(F.col("rank") % 4 == 1, "encoder.embed_model.layer.").when(F.col("rank") % 4 == 2, "adapter.fc.").otherwise("head.")
+    return L.param_group_count(log(t).select(F.concat(prefix, F.col("step").cast("string"), "run_name").alias("name"), F.col("decoder_tokens").alias("n")))

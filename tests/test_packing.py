@@ -106,6 +106,22 @@ def test_window_ids(spark):
     assert batches[2].attention_mask == [0] * 8 + [1] * 8 and batches[2].position_ids == [0] * 8 + list(range(8)) and batches[2].input_ids == [0] * 8 + list(range(18, 26))
 
 
+def test_minibatches(spark):
+    w = spark.createDataFrame([(0,)] * 5 + [(1,)] * 2, "rank bigint")
+    assert {tuple(r) for r in W.minibatches(w, 2).collect()} == {(0, 5, 3, 0), (1, 2, 1, 2)}
+    assert {tuple(r) for r in W.minibatches(w, 0).collect()} == {(0, 5, 1, 0), (1, 2, 1, 0)}
+    assert W.minibatches(w.limit(0), 2).count() == 0
+
+
+def test_one_dimensional(spark):
+    from ctxspark.operators import sequences as Q
+
+    flat = spark.createDataFrame([([1, 2],), ([],), (None,)], "x array<int>")
+    assert [r.x for r in Q.one_dimensional(flat, "x").collect()] == [[1, 2], [], None] and Q.one_dimensional(flat, "x").schema["x"].dataType.elementType.simpleString() == "bigint"
+    nested = spark.createDataFrame([([[1, 2], [3]],), ([],), (None,), ([None],)], "x array<array<int>>")
+    assert [r.x for r in Q.one_dimensional(nested, "x").collect()] == [[1, 2], [], None, None]
+
+
 def test_pooling(spark):
     h = spark.createDataFrame([(1, 0, [1.0, 1.0]), (1, 1, [3.0, 3.0]), (1, 2, [5.0, 5.0]), (2, 0, [2.0, 4.0])], "id bigint, pos bigint, vec array<float>")
     of = lambda df: {(r.id, r.grp): r.vec for r in df.collect()}
