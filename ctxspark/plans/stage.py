@@ -90,8 +90,8 @@ def _parts(size: int, dfs: tuple[DataFrame, ...], each: int) -> int:
 
 
 def exchange_parts(*dfs: DataFrame, each: int = 8 << 20) -> int:
-    """Buckets for an exchange fed by ``dfs``: twice the session's partitions, more if an input is large."""
-    least = 2 * int(dfs[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Buckets for an exchange fed by ``dfs``: the session's partitions, more if an input is large."""
+    least = int(dfs[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, _parts(sum(map(planned_bytes, dfs)), dfs, each))
 
 

@@ -10,7 +10,7 @@ def test_written_and_cleaned(spark):
 
 
 def test_exchange_parts(spark):
-    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert stage.exchange_parts(spark.createDataFrame([(1,)], "x int")) == least
     assert stage.exchange_parts(spark.range(10)) == least
 
@@ -22,7 +22,7 @@ def test_sizes_of_joins_and_unknown_inputs(spark, tmp_path):
     joined = t.alias("a").join(t.alias("b"), "x").join(t.alias("c"), "x").join(t.alias("d"), "x")
     assert 0 < stage.planned_bytes(joined) <= 4 * stage.planned_bytes(t)
     unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1,)] * 40, 40), "x int")
-    assert stage.exchange_parts(unknown) == max(40, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert stage.exchange_parts(unknown) == max(40, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def test_running_sums_of_a_hot_group(spark):
