@@ -147,7 +147,7 @@ class SharedKeys:
     values are kept and owners only learn how many of their keys are shared.
     """
 
-    def __init__(self, buckets: int, limit: int = 1_500_000, wide: bool = False, counted: bool = False):
+    def __init__(self, buckets: int, limit: int = 1_000_000, wide: bool = False, counted: bool = False):
         self.buckets, self.limit, self.wide, self.counted, self.held, self.parts = buckets, limit, wide, counted, 0, []
 
     def add(self, keys: np.ndarray, owners: np.ndarray, vals: np.ndarray | None = None) -> list[tuple]:
