@@ -57,6 +57,15 @@ def pack(kind: int, buckets: int, keys: np.ndarray, owners: np.ndarray, vals: np
     return rows
 
 
+def route(buckets: int, keys: np.ndarray, name: bytes, owners: np.ndarray, vals: np.ndarray) -> list[tuple]:
+    """ROUTED rows of 64-bit keys, owners and 32-bit values under one name, in the buckets of their owners."""
+    b = bucket_of(owners, buckets)
+    order = np.argsort(b, kind="stable")
+    b, keys, owners, vals = b[order], keys[order].astype(np.int64), owners[order], vals[order].astype(np.int32)
+    cuts = np.concatenate([[0], np.nonzero(np.diff(b))[0] + 1, [len(b)]]).tolist() if len(b) else [0]
+    return [(int(b[s]), ROUTED, e - s, keys[s:e].tobytes(), name, owners[s:e].tobytes(), vals[s:e].tobytes(), b"") for s, e in zip(cuts[:-1], cuts[1:])]
+
+
 def unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, owners, values and tags of rows of one bucket; zeros where keys, values or tags were not sent."""
     wide = any(len(r["keys"]) == 8 * r["n"] for r in rows)
@@ -73,6 +82,8 @@ def unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
+    if not rows:
+        return pa.RecordBatch.from_arrays([pa.array([], t.type) for t in _ARROW], schema=_ARROW)
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
@@ -103,6 +114,10 @@ def _finer(coarse: int, parts: int, limit: int = 3_000_000):
             if kind == PLAIN:
                 out += [(r["bucket"] * parts // coarse, *(r[c] for c in _NAMES[1:])) for r in mine]
                 continue
+            if kind == ROUTED:
+                for r in mine:
+                    out += route(parts, np.frombuffer(r["keys"], np.int64), r["owner_ids"], np.frombuffer(r["owners"], U), np.frombuffer(r["vals"], np.int32))
+                continue
             keys, owners, vals, tags = unpack(mine)
             keyless = not any(r["keys"] for r in mine)
             has = lambda c: any(r[c] for r in mine)
@@ -125,7 +140,7 @@ def _finer(coarse: int, parts: int, limit: int = 3_000_000):
 
 
 # Kinds of blobs of the search for shared keys.
-TRIPLE, MARKER, CREDIT, PLAIN = 0, 1, 2, 3
+TRIPLE, MARKER, CREDIT, PLAIN, ROUTED = 0, 1, 2, 3, 4
 
 
 def _shared(keys: np.ndarray, owners: np.ndarray, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,9 @@ its runs to occur elsewhere too, so the others leave without an index entry. Not
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,15 @@ from pyspark.sql import functions as F
 
 from ctxspark.llm import exchange as X
 from ctxspark.llm.vec import Flat, U, Words, chunks, mix
-from ctxspark.plans.stage import exchange_parts, spread, written
+from ctxspark.plans.stage import PART, exchange_parts, least_parts, spread, written
 
 CHUNK = 1 << 20
 SKETCH_BITS = 20
 SKETCH_SLICES = 64
 PARITY_BITS = 512
+FILTER_BITS = 27
+#: Bytes of signatures that one round brings to their buckets, for each byte of the input; and what a run of a set costs there, in the index and for a band in which it probes.
+ROUND, INDEXED, PROBED = 1.5, 12, 5.6
 
 
 def run_sets(texts: list[str], salts: np.ndarray, k: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,35 +88,101 @@ def _scan(buckets: int, wide: bool, k: int, least_words: int):
     return run
 
 
-def _directory(rows: list[dict]) -> pa.Table:
-    """The record rows (src, rec_id, sid, n, shared) of PLAIN blobs; shared is 0."""
-    parts = [
-        pa.table({"src": pa.array([r["owner_ids"].decode()] * r["n"], pa.string()), "rec_id": np.frombuffer(r["keys"], np.int64), "sid": np.frombuffer(r["owners"], np.int64), "n": np.frombuffer(r["vals"], np.int32), "shared": np.zeros(r["n"], np.int32)})
-        for r in rows
-    ]
-    return pa.concat_tables(parts)
+def _count(buckets: int, wide: bool):
+    """One bucket of runs: how many of the runs of each set another set has too, and the directory, both as blobs for the buckets of the sets."""
 
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        owners, number = X.settle(rows, counted=True)
+        sid, at = np.unique(owners, return_inverse=True)
+        out = X.pack(X.CREDIT, buckets, sid, np.zeros(len(sid), U), np.bincount(at, weights=number, minlength=len(sid)), wide)
+        for r in rows:
+            if r["kind"] == X.PLAIN:
+                out += X.route(buckets, np.frombuffer(r["keys"], np.int64), r["owner_ids"], np.frombuffer(r["owners"], U), np.frombuffer(r["vals"], np.int32))
+        return pa.Table.from_batches([X.batch(out)])
+
+    return run
+
+
+_MEMBERS = pa.schema([("src", pa.string()), ("rec_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("first", pa.bool_())])
+
+
+def _alive(t_num: int, t_den: int):
+    """One bucket of sets: each record once; ``first`` marks one record of each set of which others have the share t of the runs.
+
+    Sets meet their counts by the lower 32 bits; those that share them in a bucket count as having both numbers, so none leaves that must stay.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        plain = [r for r in rows if r["kind"] == X.ROUTED]
+        if not plain:
+            return _MEMBERS.empty_table()
+        names = sorted({r["owner_ids"] for r in plain})
+        src = np.repeat([names.index(r["owner_ids"]) for r in plain], [r["n"] for r in plain])
+        rec, sid, n = (np.concatenate([np.frombuffer(r[c], t) for r in plain]) for c, t in (("keys", np.int64), ("owners", U), ("vals", np.int32)))
+        order = np.lexsort((rec, src, sid))
+        src, rec, sid, n = src[order], rec[order], sid[order], n[order]
+        first = np.concatenate([[True], sid[1:] != sid[:-1]])
+        once = first | np.concatenate([[True], (src[1:] != src[:-1]) | (rec[1:] != rec[:-1])])
+        low = U(0xFFFFFFFF)
+        keys, _, number, _ = X.unpack([r for r in rows if r["kind"] == X.CREDIT])
+        keys, at = np.unique(np.concatenate([keys.astype(U), sid]) & low, return_inverse=True)
+        shared = np.bincount(at, weights=np.concatenate([number, np.zeros(len(sid))]))[at[len(number) :]]
+        first &= shared * t_den >= n.astype(np.int64) * t_num
+        return pa.table([pa.array([x.decode() for x in names]).take(pa.array(src[once])), rec[once], sid[once].view(np.int64), n[once], first[once]], schema=_MEMBERS)
+
+    return run
+
+
+def _filter_slot(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(U) + U(11)) >> U(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of one task's keys, in slices of fixed size."""
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for b in batches:
+        at = _filter_slot(b.column(0).to_numpy())
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    own = [(i, x.tobytes()) for i, x in enumerate(np.split(bits, SKETCH_SLICES)) if x.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], names=["slice", "bits"])
 
-_COUNTS = pa.schema([("src", pa.string()), ("rec_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("shared", pa.int32())])
 
+def _or_marks(table: pa.Table) -> pa.Table:
+    return pa.table({"slice": table["slice"][:1].cast(pa.int32()), "bits": pa.array([np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]).tobytes()])})
 
-def _count(table: pa.Table) -> pa.Table:
-    """One bucket: how many runs of each set also occur in another set, and the directory rows."""
-    rows = table.to_pylist()
-    owners, number = X.settle(rows, counted=True)
-    sid, at = np.unique(owners, return_inverse=True)
-    shared = np.bincount(at, weights=number, minlength=len(sid))
-    none = pa.nulls(len(sid))
-    out = [pa.table({"src": none.cast(pa.string()), "rec_id": none.cast(pa.int64()), "sid": sid.view(np.int64), "n": none.cast(pa.int32()), "shared": shared.astype(np.int32)})]
-    plain = [r for r in rows if r["kind"] == X.PLAIN]
-    return pa.concat_tables([t.cast(_COUNTS) for t in out + ([_directory(plain)] if plain else [])])
 
+def key_filter(keys: DataFrame):
+    """A broadcast of bits for ``marked``, 16 MB whatever the number of ``keys``, which are one bigint column."""
+    out = np.zeros((SKETCH_SLICES, (1 << FILTER_BITS - 3) // SKETCH_SLICES), np.uint8)
+    for r in keys.mapInArrow(_mark, "slice int, bits binary").groupBy("slice").applyInArrow(_or_marks, "slice int, bits binary").toLocalIterator():
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(out.ravel())
 
-def _sets(k: int, least_words: int):
-    """Texts to (src, sid, n, runs, bits)."""
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of the filter: all of them, and few others."""
+    at = _filter_slot(keys)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _kept(bits):
+    """Rows whose first column may be in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(marked(bits.value, b.column(0).to_numpy())))
+
+    return run
+
+
+def _sets(k: int, least_words: int, alive):
+    """Texts to (src, sid, n, runs, bits), of records whose key may be in the filter ``alive``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(marked(alive.value, b.column(2).to_numpy())))
             src, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for s, e in chunks([len(t) for t in texts], CHUNK):
                 rows, sid, size, h = run_sets(texts[s:e], _salts(src[s:e], e - s), k, least_words)
@@ -213,8 +284,8 @@ def choose_levels(rec: np.ndarray, count: np.ndarray, low: np.ndarray, second: n
 INDEX_EQUAL, INDEX_DELETED, PROBE_EQUAL, PROBE_DELETED, NEEDY = 10, 11, 12, 13, 14
 
 
-def signatures(sid: np.ndarray, size: np.ndarray, h: np.ndarray, tops: np.ndarray, frequency: np.ndarray, t_num: int, t_den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, signature, number of the set) of the sets for the index and for the probes; of NEEDY, (kind, band, number)."""
+def signatures(sid: np.ndarray, size: np.ndarray, h: np.ndarray, tops: np.ndarray, frequency: np.ndarray, t_num: int, t_den: int, first: int = 0, end: int = 1 << 31) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, signature, number of the set) of the sets for the index and for the probes of bands from ``first`` to before ``end``; of NEEDY, (kind, band, number)."""
     rec = np.repeat(np.arange(len(sid)), size)
     home = np.searchsorted(tops, size)
     freq = frequency[_sketch_slot(h)]
@@ -228,17 +299,17 @@ def signatures(sid: np.ndarray, size: np.ndarray, h: np.ndarray, tops: np.ndarra
         m = segments_of(tops[band], t_num, t_den)
         return r, hh, freq[take], m, *segment_sums(r, hh, len(sub), m, mix(band.astype(U) + U(7)))
 
-    everyone = np.arange(len(sid))
-    r, hh, _, m, place, sums, of, number = cut(everyone, home)
+    own = np.nonzero((home >= first) & (home < end))[0]
+    r, hh, _, m, place, sums, of, number = cut(own, home[own])
     count = np.bincount(place, minlength=len(sums))
     some, more = count > 0, (count > 1)[place]
-    yield INDEX_EQUAL, mix(sums + number)[some], of[some]
-    yield INDEX_DELETED, mix(sums[place] - mix(hh) + number[place])[more], r[more]
+    yield INDEX_EQUAL, mix(sums + number)[some], own[of[some]]
+    yield INDEX_DELETED, mix(sums[place] - mix(hh) + number[place])[more], own[r[more]]
 
     smallest = -(-size * t_num // t_den)
     lowest = np.searchsorted(tops, smallest)
     for step in range(int((home - lowest).max(initial=0)) + 1):
-        sub = np.nonzero(home - step >= lowest)[0]
+        sub = np.nonzero((home - step >= np.maximum(lowest, first)) & (home - step < end))[0]
         band = home[sub] - step
         r, hh, f, m, place, sums, of, number = cut(sub, band)
         count = np.bincount(place, minlength=len(sums))
@@ -259,8 +330,45 @@ def signatures(sid: np.ndarray, size: np.ndarray, h: np.ndarray, tops: np.ndarra
         yield NEEDY, band[needy], sub[needy]
 
 
-def _sign(buckets: int, wide: bool, tops: np.ndarray, frequency, t_num: int, t_den: int):
-    """(sid, n, runs, label) to signature blobs, with the label as their tag."""
+def rounds(load: dict[int, int], most: float, t_num: int, t_den: int, tops: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """(first band, end, part, of, bytes): the search in rounds of at most about ``most`` bytes of signatures, by the runs that sets have in each band.
+
+    A band that has more alone takes several rounds, each with its part of the signatures.
+    """
+    low = {b: int(np.searchsorted(tops, -(-(int(tops[b - 1]) + 1 if b else 1) * t_num // t_den))) for b in load}
+    cost: dict[int, float] = dict.fromkeys(range(max(load, default=-1) + 1), 0.0)
+    for b, n in load.items():
+        cost[b] += INDEXED * n
+        for x in range(low[b], b + 1):
+            cost[x] += PROBED * n
+    out: list[tuple[int, int, int, int, float]] = []
+    first, held = 0, 0.0
+    for b, c in cost.items():
+        if held and held + c > most:
+            out.append((first, b, 0, 1, held))
+            first, held = b, 0.0
+        held += c
+        if held > most:
+            of = int(-(-held // most))
+            out += [(first, b + 1, i, of, held / of) for i in range(of)]
+            first, held = b + 1, 0.0
+    return [*out, (first, len(cost), 0, 1, held)] if held else out
+
+
+def _bands(tops: np.ndarray):
+    """(n) to (band, runs), one row for each band in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(0).to_numpy().astype(np.int64)
+            band, at = np.unique(np.searchsorted(tops, n), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(np.bincount(at, weights=n, minlength=len(band)).astype(np.int64))], names=["band", "runs"])
+
+    return run
+
+
+def _sign(buckets: int, wide: bool, tops: np.ndarray, frequency, t_num: int, t_den: int, first: int, end: int, turn: int, turns: int, labelled: bool):
+    """(sid, n, runs, label) to the signature blobs of one round, with the label as their tag where there are labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -269,11 +377,14 @@ def _sign(buckets: int, wide: bool, tops: np.ndarray, frequency, t_num: int, t_d
             for s, e in chunks(sizes, 200_000):
                 out, part = [], lists.slice(s, e - s)
                 sid, label = sids[s:e], labels[s:e]
-                for kind, sig, of in signatures(sid, sizes[s:e], part.flatten().to_numpy().view(U), tops, frequency.value, t_num, t_den):
+                for kind, sig, of in signatures(sid, sizes[s:e], part.flatten().to_numpy().view(U), tops, frequency.value, t_num, t_den, first, end):
                     if kind == NEEDY:
-                        out += X.pack(kind, buckets, mix(sid[of]), sid[of], sig, keyless=True)
-                    else:
-                        out += X.pack(kind, buckets, sig, sid[of], None, wide, tags=label[of])
+                        out += X.pack(kind, buckets, mix(sid[of]), sid[of], sig, keyless=True) if turn == 0 else []
+                        continue
+                    if turns > 1:
+                        mine = sig % U(turns) == U(turn)
+                        sig, of = sig[mine], of[mine]
+                    out += X.pack(kind, buckets, sig, sid[of], None, wide, tags=label[of] if labelled else None)
                 if out:
                     yield X.batch(out)
 
@@ -324,8 +435,8 @@ def _star(index: np.ndarray, owner: np.ndarray, probe: np.ndarray, prober: np.nd
 _FOUND = "a bigint, b bigint, band int"
 
 
-def _pairs(star: bool):
-    """Candidates of one bucket, distinct within it, and its needy records as (a, null, band)."""
+def _pairs(star: bool, labelled: bool):
+    """Candidates of one bucket, whose sets' labels are the sets themselves unless they are ``labelled``, distinct within it, and its needy records as (a, null, band)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -333,7 +444,7 @@ def _pairs(star: bool):
         found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
         for i, p in ((INDEX_EQUAL, PROBE_EQUAL), (INDEX_DELETED, PROBE_DELETED)):
             (ik, io, _, im), (pk, po, _, pm) = by[i], by[p]
-            for a, b in [_star(ik, io, pk, po)] if star else _meet(ik, io, im, pk, po, pm):
+            for a, b in [_star(ik, io, pk, po)] if star else _meet(ik, io, im if labelled else io, pk, po, pm if labelled else po):
                 a, b = a[a != b], b[a != b]
                 found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1).view(np.int64), axis=0))
         out = np.unique(np.concatenate(found), axis=0)
@@ -374,15 +485,12 @@ class Search:
         self.parts = parts = exchange_parts(texts)
         self.coarse, self.wide = X.first_level(parts)
         blobs = X.meet(spread(texts).mapInArrow(_scan(self.coarse, self.wide, k, least_words), X.SCHEMA), parts)
-        counted = written(blobs.groupBy("bucket").applyInArrow(_count, "src string, rec_id bigint, sid bigint, n int, shared int"), "near-counts")
-        self.members = counted.where("rec_id is not null").select("src", "rec_id", "sid", "n").distinct()
-        alive = (
-            counted.groupBy("sid").agg(F.sum(F.col("shared").cast("bigint")).alias("shared"), F.min("n").alias("n"), F.min(F.when(F.col("rec_id").isNotNull(), F.struct("src", "rec_id"))).alias("first"))
-            .where(F.col("shared") * t_den >= F.col("n") * t_num)
-            .select("first.src", "first.rec_id")
-        )
-        chosen = texts.hint("shuffle_hash").join(alive.hint("shuffle_hash"), ["src", "rec_id"], "left_semi").select("src", "text")
-        self.sets = written(chosen.mapInArrow(_sets(k, least_words), "src string, sid bigint, n int, runs array<bigint>, bits array<bigint>").dropDuplicates(["sid"]), "near-sets")
+        counts = X.meet(blobs.groupBy("bucket").applyInArrow(_count(self.coarse, self.wide), X.SCHEMA), parts)
+        records = written(counts.groupBy("bucket").applyInArrow(_alive(t_num, t_den), "src string, rec_id bigint, sid bigint, n int, first boolean"), "near-members")
+        self.members = records.select("src", "rec_id", "sid", "n")
+        key = F.xxhash64("src", "rec_id").alias("key")
+        alive = key_filter(records.where("first").select(key))
+        self.sets = written(spread(texts).select("src", "text", key).mapInArrow(_sets(k, least_words, alive), "src string, sid bigint, n int, runs array<bigint>, bits array<bigint>").dropDuplicates(["sid"]), "near-sets")
         self.frequency = texts.sparkSession.sparkContext.broadcast(frequencies(self.sets))
 
     def candidates(self, labels: DataFrame | None = None, star: bool = False) -> DataFrame:
@@ -392,8 +500,14 @@ class Search:
         """
         sets = self.sets.select("sid", "n", "runs")
         sets = sets.withColumn("label", F.col("sid")) if labels is None else sets.join(labels, "sid")
-        blobs = sets.mapInArrow(_sign(self.coarse, self.wide, self.tops, self.frequency, self.t_num, self.t_den), X.SCHEMA)
-        found = written(X.meet(blobs, self.parts).groupBy("bucket").applyInArrow(_pairs(star), _FOUND), "near-found")
+        labelled = labels is not None
+        load = self.sets.select("n").mapInArrow(_bands(self.tops), "band int, runs bigint").groupBy("band").agg(F.sum("runs").alias("runs"))
+        found = sets.sparkSession.createDataFrame([], _FOUND)
+        for first, end, part, of, size in rounds({r["band"]: r["runs"] for r in load.collect()}, ROUND * self.parts * PART, self.t_num, self.t_den, self.tops):  # at most as many as there are bands
+            parts = min(self.parts, max(least_parts(sets), math.ceil(size / PART)))
+            coarse, wide = X.first_level(parts)
+            blobs = sets.mapInArrow(_sign(coarse, wide, self.tops, self.frequency, self.t_num, self.t_den, first, end, part, of, labelled), X.SCHEMA)
+            found = found.unionByName(written(X.meet(blobs, parts).groupBy("bucket").applyInArrow(_pairs(star, labelled), _FOUND), "near-found"))
         pairs = found.where("band is null").select("a", "b")
         needy = found.where("band is not null").select(F.col("a").alias("sid"), "band")
         bands_ = [] if star else [r["band"] for r in needy.select("band").distinct().collect()]  # at most as many as there are bands
@@ -415,14 +529,24 @@ class Search:
             .where(differ * (t_den + t_num) <= (F.col("n_a") + F.col("n_b")) * (t_den - t_num))
             .select(F.col("src_a").alias("src"), "a", "b", "n_a", "n_b")
         )
-        runs = lambda c: sets.select(F.col("sid").alias(c), F.col("runs").alias(f"runs_{c}"))
-        return (
-            close.join(runs("a"), "a").join(runs("b"), "b")
+        close = written(close, "near-close")
+        met = key_filter(close.select("a").unionByName(close.select("b").toDF("a")))
+        kept = sets.select("sid", "runs").mapInArrow(_kept(met), "sid bigint, runs array<bigint>")
+        runs = lambda c: kept.select(F.col("sid").alias(c), F.col("runs").alias(f"runs_{c}"))
+        compared = lambda some: (
+            some.join(runs("a"), "a").join(runs("b"), "b")
             .withColumn("n_shared", F.size(F.array_intersect("runs_a", "runs_b")))
             .withColumn("n_union", F.col("n_a") + F.col("n_b") - F.col("n_shared"))
             .where(F.col("n_shared") * t_den >= F.col("n_union") * t_num)
             .select("src", "a", "b", "n_shared", "n_union")
         )
+        # a pair carries the runs of one of its sets, so many pairs are compared in rounds
+        sent = 8 * (close.agg(F.sum(F.col("n_a").cast("bigint"))).first()[0] or 0)
+        turns = max(1, math.ceil(sent / (ROUND * self.parts * PART)))
+        if turns == 1:
+            return compared(close)
+        turn = F.pmod(F.xxhash64("b", "a"), F.lit(turns))
+        return reduce(DataFrame.unionByName, [written(compared(close.where(turn == i)), "near-similar") for i in range(turns)])
 
 
 def similar_sets(texts: DataFrame, **how) -> tuple[DataFrame, DataFrame]:

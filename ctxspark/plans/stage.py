@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _PATHS: list[str] = []
+#: Shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
     _PATHS.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,10 +96,17 @@ def _parts(size: int, dfs: tuple[DataFrame, ...], each: int) -> int:
     return sum(map(n_partitions, dfs)) if size >= UNKNOWN else math.ceil(size / each)
 
 
-def exchange_parts(*dfs: DataFrame, each: int = 8 << 20) -> int:
+#: Bytes of an input that a bucket of an exchange is for.
+PART = 8 << 20
+
+
+def least_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def exchange_parts(*dfs: DataFrame, each: int = PART) -> int:
     """Buckets for an exchange fed by ``dfs``: the session's partitions, more if an input is large."""
-    least = int(dfs[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, _parts(sum(map(planned_bytes, dfs)), dfs, each))
+    return max(least_parts(dfs[0]), _parts(sum(map(planned_bytes, dfs)), dfs, each))
 
 
 def range_parts(df: DataFrame, each: int = 4 << 20) -> int:

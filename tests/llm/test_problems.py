@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxspark.llm import bpe, chunk, fill, leaks, near, pairs, spans
+from ctxspark.plans import stage
 
 WORD = re.compile(r"[^\W_]+")
 TEXTS = "src string, rec_id bigint, text string"
@@ -528,3 +529,41 @@ def test_segments_suffice(t_num, t_den):
         largest = np.array([top * t_den // t_num])
         need = near.differences(largest, np.minimum(largest, top), t_num, t_den) + 1
         assert need[0] <= 2 * near.segments_of(np.array([top]), t_num, t_den)[0]
+
+
+def test_search_in_rounds(spark, monkeypatch):
+    """Rounds over bands, and parts of a band that is too much for one, find what one round finds; none is for more than it should."""
+    tops, load = near.bands(4, 1.25), {3: 100, 4: 100_000, 7: 20, 8: 20}
+    turns = near.rounds(load, 200_000, 3, 5, tops)
+    assert all(t[4] <= 200_000 for t in turns) and max(t[3] for t in turns) > 1
+    covered = [(b, t[2]) for t in turns for b in range(t[0], t[1])]
+    assert len(covered) == len(set(covered)) and {b for b, _ in covered} == set(range(9))
+    rows = near_rows(3)
+    monkeypatch.setattr(near, "ROUND", 2e-4)
+    s = near.Search(spark.createDataFrame(rows, TEXTS), k=3, t_num=3, t_den=5, least_words=20)
+    before = len(stage._PATHS)
+    s.candidates()
+    assert len([p for p in stage._PATHS[before:] if "near-found" in p]) > 2
+    got = {tuple(r) for r in near.similar_records(spark.createDataFrame(rows, TEXTS), k=3, t_num=3, t_den=5, least_words=20).collect()}
+    assert got == brute_pairs(rows, 3, 0.6, 20)
+    assert len([p for p in stage._PATHS[before:] if "near-similar" in p]) > 1
+
+
+def test_counts_take_few_bytes(spark):
+    """How many runs of a set are elsewhere comes together in the bucket of the set: one written row for a record, however many buckets its runs have."""
+    rows = near_rows(3)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        before = len(stage._PATHS)
+        near.Search(spark.createDataFrame(rows, TEXTS), k=3, t_num=3, t_den=5, least_words=20)
+        records = len({(s, i) for s, i, t in rows if i is not None and t})
+        assert all(spark.read.parquet(p).count() <= records for p in stage._PATHS[before:])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_key_filter(spark):
+    keys = np.random.default_rng(8).integers(-(1 << 63), 1 << 63, 20_000)
+    bits = near.key_filter(spark.createDataFrame([(int(k),) for k in keys[:1000]], "k bigint")).value
+    assert near.marked(bits, keys[:1000]).all() and near.marked(bits, keys[1000:]).mean() < 0.01

@@ -1,5 +1,9 @@
 """Written stages and exchange sizes."""
 
+import time
+
+from pyspark.sql import functions as F
+
 from ctxspark.plans import stage
 
 
@@ -41,3 +45,16 @@ def test_running_sums_of_a_hot_group(spark):
         n, s = state.get(k, (0, 0))
         state[k] = want[i] = (n + 1, s + (v or 0))
     assert got == want
+
+
+def test_shuffle_files_go_with_the_stage(spark, tmp_path):
+    """The files of a written stage's exchanges are gone when it is written, without a collection of the driver's garbage."""
+    sc = spark.sparkContext._jsc.sc()
+    blocks = lambda: sum(1 for x in (sc.env().blockManager().diskBlockManager().getAllFiles(),) for i in range(x.size()) if "shuffle_" in x.apply(i).getName())
+    before = blocks()
+    out = stage.written(spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 100).alias("k")).count(), "freed")
+    for _ in range(50):
+        if blocks() <= before:
+            break
+        time.sleep(0.1)
+    assert blocks() <= before and out.count() == 100
